@@ -23,12 +23,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, _docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(spark, _docs(spark, sf_dir))
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(spark, _docs(spark, sf_dir))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bytebpe import encode_decode
 
     return encode_decode(spark, _docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_lempelziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lempelziv import remove_repeats
+
+    return remove_repeats(spark, _docs(spark, sf_dir))
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import roundtrip
 
@@ -36,7 +54,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op5_bpe_trie, op10_sstable)}
+    return {f.__name__: f for f in (op2_packing, op3_simhash, op4_suffix, op5_bpe_trie, op6_lempelziv, op10_sstable)}
 
 
 ORACLES: dict[str, str] = {}
