@@ -29,7 +29,7 @@ _CODECS: dict[int, PieceCodec] = {}
 
 
 class PieceCodec:
-    def __init__(self, source: str, cap: int = 400_000):
+    def __init__(self, source: str, cap: int = 250_000):
         spec = json.loads(source)
         pre = spec["pre_tokenizer"]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec.get("normalizer"):
@@ -79,8 +79,8 @@ class PieceCodec:
 def _codec(source: str) -> PieceCodec:
     if hash(source) not in _CODECS:
         _CODECS.clear()
-        gc.disable()  # the cache holds no cycles
         _CODECS[hash(source)] = PieceCodec(source)
+        gc.freeze()  # the tables stay: no need to go through them again and again
     return _CODECS[hash(source)]
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, so that its memory doesn't follow the length of rows.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,6 +24,7 @@ def ship(spark: SparkSession) -> None:
     Workers unpickle the operators' functions by module name, so the package has to be importable
     there whatever the driver's working directory is.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -84,7 +87,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[rows[0] : rows[-1]], rows - rows[0]
 
 
-def slices(batch: pa.RecordBatch, limit: int = 8 << 20, name: str = "text"):
+def slices(batch: pa.RecordBatch, limit: int = 2 << 20, name: str = "text"):
     """``batch`` in pieces of about ``limit`` bytes of text, so that memory doesn't follow batch length."""
     _, rows = text_buffer(batch.column(batch.schema.get_field_index(name)))
     start = 0

@@ -65,13 +65,11 @@ class TrieBPE:
             if i in self.split and not self._stable(*self.split[i], made=i):
                 del self.ids[b]
 
-        self._automaton()
+        self.step: dict[int, int] = {}
 
     def _automaton(self) -> None:
         """For each string that begins a token: the next by byte, and the tokens that end it, longest first."""
-        self.step: dict[int, int] = {}
         ends: list[list[tuple[int, int]]] = [[]]
-        level: list[tuple[int, int, int]] = []
         step = self.step
         tree: list[list[tuple[int, int]]] = [[]]
         for raw, token in self.ids.items():
@@ -145,6 +143,8 @@ class TrieBPE:
 
     def encode(self, words: Iterable[bytes]) -> dict:
         """What ``render`` gives for the tokens of each distinct word, joined."""
+        if not self.step:
+            self._automaton()
         pairs, render, stable, step, back, ends = self.pairs, self.render, self._stable, self.step.get, self.back, self.ends
         out: dict[bytes, bytes] = {}
         state: list[int] = [0]  # of the automaton, after each prefix of the word

@@ -31,7 +31,7 @@ _CODECS: dict[tuple[int, int], WordCodec] = {}
 
 
 class WordCodec:
-    def __init__(self, source: str, cap: int = 500_000):
+    def __init__(self, source: str, cap: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
@@ -44,8 +44,7 @@ class WordCodec:
         spec = json.loads(source)
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"])
-        self.trie = load(source, lambda i: [i])
-        self.piece = self.trie.by_rank()
+        self.piece = load(source, lambda i: [i]).by_rank()
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -88,11 +87,11 @@ class WordCodec:
         return out
 
 
-def codec(source: str, cap: int = 500_000) -> WordCodec:
+def codec(source: str, cap: int = 250_000) -> WordCodec:
     """The worker's codec; it outlives a task, so later tasks find its words known."""
     key = (hash(source), cap)
     if key not in _CODECS:
         _CODECS.clear()
-        gc.disable()  # the worker's caches hold no cycles, and going through them again and again is slow
         _CODECS[key] = WordCodec(source, cap)
+        gc.freeze()  # the tables stay: no need to go through them again and again
     return _CODECS[key]
