@@ -155,11 +155,12 @@ def links(marks: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.unionByName(met)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links), and the columns in ``keep``."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 3, with_version: bool = False) -> DataFrame:
+    """Per row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links); on demand version, a hash of the text."""
     ship(spark)
     scratch = Scratch(spark, "simhash")
-    others = ["doc_id", *keep]
+    others = ["doc_id", "version"] if with_version else ["doc_id"]
+    docs = docs.select("doc_id", "text").withColumn("version", F.hash("text"))
     rows = scratch.keep(docs.select(*others, "text").mapInArrow(lambda b: _fingerprints(b, width, others), ddl(docs, *others) + ", mark long"), "rows")
     marks = scratch.keep(rows.groupBy("mark").agg(F.min("doc_id").alias("first")), "marks")
     roots = components(links(marks.select("mark"), scratch), scratch)
