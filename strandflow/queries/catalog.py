@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sequence
+from . import joins, sequence
 
-MODULES = (sequence,)
+MODULES = (sequence, joins)
 
 
 def queries() -> dict:
