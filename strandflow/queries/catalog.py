@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import joins, sequence
+from . import aggregates, joins, sequence, statistics
 
-MODULES = (sequence, joins)
+MODULES = (sequence, joins, aggregates, statistics)
 
 
 def queries() -> dict:
