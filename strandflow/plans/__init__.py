@@ -1 +1 @@
-
+"""Whole runs built from the operators."""
