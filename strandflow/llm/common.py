@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -60,6 +61,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return the table read again with the same schema."""
         df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
+        # what was shuffled for the table isn't needed again: let Spark's cleaner find it unused now
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

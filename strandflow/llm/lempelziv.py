@@ -62,13 +62,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     """Per document: n_words, n_removed, kept_sha256; with ``with_text``, the documents with their kept text instead.
 
     The kept text joins the kept runs of words, with their own white space, by line breaks;
-    ``lz_words`` and ``lz_removed`` are added. Columns called version or spans are not passed on.
+    ``lz_words`` and ``lz_removed`` are added. Columns called version, spans, d or w are not passed on.
     """
     ship(spark)
-    docs = docs.drop("version", "spans", "lz_words", "lz_removed")
-    small = with_version(docs.select("doc_id", "text"))
-    spans = repeated(small, Scratch(spark, "lempelziv"), unit="word", window=window, gram=gram, first_stays=True)
+    docs = with_version(docs.drop("version", "spans", "d", "w", "lz_words", "lz_removed") if with_text else docs.select("doc_id", "text"))
+    spans = repeated(docs, Scratch(spark, "lempelziv"), unit="word", window=window, gram=gram, first_stays=True)
     if not with_text:
-        return edit(small, spans, lambda b: _cut(b, window, False), ddl(docs, "doc_id") + ", n_words long, n_removed long, kept_sha256 string")
-    schema = ddl(docs, *docs.columns) + ", lz_words long, lz_removed long"
-    return edit(with_version(docs), spans, lambda b: _cut(b, window, True), schema)
+        return edit(docs, spans, lambda b: _cut(b, window, False), ddl(docs, "doc_id") + ", n_words long, n_removed long, kept_sha256 string")
+    schema = ddl(docs, *[c for c in docs.columns if c != "version"]) + ", lz_words long, lz_removed long"
+    return edit(docs, spans, lambda b: _cut(b, window, True), schema)

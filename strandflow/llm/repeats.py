@@ -8,8 +8,12 @@ each run of consecutive windows with the same anchor (about 2 in W positions). T
 fine and each keeps only what met an equal:
 
 1. entries by the anchor's hash: what is alone there has no copy;
-2. entries by their whole span (all symbols of the run's windows): equal spans have all windows in common;
-3. where one anchor's hash has several spans, the windows of one entry of each span, by their content.
+2. entries by their whole span (all symbols of the run's windows): equal spans have all windows in common,
+   and one of them goes on for all;
+3. where one anchor's hash has several spans, these entries are cut into blocks of ever fewer windows, and again
+   what is alone by the symbols that all windows of a block have in common (its core) is dropped, and equal
+   spans are settled;
+4. the last blocks are single windows, whose core is the window.
 
 Content is compared by 128 bits of hashes. Documents are cut into chunks that overlap by
 W - 1 symbols, so memory doesn't grow with a document. A document is known by doc_id and a hash of its text: rows that repeat both count
@@ -30,6 +34,8 @@ from .common import Scratch, ddl, slices, text_buffer
 
 #: Positions are told apart within a chunk by the low bits of the anchors' order key.
 CHUNK_BITS = 20
+#: Windows to a block in the passes before the last.
+WIDTHS = (32, 4)
 #: Odd multipliers. Fixed values.
 STEP, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: [\x20\x09-\x0D]
@@ -169,77 +175,88 @@ def _entries(batches, unit, window, gram):
                 spans = [digest(data[a:b]) for a, b in zip((lo * size).tolist(), ((hi + window) * size).tolist())]
                 take = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code.view(np.int64)), pa.array((np.array(spans, np.uint64) ^ head).view(np.int64)), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((lo + shift - np.where(shift, 0, rows[row])).astype(np.int64)), pa.array((hi - lo + 1).astype(np.int32))],
-                    names=["anchor", "span", "doc_id", "version", "at", "n"],
+                    [pa.array(code.view(np.int64)), pa.array((np.array(spans, np.uint64) ^ head).view(np.int64)), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((lo + shift - np.where(shift, 0, rows[row])).astype(np.int64)), pa.array(((anchor - lo) << 16 | hi - lo + 1).astype(np.int32))],
+                    names=["key", "span", "doc_id", "version", "at", "shape"],
                 )
 
 
-def _windows(batches, unit, window):
-    """The windows of chosen entries (at, n), each by 128 bits of content."""
+def _blocks(batches, unit, window, width):
+    """Blocks of ``width`` windows of chosen entries, keyed by their core; blocks are counted from the anchor.
+
+    So equal windows are in equal blocks: block j has the windows that start ``j * width`` to
+    ``j * width + width - 1`` symbols before the anchor.
+    """
     for whole in batches:
         for batch in slices(whole, 2 << 20):
             s, rows = symbols(batch.column("text"), unit)
             data, size = memoryview(np.ascontiguousarray(s)).cast("B"), s.itemsize
-            spans = batch.column("spans").to_pylist()
-            row, at, high, low = [], [], [], []
-            for i, own in enumerate(spans):
+            digest = xxhash.xxh3_64_intdigest
+            out: list[tuple] = []
+            for i, own in enumerate(batch.column("spans").to_pylist()):
                 base = int(rows[i])
                 for x in own:
-                    for p in range(x["at"], x["at"] + x["n"]):
-                        h = xxhash.xxh3_128_intdigest(data[(base + p) * size : (base + p + window) * size])
-                        row.append(i)
-                        at.append(p)
-                        high.append(h >> 64)
-                        low.append(h & (1 << 64) - 1)
-                if len(row) > 200_000:
-                    yield _window_rows(batch, row, at, high, low)
-                    row, at, high, low = [], [], [], []
-            yield _window_rows(batch, row, at, high, low)
-
-
-def _window_rows(batch, row, at, high, low):
+                    at, n, off = x["at"], x["shape"] & 65535, x["shape"] >> 16
+                    anchor = at + off
+                    seed = x["key"] & (1 << 64) - 1
+                    for j in range((off - n + 1) // width, off // width + 1):
+                        start = anchor - j * width  # the block's last window, where the core begins
+                        lo, hi = max(at, start - width + 1), min(at + n - 1, start)
+                        core = digest(data[(base + start) * size : (base + start + window - width + 1) * size], seed ^ j)
+                        span = digest(data[(base + lo) * size : (base + hi + window) * size], (start - lo) << 16 | hi - lo)
+                        out.append((i, core, span, lo, (anchor - lo) << 16 | hi - lo + 1))
+                if len(out) > 100_000:
+                    yield _block_rows(batch, out)
+                    out = []
+            yield _block_rows(batch, out)
+
+
+def _block_rows(batch, out):
+    row, core, span, at, shape = zip(*out) if out else [()] * 5
     take = pa.array(row, pa.int64())
+    wide = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint64).view(np.int64)), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(at, pa.int64())],
-        names=["high", "low", "doc_id", "version", "at"],
+        [wide(core), wide(span), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(at, pa.int64()), pa.array(shape, pa.int32())],
+        names=["key", "span", "doc_id", "version", "at", "shape"],
     )
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    grouped = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    grouped = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*[c for c in spans.columns if c not in ("doc_id", "version")])).alias("spans"))
     grouped = grouped.select(F.col("doc_id").alias("d"), F.col("version").alias("w"), "spans")
     return docs.join(grouped, docs.doc_id.eqNullSafe(grouped.d) & (docs.version == grouped.w), how).drop("d", "w")
 
 
+def _settle(entries: DataFrame, scratch: Scratch, name: str, first_stays: bool) -> tuple[DataFrame, DataFrame]:
+    """Of entries (key, span, place): those with an equal span (to go), and one of each span where a key has several."""
+    keys = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("span").alias("a"), F.max("span").alias("b")).where("c > 1")
+    keys = scratch.keep(keys.select(F.col("key").alias("k"), (F.col("a") != F.col("b")).alias("mixed")), f"keys-{name}")
+    hits = scratch.keep(entries.join(keys, entries.key == keys.k).drop("k"), f"hits-{name}")
+    place = F.struct("doc_id", "at", "version", "shape")
+    spans = scratch.keep(hits.groupBy("key", "span").agg(F.count("*").alias("c"), F.min(place).alias("rep"), F.max("mixed").alias("mixed")), f"spans-{name}")
+    twice = spans.where("c > 1").select(F.col("key").alias("k"), F.col("span").alias("s"), "rep.doc_id", "rep.at").toDF("k", "s", "d", "p")
+    same = hits.join(twice, (hits.key == twice.k) & (hits.span == twice.s))
+    if first_stays:  # the same place in a repeated row is not earlier
+        same = same.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("p"))))
+    return same.select("doc_id", "version", "at", "shape"), spans.where("mixed").select("key", "rep.doc_id", "rep.version", "rep.at", "rep.shape")
+
+
 def repeated(docs: DataFrame, scratch: Scratch, *, unit: str, window: int, gram: int, first_stays: bool) -> DataFrame:
     """Spans (doc_id, version, at, n): windows starting at ``at`` .. ``at + n - 1`` are to go.
 
-    ``docs``: doc_id, version, text. With ``first_stays``, the first occurrence of each window (smallest
+    ``docs`` has doc_id, version, text. With ``first_stays``, the first occurrence of each window (smallest
     doc_id, then start) stays; otherwise every occurrence of a repeated window goes.
     """
-    kinds = ddl(docs, "doc_id") + ", version int"
-    entries = docs.mapInArrow(lambda b: _entries(b, unit, window, gram), f"anchor long, span long, {kinds}, at long, n int")
-    met = entries.groupBy("anchor").agg(F.count("*").alias("c"), F.min("span").alias("a"), F.max("span").alias("b")).where("c > 1")
-    met = scratch.keep(met.select(F.col("anchor").alias("key"), (F.col("a") != F.col("b")).alias("mixed")), "anchors")
-    hits = scratch.keep(entries.join(met, entries.anchor == met.key).drop("key"), "hits")
-    place = F.struct("doc_id", "at", "version", "n")
-    spans = scratch.keep(hits.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(place).alias("rep"), F.max("mixed").alias("mixed")), "spans")
-    known = spans.where("c > 1").select(F.col("anchor").alias("key"), F.col("span").alias("whole"), "rep")
-    same = hits.join(known, (hits.anchor == known.key) & (hits.span == known.whole))
-    if first_stays:  # the same place in a repeated row is not earlier
-        same = same.where(~(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("at") == F.col("rep.at"))))
-    same = same.select("doc_id", "version", "at", "n")
-    # one entry of each span, where an anchor has several; its windows tell what the spans share
-    reps = spans.where("mixed").select("rep.doc_id", "rep.version", "rep.at", "rep.n")
-    pieces = _with_spans(docs, reps, "inner").mapInArrow(lambda b: _windows(b, unit, window), f"high long, low long, {kinds}, at long")
-    pieces = scratch.keep(pieces, "windows")
-    spot = F.struct("doc_id", "at", "version")
-    twice = pieces.groupBy("high", "low").agg(F.count("*").alias("c"), F.min(spot).alias("first")).where("c > 1")
-    twice = twice.select(F.col("high").alias("h"), F.col("low").alias("l"), "first")
-    parts = pieces.join(twice, (pieces.high == twice.h) & (pieces.low == twice.l))
-    if first_stays:
-        parts = parts.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
-    return same.unionByName(parts.select("doc_id", "version", "at", F.lit(1).alias("n")))
+    kinds = f"key long, span long, {ddl(docs, 'doc_id')}, version int, at long, shape int"
+    docs = docs.select("doc_id", "version", "text")
+    gone, reps = _settle(docs.mapInArrow(lambda b: _entries(b, unit, window, gram), kinds), scratch, "run", first_stays)
+    # from here on only the texts of these entries are read
+    texts = scratch.keep(_with_spans(docs, reps, "inner"), "texts")
+    for k, width in enumerate([w for w in WIDTHS if 4 * w <= window] + [1]):
+        chosen = _with_spans(texts.drop("spans"), reps, "inner") if k else texts
+        blocks = scratch.keep(chosen.mapInArrow(lambda b, width=width: _blocks(b, unit, window, width), kinds), f"blocks-{width}")
+        more, reps = _settle(blocks, scratch, str(width), first_stays)
+        gone = gone.unionByName(more)
+    return gone.select("doc_id", "version", "at", F.col("shape").bitwiseAND(65535).alias("n"))
 
 
 def with_version(docs: DataFrame) -> DataFrame:
