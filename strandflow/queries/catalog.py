@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, sequence, statistics
+from . import aggregates, decision, joins, sequence, statistics
 
-MODULES = (sequence, joins, aggregates, statistics)
+MODULES = (sequence, joins, aggregates, statistics, decision)
 
 
 def queries() -> dict:
