@@ -10,51 +10,67 @@ from pyspark.sql import functions as F
 from .sequence import col
 
 
-def _terms(first: Column, start: Column, end: Column, ratio) -> Column:
-    """Sum of exp(log term) for j in start..end, given the first log term and log ratio of term j to j - 1."""
-    step = lambda acc, j: F.struct((acc["t"] + ratio(j)).alias("t"), (acc["s"] + F.exp(acc["t"] + ratio(j))).alias("s"))
-    more = F.when(end > start, F.sequence((start + 1).cast("long"), end.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(more, F.struct(first.alias("t"), F.exp(first).alias("s")), step)["s"]
+def log_factorial(n) -> Column:
+    """ln n!: exact logs up to 20, beyond them Stirling's series, whose error there is under 1e-15."""
+    n = col(n)
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(21)])
+    x = (n + 1).cast("double")
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n <= 20, F.get(small, F.greatest(n, F.lit(0)).cast("int"))).otherwise(series)
 
 
 def log_binomial(n, k) -> Column:
     """ln C(n, k)."""
     n, k = col(n), col(k)
-    k = F.least(k, n - k)
-    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.log((n - k + i) / i))
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
-def binomial_lower_tail(k, n, p) -> Column:
-    """P(X <= k); exact sum in log space."""
-    k, n, p = col(k), col(n), col(p)
+def _terms(first: Column, start: Column, end: Column, ratio) -> Column:
+    """Sum of exp(log term) for j in start..end, given the first log term and log ratio of term j to j - 1."""
+    step = lambda acc, j: F.struct((acc["t"] + ratio(j)).alias("t"), (acc["s"] + F.exp(acc["t"] + ratio(j))).alias("s"))
+    more = F.when(end > start, F.sequence((start + 1).cast("long"), end.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(more, F.struct(first.alias("t"), F.exp(first).alias("s")), step)["s"]
+
+
+def _beyond(log_choose: Column, k: Column, n: Column, p: Column) -> Column:
+    """P(X >= k) for k at or above the mean: terms fall faster than a normal curve, so 5 sqrt(n) + 10 of them are all."""
+    last = F.least(n, k + F.ceil(5 * F.sqrt(n.cast("double"))) + 10)
     odds = F.log(p) - F.log(1 - p)
-    tail = _terms(n * F.log(1 - p), F.lit(0), k, lambda j: F.log((n - j + 1) / j) + odds)
-    return F.when(k < 0, 0.0).when(k >= n, 1.0).when(p <= 0, 1.0).when(p >= 1, 0.0).otherwise(F.least(tail, F.lit(1.0)))
+    return _terms(log_choose + k * F.log(p) + (n - k) * F.log(1 - p), k, last, lambda j: F.log((n - j + 1) / j) + odds)
 
 
 def binomial_upper_tail(k, n, p) -> Column:
-    """P(X >= k)."""
+    """P(X >= k), exact in log space; the work grows with the root of n."""
     k, n, p = col(k), col(n), col(p)
-    first = log_binomial(n, k) + k * F.log(p) + (n - k) * F.log(1 - p)
-    odds = F.log(p) - F.log(1 - p)
-    tail = _terms(first, k, n, lambda j: F.log((n - j + 1) / j) + odds)
+    # below the mean: one minus the other tail, seen from the failures
+    tail = F.when(k >= n * p, _beyond(log_binomial(n, k), k, n, p)).otherwise(1 - _beyond(log_binomial(n, n - k + 1), n - k + 1, n, 1 - p))
     return F.when(k <= 0, 1.0).when(k > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(tail, F.lit(1.0)))
 
 
-def clopper_pearson(k, n, alpha: float = 0.05, steps: int = 60) -> Column:
-    """Exact interval (low, high) of a rate, by bisection of the binomial tails; null for n = 0. Use it on distinct (k, n)."""
+def binomial_lower_tail(k, n, p) -> Column:
+    """P(X <= k)."""
+    k, n, p = col(k), col(n), col(p)
+    return binomial_upper_tail(n - k, n, 1 - p)
+
+
+def clopper_pearson(k, n, alpha: float = 0.05, steps: int = 50) -> Column:
+    """Exact interval (low, high) of a rate, by bisection of the binomial tail; null for n = 0. Use it on distinct (k, n)."""
     k, n = col(k), col(n)
 
-    def bisect(tail) -> Column:
-        """The p at which the rising ``tail(p)`` reaches alpha / 2."""
-        half = lambda acc, _: F.when(tail((acc["a"] + acc["b"]) / 2) < alpha / 2, F.struct(((acc["a"] + acc["b"]) / 2).alias("a"), acc["b"].alias("b"))).otherwise(F.struct(acc["a"].alias("a"), ((acc["a"] + acc["b"]) / 2).alias("b")))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), half)
-        return (found["a"] + found["b"]) / 2
+    def lower(k: Column) -> Column:
+        """The p at which P(X >= k), rising in p, reaches alpha / 2. At and above k / n it is over a half."""
+
+        def halve(acc: Column, _: Column) -> Column:
+            p = (acc["a"] + acc["b"]) / 2
+            short = (k > n * p) & (_beyond(acc["c"], k, n, p) < alpha / 2)
+            return F.struct(F.when(short, p).otherwise(acc["a"]).alias("a"), F.when(short, acc["b"]).otherwise(p).alias("b"), acc["c"].alias("c"))
+
+        start = F.struct(F.lit(0.0).alias("a"), (k / n).cast("double").alias("b"), log_binomial(n, k).alias("c"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["a"] + acc["b"]) / 2)
+        return F.when(k > 0, found).otherwise(0.0)
 
-    low = F.when(k == 0, 0.0).otherwise(bisect(lambda p: binomial_upper_tail(k, n, p)))
     # the upper bound is one minus the lower bound of the failures
-    high = F.when(k == n, 1.0).otherwise(1 - bisect(lambda p: binomial_upper_tail(n - k, n, p)))
-    return F.when(n > 0, F.struct(low.alias("low"), high.alias("high")))
+    return F.when(n > 0, F.struct(lower(k).alias("low"), (1 - lower(n - k)).alias("high")))
 
 
 def mcnemar_exact(b, c) -> Column:

@@ -89,7 +89,7 @@ def _side_p(df: DataFrame, s: LengthSettings, below: bool, out: str) -> DataFram
     sign = -1 if below else 1
     bound = F.col("_lo") if below else F.col("_hi")
     edge = F.col("center") + sign * F.col("half")
-    df = df.withColumns({"_edge": edge.cast("double"), "_room": ((bound - edge) * sign).cast("double")})
+    df = df.withColumns({"_edge": edge.cast("double"), "_room": F.when(F.col("_t"), ((bound - edge) * sign).cast("double"))})
     inside = F.filter("_lengths", lambda x: ((x["length"] - F.col("_edge")) * sign > 0) & ((x["length"] - F.col("_edge")) * sign <= F.col("_room")))
     df = df.withColumn("_near", F.sort_array(F.transform(inside, lambda x: F.struct(((x["length"] - F.col("_edge")) * sign).alias("d"), x["n"].alias("n")))))
     fifth = F.aggregate(  # distance of the read that makes the background large enough
@@ -108,7 +108,7 @@ def _side_p(df: DataFrame, s: LengthSettings, below: bool, out: str) -> DataFram
 
 
 def smear_p(spans: DataFrame, cand: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
-    """``cand`` with smear_p: the larger p of both sides, in the region below the top.
+    """``cand`` with smear_p where _t holds: the larger p of both sides, in the region below the top.
 
     A sample's distinct lengths go along as one array: a few thousand at most, since a length is in base pairs.
     """
@@ -126,8 +126,7 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
     cand = supported(spans, maxima(density(spans, s), s), s)
     below = (F.col("center") <= F.col("top") - s.smear_units * s.unit_bp) & (F.col("support") < s.guard * F.col("top_support")) & (F.col("center") != F.col("top")) & (F.col("support") > s.noise_reads)
     if smear:
-        cand = smear_p(spans, cand, s)
-        tested = cand.withColumn("_t", below)
+        tested = smear_p(spans, cand.withColumn("_t", below), s)
         n = tested.groupBy("sample").agg(F.count_if("_t").alias("_n"))
         cand = tested.join(n, "sample")
         p = F.col("smear_p") * F.greatest("_n", F.lit(1))
