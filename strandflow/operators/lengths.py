@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.stats import binomial_upper_tail
 
@@ -127,8 +128,7 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
     below = (F.col("center") <= F.col("top") - s.smear_units * s.unit_bp) & (F.col("support") < s.guard * F.col("top_support")) & (F.col("center") != F.col("top")) & (F.col("support") > s.noise_reads)
     if smear:
         tested = smear_p(spans, cand.withColumn("_t", below), s)
-        n = tested.groupBy("sample").agg(F.count_if("_t").alias("_n"))
-        cand = tested.join(n, "sample")
+        cand = tested.withColumn("_n", F.sum(F.col("_t").cast("int")).over(W.partitionBy("sample")))  # dozens of candidates a sample
         p = F.col("smear_p") * F.greatest("_n", F.lit(1))
         label = F.when(~F.col("_t") | (p < s.smear_alpha / s.smear_factor), None).when(p < s.smear_alpha * s.smear_factor, "smear_ambiguous").otherwise("smear")
     else:
@@ -136,8 +136,6 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
     near = F.abs(F.col("center") - F.col("top")) < s.near_units * s.unit_bp
     floor = F.greatest(F.lit(float(s.least_reads)), F.when(near, s.near_share).otherwise(s.far_share) * F.col("total"))
     reason = F.when(F.col("center") == F.col("top"), None).when(F.col("support") <= s.noise_reads, "noise").otherwise(F.coalesce(label, F.when(F.col("support") < floor, "support_below_threshold")))
-    from pyspark.sql.window import Window as W
-
     judged = cand.withColumn("_why", reason)
     place = F.row_number().over(W.partitionBy("sample", F.col("_why").isNull()).orderBy((F.col("center") != F.col("top")).cast("int"), F.col("support").desc(), "ord"))
     return judged.withColumn("reason", F.when(F.col("_why").isNull() & (place > s.alleles), "max_alleles").otherwise(F.col("_why"))).select("sample", "center", "support", "total", "reason")

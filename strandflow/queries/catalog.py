@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, decision, joins, sequence, statistics
+from . import aggregates, decision, joins, quality, sequence, statistics
 
-MODULES = (sequence, joins, aggregates, statistics, decision)
+MODULES = (sequence, joins, aggregates, statistics, decision, quality)
 
 
 def queries() -> dict:
