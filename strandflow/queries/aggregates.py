@@ -223,16 +223,28 @@ def kde_density(spark, sf):
     return L.density(_spans(spark, sf)).select("sample", "x", F.round("d", 6).alias("d"))
 
 
-@R.add(f"""with recursive {DENSITY}, top as (select a.sample, a.x, round(a.d, 9) as d from dens a left join dens l on l.sample = a.sample and l.i = a.i - 1 left join dens r on r.sample = a.sample and r.i = a.i + 1 where a.d >= coalesce(l.d, 0) and a.d > coalesce(r.d, 0)),
+PEAKS = f"""with recursive {DENSITY}, top as (select a.sample, a.x, round(a.d, 9) as d from dens a left join dens l on l.sample = a.sample and l.i = a.i - 1 left join dens r on r.sample = a.sample and r.i = a.i + 1 where a.d >= coalesce(l.d, 0) and a.d > coalesce(r.d, 0)),
 o as (select *, row_number() over (partition by sample order by d desc, x) as k from top),
 nms(sample, k, kept) as (select sample, k, [x] from o where k = 1 union all select o.sample, o.k, case when len(list_filter(kept, lambda q: abs(q - o.x) < 42)) > 0 then kept else list_append(kept, o.x) end from nms join o on o.sample = nms.sample and o.k = nms.k + 1),
-f as (select sample, kept from nms qualify row_number() over (partition by sample order by k desc) = 1)
-select sample, (i - 1)::int as ord, kept[i] as center, (select count(*) from {SPANS} s where s.sample = f.sample and abs(s.length - kept[i]) <= 30 + 0.6 * kept[i] / 60)::bigint as support from f, lateral (select unnest(range(1, len(kept) + 1)) as i)""")
+f as (select sample, kept from nms qualify row_number() over (partition by sample order by k desc) = 1),
+p as (select sample, (i - 1)::int as ord, kept[i] as center, (select count(*) from {SPANS} s where s.sample = f.sample and abs(s.length - kept[i]) <= 30 + 0.6 * kept[i] / 60)::bigint as support from f, lateral (select unnest(range(1, len(kept) + 1)) as i))"""
+
+
+@R.add(PEAKS + " select sample, ord, center, support from p")
 def kde_peaks(spark, sf):
     spans = _spans(spark, sf)
     return L.supported(spans, L.maxima(L.density(spans))).select("sample", "ord", "center", "support")
 
 
+@R.add(PEAKS + f""", n as (select sample, count(*) as total from {SPANS} group by sample), t as (select sample, center as top from p qualify row_number() over (partition by sample order by support desc, ord) = 1),
+w as (select *, case when center = top then null when support <= 2 then 'noise' when support < greatest(8, case when abs(center - top) < 120 then 0.2 else 0.03 end * total) then 'support_below_threshold' end as why from p join n using (sample) join t using (sample)),
+r as (select *, row_number() over (partition by sample, why is null order by center <> top, support desc, ord) as k from w)
+select sample, center, support, total::bigint as total, case when why is null and k > 2 then 'max_alleles' else why end as reason from r""")
+def length_candidates(spark, sf):
+    """The length model without its smear test."""
+    return L.length_model(_spans(spark, sf), smear=False)
+
+
 @R.add()
 def length_model(spark, sf):
     """All candidates with the reason of those that were rejected (smear test included)."""
