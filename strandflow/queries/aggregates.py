@@ -75,11 +75,11 @@ def gap_clusters(spark, sf):
     return A.gap_clusters(c, ["sample"], "units", "n", least=2, gap=3)
 
 
-@R.add("""with s as (select l_suppkey as sample, l_linenumber as contig, avg(l_extendedprice) as m, avg(l_discount) as i, count_if((((l_orderkey % 3) * 2048 + (l_partkey % 2) * 4)::int & 2308) = 0) as p, count(*) as n from lineitem group by all)
-select sample, contig, round(m, 4) as mean_score, round(i, 6) as mean_indel, p::bigint as primary, n as records, row_number() over (partition by sample order by m desc, contig) = 1 as best from s""")
+@R.add("""with s as (select l_suppkey as sample, l_linenumber as contig, avg(l_quantity) as m, avg(l_discount) as i, count_if((((l_orderkey % 3) * 2048 + (l_partkey % 2) * 4)::int & 2308) = 0) as p, count(*) as n from lineitem group by all)
+select sample, contig, round(m, 6) as mean_score, round(i, 9) as mean_indel, p::bigint as primary, n as records, row_number() over (partition by sample order by m desc, contig) = 1 as best from s""")
 def refine_contig(spark, sf):
-    t = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_linenumber").alias("contig"), F.col("l_extendedprice").alias("score"), F.col("l_discount").alias("indel"), ((F.col("l_orderkey") % 3) * 2048 + (F.col("l_partkey") % 2) * 4).cast("int").alias("flag"))
-    return A.best_contig(t, ["sample"]).withColumn("mean_score", F.round("mean_score", 4)).withColumn("mean_indel", F.round("mean_indel", 6))
+    t = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_linenumber").alias("contig"), F.col("l_quantity").alias("score"), F.col("l_discount").alias("indel"), ((F.col("l_orderkey") % 3) * 2048 + (F.col("l_partkey") % 2) * 4).cast("int").alias("flag"))
+    return A.best_contig(t, ["sample"]).withColumn("mean_score", F.round("mean_score", 6)).withColumn("mean_indel", F.round("mean_indel", 9))
 
 
 @R.add("""with s as (select l_suppkey as sample, case when l_partkey % 4 > 0 then l_partkey % 200 end as s1, case when l_orderkey % 5 > 0 then l_orderkey % 200 end as s2, l_suppkey % 10 as d, l_suppkey % 2 as p from lineitem),
