@@ -10,8 +10,8 @@ from strandflow.llm.common import Scratch
 from strandflow.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words to a shingle in the near-duplicate stage. (Links at two bits of 64 stand for similarities of well over 0.8.)
-SHINGLE = 5
+#: Words to a shingle and least similarity in the near-duplicate stage.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _shape(docs: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    marked = simhash.near_duplicates(spark, docs, width=SHINGLE, with_version=True)
+    marked = simhash.near_duplicates(spark, docs, width=SHINGLE, with_version=True, similar=SIMILARITY)
     # of rows that repeat the smallest id, the one with the smallest hash of its text
     stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("version").alias("version"))
     stay = stay.select(F.col("component_id").alias("_id"), F.col("version").alias("_version"))

@@ -175,3 +175,42 @@ def test_golay_neighbours_share_an_index():
     for a, b in zip(golay_indices(words), golay_indices(other)):
         assert set(a[a >= 0]) & set(b[b >= 0])
         assert len(a[a >= 0]) in (1, 6)
+
+
+def test_similar_texts_are_linked(spark):
+    """Texts with Jaccard index 0.85 or more share a component; unrelated ones don't, and a large group is no trouble."""
+    from strandflow.llm.simhash import near_duplicates
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        for _ in range(rng.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(len(w) // 120):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+    base = [rng.choice(words) for _ in range(300)]
+    for _ in range(60):
+        w = list(base)
+        w[rng.randrange(300)] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [None, "", "a b"]
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    docs = table(spark, texts, list(range(len(texts))))
+    group = {r.doc_id: r.component_id for r in near_duplicates(spark, docs, width=5, similar=0.8).collect()}
+    near = lost = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if not sets[i] or not sets[j]:
+                continue
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near += alike >= 0.85
+            lost += alike >= 0.85 and group[i] != group[j]
+            assert alike > 0.3 or group[i] != group[j]
+    assert near > 100 and lost <= 0.01 * near
+    assert near_duplicates(spark, table(spark, []), width=5, similar=0.8).count() == 0
