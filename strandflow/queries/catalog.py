@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, decision, joins, quality, sequence, statistics
+from . import aggregates, decision, joins, quality, records, sequence, statistics
 
-MODULES = (sequence, joins, aggregates, statistics, decision, quality)
+MODULES = (sequence, joins, aggregates, statistics, decision, quality, records)
 
 
 def queries() -> dict:
