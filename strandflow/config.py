@@ -28,6 +28,9 @@ class ReadSettings:
     run_background: float = 4.0
     strand_reads: int = 5
     strand_alpha: float = 0.001
+    single_error: float = 0.02
+    single_floor: float = 0.4
+    single_alpha: float = 0.001
     fragment_bp: int = 1000
     margin: int = 3
     error_rate: float = 0.15
