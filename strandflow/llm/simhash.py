@@ -16,11 +16,12 @@ at most two bits exactly if they have a meeting point in common; each then links
 its meeting point. This is exact and grows with the bucket's size, not its square.
 
 Two bits of 64 stand for texts that are all but equal. For a similarity (Jaccard index of the shingle sets) as low as
-0.8, ``similar`` adds links of a second kind: PARTS fingerprints of 64 bits from differently mixed hashes make one of 1,024
-bits, whose share of differing bits is the angle of the shingle counts over pi, to within about 0.01. Texts meet in
-bands of BAND equal bits, small buckets by pairs, crowded ones through one member that differs from band to band,
-and a link is kept if the 1,024 bits agree with the similarity asked for. Found are, of pairs at 0.8, some 85 %, at
-0.85 95 % and at 0.9 over 99 %, more in groups; no pair is linked on a band alone.
+0.8, ``similar`` adds links of a second kind: PARTS fingerprints of 64 bits from differently mixed hashes make a long one,
+whose share of differing bits is the angle of the shingle counts over pi, to within about 0.01. Texts meet in
+bands of equal bits, small buckets by pairs, crowded ones through one member that differs from band to band,
+and a link is kept if the long fingerprints agree with the similarity asked for; none is made on a band alone. A band has
+SPARE bits more than the logarithm of the number of fingerprints, so that what meets by chance grows with the corpus and not
+with its square.
 
 Only distinct fingerprints take part; documents join them at the end. Documents without words have
 fingerprint zero. A null text has no words; a null doc_id gets its component like any other but is
@@ -47,8 +48,8 @@ CROWDED = 24
 #: Generator polynomial of the binary Golay code of length 23. Fixed value.
 GOLAY = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
-#: 64-bit parts of the long fingerprint, and bits to a band.
-PARTS, BAND = 16, 20
+#: 64-bit parts of the long fingerprint, and bits of a band beyond the logarithm of the number of fingerprints.
+PARTS, SPARE = 20, 3
 #: Above so many members of a band's bucket, one member stands for all.
 BUCKET = 8
 #: Bits of the first 64 in which members of a bucket may differ to be compared in full (0.8 has some 9.7, deviation 2.9).
@@ -106,19 +107,20 @@ def _fingerprints(batches, width, others, long):
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(wide, pa.binary())] if long else []), names=names + ["long"] * long)
 
 
-def _bands(batches):
+def _bands(batches, width):
     for batch in batches:
         marks = batch.column("mark").to_numpy()
         bits = np.unpackbits(np.frombuffer(b"".join(batch.column("long").to_pylist()), np.uint8).reshape(len(marks), -1), axis=1, bitorder="little")
-        bands = bits.shape[1] // BAND
-        value = bits[:, : bands * BAND].reshape(len(marks), bands, BAND).astype(np.int64) @ (1 << np.arange(BAND, dtype=np.int64))
-        keys = value | np.arange(bands, dtype=np.int64)[None, :] << BAND
+        bands = bits.shape[1] // width
+        value = bits[:, : bands * width].reshape(len(marks), bands, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+        keys = value | np.arange(bands, dtype=np.int64)[None, :] << width
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(marks, bands))], names=["key", "mark"])
 
 
 def similar_links(marks: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """Edges (u, v) between fingerprints of texts at least this similar; marks: distinct mark, long."""
-    keys = scratch.keep(marks.select("mark", "long").mapInArrow(_bands, "key long, mark long"), "bands")
+    width = max(1, marks.count() - 1).bit_length() + SPARE
+    keys = scratch.keep(marks.select("mark", "long").mapInArrow(lambda b: _bands(b, width), "key long, mark long"), "bands")
     turn = F.xxhash64("key", "mark")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("t"), "mark")).alias("lead")).where("n > 1")
     met = scratch.keep(keys.join(sizes.select("key", "n", F.col("lead.mark").alias("lead")), "key"), "met")
