@@ -47,14 +47,18 @@ class Scratch:
     temporary folder is made and set.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, within: str | None = None):
         self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        base = within or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="strandflow-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
+    def inner(self, name: str) -> Scratch:
+        """Tables of a step that names its own, in a folder of this one."""
+        return Scratch(self.spark, name, self.root)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -18,8 +18,10 @@ its meeting point. This is exact and grows with the bucket's size, not its squar
 Two bits of 64 stand for texts that are all but equal. For a similarity (Jaccard index of the shingle sets) as low as
 0.8, ``similar`` adds links of a second kind: PARTS fingerprints of 64 bits from differently mixed hashes make a long one,
 whose share of differing bits is the angle of the shingle counts over pi, to within about 0.01. Texts meet in
-bands of equal bits, small buckets by pairs, crowded ones through one member that differs from band to band,
-and a link is kept if the long fingerprints agree with the similarity asked for; none is made on a band alone. A band has
+bands of equal bits, and a link is kept if the long fingerprints agree with the similarity asked for; none is made on a band alone.
+Small buckets are compared by pairs. In crowded ones a few members lead and meet all others of the bucket, then more in rounds, until each
+member has led or all of the bucket is in one component; only pairs that earlier links don't connect yet are compared, so a group of close
+copies takes one round and no pair of a bucket that could connect more is left out. A band has
 SPARE bits more than the logarithm of the number of fingerprints, so that what meets by chance grows with the corpus and not
 with its square.
 
@@ -50,8 +52,8 @@ GOLAY = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: 64-bit parts of the long fingerprint, and bits of a band beyond the logarithm of the number of fingerprints.
 PARTS, SPARE = 20, 3
-#: Above so many members of a band's bucket, one member stands for all.
-BUCKET = 8
+#: Above so many members, a band's bucket is compared in rounds of leads, each of so many times the leads of the one before.
+BUCKET, FACTOR = 8, 8
 #: Bits of the first 64 in which members of a bucket may differ to be compared in full (0.8 has some 9.7, deviation 2.9).
 NEAR = 22
 POINTS = np.array([0, *(1 << i for i in range(64))], np.uint64)
@@ -117,18 +119,8 @@ def _bands(batches, width):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(marks, bands))], names=["key", "mark"])
 
 
-def similar_links(marks: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Edges (u, v) between fingerprints of texts at least this similar; marks: distinct mark, long."""
-    width = max(1, marks.count() - 1).bit_length() + SPARE
-    keys = scratch.keep(marks.select("mark", "long").mapInArrow(lambda b: _bands(b, width), "key long, mark long"), "bands")
-    turn = F.xxhash64("key", "mark")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("t"), "mark")).alias("lead")).where("n > 1")
-    met = scratch.keep(keys.join(sizes.select("key", "n", F.col("lead.mark").alias("lead")), "key"), "met")
-    few = met.where(F.col("n") <= BUCKET)
-    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= NEAR
-    pairs = few.select("key", F.col("mark").alias("u")).join(few.select("key", F.col("mark").alias("v")), "key").where("u < v").select("u", "v").where(close)
-    led = met.where(F.col("n") > BUCKET).select(F.col("mark").alias("u"), F.col("lead").alias("v")).where("u <> v").where(close)
-    found = scratch.keep(pairs.unionByName(led).distinct(), "candidates")
+def _alike(found: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Of candidates (u, v), those whose long fingerprints agree with the similarity."""
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     one, two = marks.select(F.col("mark").alias("u"), F.col("long").alias("a")), marks.select(F.col("mark").alias("v"), F.col("long").alias("b"))
     both = found.join(one, "u").join(two, "v")
@@ -138,6 +130,42 @@ def similar_links(marks: DataFrame, scratch: Scratch, similarity: float) -> Data
     return both.where(differ <= round(angle * 64 * PARTS)).select("u", "v")
 
 
+def similar_links(marks: DataFrame, scratch: Scratch, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) that, with those of ``known``, connect what all similar pairs that meet in a band do; marks: distinct mark, long."""
+    width = max(1, marks.count() - 1).bit_length() + SPARE
+    keys = scratch.keep(marks.select("mark", "long").mapInArrow(lambda b: _bands(b, width), "key long, mark long"), "bands")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch.keep(keys.join(sizes, "key"), "met")
+    few = met.where(F.col("n") <= BUCKET)
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= NEAR
+    pairs = few.select("key", F.col("mark").alias("u")).join(few.select("key", F.col("mark").alias("v")), "key").where("u < v").select("u", "v").where(close)
+    found = scratch.keep(pairs.distinct(), "candidates")
+    edges = scratch.keep(_alike(found, marks, similarity), "alike")
+    edges = edges.unionByName(known) if known is not None else edges
+    # a member's round is the first in which it leads: in round k some FACTOR ** k members of a bucket have led
+    draw = F.shiftrightunsigned(F.xxhash64("key", "mark"), 11) / F.lit(float(1 << 53)) * F.col("n")
+    turn = F.when(draw < 1, 0).otherwise(F.ceil(F.log(F.greatest(draw, F.lit(1.0))) / math.log(FACTOR))).cast("int")
+    left, k = met.where(F.col("n") > BUCKET).withColumn("turn", turn).select("key", "mark", "turn"), 0
+    while True:
+        last = left.agg(F.max("turn")).first()[0]
+        if last is None:
+            return edges
+        roots = components(edges, scratch.inner(f"round-{k}"))
+        now = left.join(roots, left.mark == roots.node, "left").select("key", "mark", "turn", F.coalesce("root", "mark").alias("root"))
+        now = scratch.keep(now, f"left-{k}")
+        # where all have one root no pair can connect more
+        mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        now = scratch.keep(now.join(mixed, "key"), f"mixed-{k}")
+        lead = now.where(F.col("turn") == k).select("key", F.col("mark").alias("v"), F.col("root").alias("to"))
+        rest = now.select("key", F.col("mark").alias("u"), "root", "turn")
+        met_now = rest.join(lead, "key").where((F.col("root") != F.col("to")) & ((F.col("turn") > k) | (F.col("u") < F.col("v")))).where(close)
+        found = scratch.keep(met_now.select("u", "v").distinct(), f"candidates-{k}")
+        more = scratch.keep(_alike(found, marks, similarity), f"alike-{k}")
+        # the stars of the components stand for the edges so far
+        edges = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+        left, k = now.where(F.col("turn") > k).select("key", "mark", "turn"), k + 1
+
+
 @functools.cache
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """By syndrome: the error patterns (up to six, -1: none) that lead to the codewords that index a word."""
@@ -235,7 +263,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 3, wit
     marks = scratch.keep(rows.groupBy("mark").agg(F.min("doc_id").alias("first"), *wide), "marks")
     edges = links(marks.select("mark"), scratch)
     if similar is not None:
-        edges = edges.unionByName(similar_links(marks, scratch, similar))
+        edges = similar_links(marks, scratch, similar, edges)
     roots = components(edges, scratch)
     placed = marks.join(roots, marks.mark == roots.node, "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))

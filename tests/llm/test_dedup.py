@@ -214,3 +214,51 @@ def test_similar_texts_are_linked(spark):
             assert alike > 0.3 or group[i] != group[j]
     assert near > 100 and lost <= 0.01 * near
     assert near_duplicates(spark, table(spark, []), width=5, similar=0.8).count() == 0
+
+
+def test_crowded_bands_are_compared_in_full(spark):
+    """Stars of copies that are similar to their base only: links are those of all pairs that meet in a band."""
+    import pyarrow as pa
+    from strandflow.llm import simhash
+    from strandflow.llm.common import Scratch
+    from strandflow.llm.components import components
+
+    rng = np.random.default_rng(7)
+    long = []
+    for _ in range(3):
+        base = rng.integers(0, 2, 1280)
+        long += [base] + [base ^ (rng.random(1280) < 0.145) for _ in range(200)]
+    raw = [np.packbits(x.astype(np.uint8), bitorder="little").tobytes() for x in long]
+    signed = [int.from_bytes(x[:8], "little", signed=True) for x in raw]
+    assert len(set(signed)) == len(raw)
+    width = (len(raw) - 1).bit_length() + simhash.SPARE
+    batch = next(iter(simhash._bands([pa.record_batch({"mark": pa.array(signed), "long": pa.array(raw)})], width)))
+    buckets = defaultdict(list)
+    place = {m: i for i, m in enumerate(signed)}
+    for key, m in zip(batch.column("key").to_pylist(), batch.column("mark").to_pylist()):
+        buckets[key].append(place[m])
+    root = list(range(len(raw)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    bits, limit = np.array(long), round(np.arccos(2 * 0.8 / 1.8) / np.pi * 1280)
+    for own in buckets.values():
+        for n, i in enumerate(own):
+            for j in own[:n]:
+                d = bits[i] != bits[j]
+                if d.sum() <= limit and d[:64].sum() <= simhash.NEAR:
+                    root[find(i)] = find(j)
+    want = defaultdict(set)
+    for i, m in enumerate(signed):
+        want[find(i)].add(m)
+    scratch = Scratch(spark, "test")
+    marks = spark.createDataFrame([(m, bytearray(x)) for m, x in zip(signed, raw)], "mark long, long binary")
+    got = defaultdict(set)
+    roots = {r.node: r.root for r in components(simhash.similar_links(marks, scratch, 0.8), scratch.inner("all")).collect()}
+    for m in signed:
+        got[roots.get(m, m)].add(m)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert sum(len(x) > 1 for x in want.values()) == 3
