@@ -23,7 +23,7 @@ Small buckets are compared by pairs. In crowded ones a few members lead and meet
 member has led or all of the bucket is in one component; only pairs that earlier links don't connect yet are compared, so a group of close
 copies takes one round and no pair of a bucket that could connect more is left out. A band has
 SPARE bits more than the logarithm of the number of fingerprints, so that what meets by chance grows with the corpus and not
-with its square.
+with its square; the number of bands follows the width, so that the chance to meet stays above MEET at every size.
 
 Only distinct fingerprints take part; documents join them at the end. Documents without words have
 fingerprint zero. A null text has no words; a null doc_id gets its component like any other but is
@@ -52,6 +52,8 @@ GOLAY = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: 64-bit parts of the long fingerprint, and bits of a band beyond the logarithm of the number of fingerprints.
 PARTS, SPARE = 20, 3
+#: Least chance that two texts just at the similarity asked for meet in a band, at every corpus size.
+MEET = 0.98
 #: Above so many members, a band's bucket is compared in rounds of leads, each of so many times the leads of the one before.
 BUCKET, FACTOR = 8, 8
 #: Bits of the first 64 in which members of a bucket may differ to be compared in full (0.8 has some 9.7, deviation 2.9).
@@ -109,14 +111,33 @@ def _fingerprints(batches, width, others, long):
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(wide, pa.binary())] if long else []), names=names + ["long"] * long)
 
 
-def _bands(batches, width):
-    for batch in batches:
-        marks = batch.column("mark").to_numpy()
-        bits = np.unpackbits(np.frombuffer(b"".join(batch.column("long").to_pylist()), np.uint8).reshape(len(marks), -1), axis=1, bitorder="little")
-        bands = bits.shape[1] // width
-        value = bits[:, : bands * width].reshape(len(marks), bands, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-        keys = value | np.arange(bands, dtype=np.int64)[None, :] << width
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(marks, bands))], names=["key", "mark"])
+def band_count(width: int, similarity: float) -> int:
+    """Bands of this width in which two texts at the similarity meet with a chance of MEET at least."""
+    size, p = 64 * PARTS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    # bands share bits, so the chance is taken for each number of differing bits
+    chance = [math.exp(math.lgamma(size + 1) - math.lgamma(d + 1) - math.lgamma(size - d + 1) + d * math.log(p) + (size - d) * math.log1p(-p)) for d in range(size + 1)]
+    same = size - np.arange(size + 1)
+    apart = 1 - np.prod([np.maximum(same - i, 0) / (size - i) for i in range(width)], axis=0)
+    count = size // width
+    while float(chance @ apart**count) > 1 - MEET:
+        count += max(1, count // 50)
+    return count
+
+
+def _bands(batches, width, count):
+    size = 64 * PARTS
+    each = size // width
+    # when the bits are used up, they are dealt anew in another order
+    orders = [np.arange(size) if k == 0 else np.argsort(_mix(np.arange(size, dtype=np.uint64) + np.uint64(k * size)), kind="stable") for k in range(-(-count // each))]
+    powers = 1 << np.arange(width, dtype=np.int64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            marks = batch.column("mark").to_numpy()
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("long").to_pylist()), np.uint8).reshape(len(marks), -1), axis=1, bitorder="little")
+            value = [bits[:, o[: each * width]].reshape(len(marks), each, width).astype(np.int64) @ powers for o in orders]
+            keys = np.concatenate(value, axis=1)[:, :count] | np.arange(count, dtype=np.int64)[None, :] << width
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(marks, count))], names=["key", "mark"])
 
 
 def _alike(found: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -133,7 +154,8 @@ def _alike(found: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
 def similar_links(marks: DataFrame, scratch: Scratch, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) that, with those of ``known``, connect what all similar pairs that meet in a band do; marks: distinct mark, long."""
     width = max(1, marks.count() - 1).bit_length() + SPARE
-    keys = scratch.keep(marks.select("mark", "long").mapInArrow(lambda b: _bands(b, width), "key long, mark long"), "bands")
+    count = band_count(width, similarity)
+    keys = scratch.keep(marks.select("mark", "long").mapInArrow(lambda b: _bands(b, width, count), "key long, mark long"), "bands")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.keep(keys.join(sizes, "key"), "met")
     few = met.where(F.col("n") <= BUCKET)

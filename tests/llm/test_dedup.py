@@ -232,7 +232,7 @@ def test_crowded_bands_are_compared_in_full(spark):
     signed = [int.from_bytes(x[:8], "little", signed=True) for x in raw]
     assert len(set(signed)) == len(raw)
     width = (len(raw) - 1).bit_length() + simhash.SPARE
-    batch = next(iter(simhash._bands([pa.record_batch({"mark": pa.array(signed), "long": pa.array(raw)})], width)))
+    batch = next(iter(simhash._bands([pa.record_batch({"mark": pa.array(signed), "long": pa.array(raw)})], width, simhash.band_count(width, 0.8))))
     buckets = defaultdict(list)
     place = {m: i for i, m in enumerate(signed)}
     for key, m in zip(batch.column("key").to_pylist(), batch.column("mark").to_pylist()):
@@ -262,3 +262,24 @@ def test_crowded_bands_are_compared_in_full(spark):
         got[roots.get(m, m)].add(m)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert sum(len(x) > 1 for x in want.values()) == 3
+
+
+@pytest.mark.parametrize("width", [18, 20, 23, 26])
+def test_pairs_meet_at_every_corpus_size(width):
+    """Pairs at similarity 0.8 share a band as often at the band widths of large corpora."""
+    import pyarrow as pa
+    from strandflow.llm import simhash
+
+    rng = np.random.default_rng(width)
+    n, p = 3000, np.arccos(2 * 0.8 / 1.8) / np.pi
+    a = rng.integers(0, 2, (n, 64 * simhash.PARTS))
+    b = a ^ (rng.random(a.shape) < p)
+    count = simhash.band_count(width, 0.8)
+
+    def keys(bits):
+        raw = [np.packbits(x.astype(np.uint8), bitorder="little").tobytes() for x in bits]
+        parts = simhash._bands([pa.record_batch({"mark": pa.array(range(n)), "long": pa.array(raw)})], width, count)
+        return np.concatenate([x.column("key").to_numpy() for x in parts]).reshape(n, count)
+
+    met = (keys(a) == keys(b)).any(axis=1).mean()
+    assert met > simhash.MEET - 0.01
