@@ -30,12 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    marked = simhash.near_duplicates(spark, docs, width=SHINGLE, with_version=True, similar=SIMILARITY)
-    # of rows that repeat the smallest id, the one with the smallest hash of its text
-    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("version").alias("version"))
-    stay = stay.select(F.col("component_id").alias("_id"), F.col("version").alias("_version"))
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(F.col("_id")) & (F.hash("text") == F.col("_version")), "left_semi")
-    return _shape(kept)
+    return _shape(simhash.one_of_each(spark, docs, width=SHINGLE, similar=SIMILARITY))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,24 +271,42 @@ def links(marks: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.unionByName(met)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 3, with_version: bool = False, similar: float | None = None) -> DataFrame:
-    """Per row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links); on demand version, a hash of the text.
-
-    ``similar`` also links texts whose shingle sets have at least that Jaccard index.
-    """
-    ship(spark)
-    scratch = Scratch(spark, "simhash")
-    others = ["doc_id", "version"] if with_version else ["doc_id"]
-    docs = docs.select("doc_id", "text").withColumn("version", F.hash("text"))
-    rows = scratch.keep(docs.select(*others, "text").mapInArrow(lambda b: _fingerprints(b, width, others, similar is not None), ddl(docs, *others) + ", mark long" + ", long binary" * (similar is not None)), "rows")
+def _placed(docs: DataFrame, others: list[str], width: int, similar: float | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows (others, mark) of docs (others, text), and of each mark its first doc_id and its component's root."""
+    rows = scratch.keep(docs.mapInArrow(lambda b: _fingerprints(b, width, others, similar is not None), ddl(docs, *others) + ", mark long" + ", long binary" * (similar is not None)), "rows")
     wide = [F.min("long").alias("long")] if similar is not None else []
     marks = scratch.keep(rows.groupBy("mark").agg(F.min("doc_id").alias("first"), *wide), "marks")
     edges = links(marks.select("mark"), scratch)
     if similar is not None:
         edges = similar_links(marks, scratch, similar, edges)
     roots = components(edges, scratch)
-    placed = marks.join(roots, marks.mark == roots.node, "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
+    return rows, marks.join(roots, marks.mark == roots.node, "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 3, similar: float | None = None) -> DataFrame:
+    """Per row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links).
+
+    ``similar`` also links texts whose shingle sets have at least that Jaccard index.
+    """
+    ship(spark)
+    scratch = Scratch(spark, "simhash")
+    rows, placed = _placed(docs.select("doc_id", "text"), ["doc_id"], width, similar, scratch)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_mark = placed.select("mark", "root").join(names, "root").select(F.col("mark").alias("own"), "component_id")
     by_mark = scratch.keep(by_mark, "by-mark")
-    return rows.join(by_mark, rows.mark == by_mark.own).select(*others, F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(by_mark, rows.mark == by_mark.own).select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, *, width: int = 3, similar: float | None = None) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then hash of the text, then row."""
+    ship(spark)
+    scratch = Scratch(spark, "simhash")
+    # row numbers hold once they are written
+    docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    keyed = docs.select("doc_id", "_row", F.hash("text").alias("version"), "text")
+    rows, placed = _placed(keyed, ["doc_id", "_row", "version"], width, similar, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "_row")
+    # first of each mark, then of each root, so that a large component's rows are only minimised
+    firsts = rows.groupBy("mark").agg(F.min(order).alias("stays")).join(placed.select("mark", "root"), "mark")
+    stay = scratch.keep(firsts.groupBy("root").agg(F.min("stays").alias("stays")).select(F.col("stays._row").alias("_row")), "stay")
+    return docs.join(stay, "_row", "left_semi").drop("_row")

@@ -283,3 +283,17 @@ def test_pairs_meet_at_every_corpus_size(width):
 
     met = (keys(a) == keys(b)).any(axis=1).mean()
     assert met > simhash.MEET - 0.01
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null and repeated ids with different texts lose nothing; of rows equal in id and text one stays."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(60))
+    texts = [text() for _ in range(9)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (4, texts[4]), (6, texts[5]), (6, texts[5]), (7, texts[5]), (None, texts[6]), (8, texts[6]), (None, texts[7]), (None, texts[7]), (9, texts[8]), (3, texts[8])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(None, 0), (None, 1), (None, 2), (4, 3), (4, 4), (6, 5), (8, 6), (None, 7), (3, 8)]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter((d, texts[i]) for d, i in want)
