@@ -7,10 +7,16 @@ Because credit and service are exact integers, the state before any window has a
 queue v has been served ``floor(weight_v * tokens / WEIGHTS)`` tokens, plus one for the largest
 remainders. So the carried deficits are known at every window without running those before it, and
 each task packs its own documents: a document's place follows from its queue position alone and
-texts are never shuffled. A few phases with fewer queues follow where a queue runs dry.
+texts are not shuffled. A few phases with fewer queues follow where a queue runs dry.
+
+Sources with a small share of the text are too many for a queue each. They share two queues, of sources with
+a target and of the others, and each queue serves its sources in turn by whole documents: next is the document whose source
+would be least ahead of its share after it (its end within its source over the source's weight). So at every point
+a source has had its share of its queue's tokens to within a document, however many sources there are. Only
+these sources' ids are shuffled, once, to take their place in the order.
 
 Null or repeated rows: a null text is an empty document (its end id only); a null source is a
-queue of its own; repeated rows are packed each. An empty table gives an empty result.
+source of its own; repeated rows are packed each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import Scratch, ddl, read_tokenizer, ship, slices
 from .wordbpe import codec
@@ -29,9 +36,9 @@ from .wordbpe import codec
 WINDOW = 2048
 #: Queue weights are whole parts of this; with at most 2^44 tokens all products fit 63 bits.
 WEIGHTS = 1 << 16
-#: Sources with a smaller share of the text share one queue, so there are at most 65 queues.
+#: Sources with a smaller share of the text share two queues, so there are at most 66 queues.
 MIN_SHARE = 1 / 64
-#: At most so many scan tasks, so that the table of queue starts has a fixed bound (65 queues x 8 bytes each).
+#: At most so many scan tasks, so that the table of queue starts has a fixed bound (66 queues x 8 bytes each).
 MAX_PARTS = 16_384
 
 
@@ -105,26 +112,68 @@ def find_windows(phases: list[dict], queue: int, positions: np.ndarray, window:
     return np.minimum(first[k] + ((positions - at[k]) / rate[k]).astype(np.int64), np.maximum(last[k], first[k]))
 
 
-def _tokens(batches, source, names, end_id):
-    """Per document: the task, its queue, its queue position within the task, and its ids."""
+def _tokens(batches, source, names, aimed, end_id):
+    """Per document: the task, its row there, its queue, its position within the task and queue (shared queues: and source), and its ids."""
     words = codec(source.value)
     kind = words.dtype
     end = np.array([end_id], kind).tobytes()
     part = TaskContext.get().partitionId()
-    before: dict[int, int] = {}
+    before: dict = {}
+    row = 0
     for whole in batches:
         for batch in slices(whole):
-            queues = [names.get(s, len(names)) for s in batch.column("source").to_pylist()]
+            sources = batch.column("source").to_pylist()
+            queues = [names[s] if s in names else len(names) + (s not in aimed) for s in sources]
             ids = [x + end for x in words.encode(batch.column("text").to_pylist())]
             counts = [len(x) // kind.itemsize for x in ids]
             starts = []
-            for q, n in zip(queues, counts):
-                starts.append(before.get(q, 0))
-                before[q] = starts[-1] + n
+            for q, s, n in zip(queues, sources, counts):
+                starts.append(before.get((q, s), 0))
+                before[q, s] = starts[-1] + n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(queues, pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "part", "queue", "at", "doc_tokens", "ids"],
+                [batch.column("doc_id"), batch.column("source"), pa.array([part] * len(ids), pa.int32()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(queues, pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                names=["doc_id", "source", "part", "row", "queue", "at", "doc_tokens", "ids"],
             )
+            row += len(ids)
+
+
+def _running(batches):
+    """Rows in order, each with the tokens before it in its queue and partition."""
+    before = np.zeros(2, np.int64)
+    for batch in batches:
+        queue, counts = batch.column("queue").to_numpy(), batch.column("doc_tokens").to_numpy()
+        at = np.empty(len(counts), np.int64)
+        for k, q in enumerate(np.unique(queue).tolist()):
+            own = np.flatnonzero(queue == q)
+            ends = np.cumsum(counts[own])
+            at[own] = before[q % 2] + ends - counts[own]
+            before[q % 2] += ends[-1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "row", "queue", "pid", "doc_tokens")), pa.array(at)], names=["part", "row", "queue", "pid", "doc_tokens", "at"])
+
+
+def in_turn(tokens: DataFrame, scratch: Scratch, spark: SparkSession, targets: dict | None) -> DataFrame:
+    """Rows of the shared queues with their position in the queue, sources served in turn by their weights."""
+    counts = scratch.keep(tokens.groupBy("queue", "source", "part").agg(F.sum("doc_tokens").alias("n")), "counts")
+    # a source has at most a row for each task here
+    own = W.partitionBy("queue", "source")
+    ahead = counts.select("queue", F.col("source").alias("_s"), F.col("part").alias("_p"), F.sum("n").over(own).alias("size"), (F.sum("n").over(own.orderBy("part")) - F.col("n")).alias("ahead"))
+    small = tokens.select("source", "part", "row", "queue", "at", "doc_tokens").join(ahead.withColumnRenamed("queue", "_q"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")) & (F.col("queue") == F.col("_q")))
+    weight = F.col("size").cast("double")
+    if targets is not None:
+        goal = spark.createDataFrame([(s, float(v)) for s, v in targets.items() if v > 0] or [(None, 1.0)], "_g string, goal double")
+        small = small.join(goal, small.source == goal._g, "left")
+        weight = F.coalesce("goal", weight)
+    small = small.select("part", "row", "queue", "doc_tokens", ((F.col("ahead") + F.col("at") + F.col("doc_tokens")) / weight).alias("turn"))
+    order = ["queue", "turn", "part", "row"]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = small.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
+    dealt = scratch.keep(dealt.select("part", "row", "queue", "pid", "doc_tokens").mapInArrow(_running, "part int, row long, queue int, pid int, doc_tokens long, at long"), "turns")
+    # two rows for each partition at most
+    sums = dealt.groupBy("queue", "pid").agg(F.sum("doc_tokens").alias("n"))
+    starts = sums.select(F.col("queue").alias("_q"), F.col("pid").alias("_i"), (F.sum("n").over(W.partitionBy("queue").orderBy("pid")) - F.col("n")).alias("start"))
+    placed = dealt.join(F.broadcast(starts), (F.col("queue") == F.col("_q")) & (F.col("pid") == F.col("_i"))).select(F.col("part").alias("_p"), F.col("row").alias("_r"), (F.col("start") + F.col("at")).alias("_at"))
+    joined = tokens.join(placed, (tokens.part == placed._p) & (tokens.row == placed._r))
+    return scratch.keep(joined.select("doc_id", "source", "part", "row", "queue", F.col("_at").alias("at"), "doc_tokens", "ids"), "in-turn")
 
 
 def _pieces(batches, plan, kind, window, with_ids):
@@ -205,26 +254,32 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, window: int =
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, total * MIN_SHARE)
-    main = sizes.where((F.col("n") >= least) & F.col("source").isNotNull())
+    main = sizes.where(F.col("n") >= least)
     if targets is not None:
         main = main.where(F.col("source").isin(list(targets)))
+    aimed = {s for s, v in (targets or {}).items() if v > 0}
     names = {r["source"]: i for i, r in enumerate(main.orderBy("source").select("source").collect())}
-    schema = ddl(docs, "doc_id") + ", part int, queue int, at long, doc_tokens long, ids binary"
-    tokens = scratch.keep(docs.mapInArrow(lambda b: _tokens(b, shared, names, end_id), schema), "tokens")
-    # one row for each task and queue: at most MAX_PARTS x 65
+    schema = ddl(docs, "doc_id", "source") + ", part int, row long, queue int, at long, doc_tokens long, ids binary"
+    tokens = scratch.keep(docs.mapInArrow(lambda b: _tokens(b, shared, names, aimed, end_id), schema), "tokens")
+    # one row for each task and queue: at most MAX_PARTS x 66
     sums = {(r["part"], r["queue"]): r["n"] for r in tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n")).collect()}
-    parts, queues = 1 + max((p for p, _ in sums), default=0), len(names) + 1
+    parts, queues = 1 + max((p for p, _ in sums), default=0), len(names) + 2
     table = np.zeros((parts, queues), np.int64)
     for (p, q), n in sums.items():
         table[p, q] = n
     base, size = np.cumsum(table, axis=0) - table, table.sum(axis=0).tolist()
+    few = F.col("queue") < len(names)
+    if any(size[len(names) :]):
+        base[:, len(names) :] = 0
+        turned = in_turn(tokens.where(~few), scratch, spark, targets)
+        tokens = tokens.where(few).unionByName(turned) if names else turned
     wanted = size
     if targets is not None:
-        wanted = [round(targets.get(s, 0) * (1 << 40)) for s in names] + [round(max(0.0, sum(v for k, v in targets.items() if k not in names)) * (1 << 40))]
+        wanted = [round(targets.get(s, 0) * (1 << 40)) for s in names] + [round(sum(targets[s] for s in aimed if s not in names) * (1 << 40)), 0]
         wanted = [max(w, 1) if n else 0 for w, n in zip(wanted, size)]
     # a queue of under a token a window is served behind the largest one, in one lane
     largest = int(np.argmax(size)) if size else 0
-    tiny = [q for q in range(queues) if q != largest and size[q] * window < sum(size)]
+    tiny = [q for q in range(queues) if q != largest and size[q] * window < sum(size) and (targets is None or wanted[q] * window < sum(wanted))]
     lanes = [q for q in range(queues) if q not in tiny]
     virtual, lane_size = {}, [size[q] for q in lanes]
     for i, q in enumerate(lanes):

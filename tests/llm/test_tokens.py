@@ -160,3 +160,31 @@ def test_shard_blocks_and_repeated_keys(tmp_path):
     r = Reader(f"file://{path}")
     assert len(r.index) > 3 and [k for k, _ in r] == keys
     assert len(r.get(7)) == 4 and len(r.get(-500)) == 1 and r.get(1000) == []
+
+
+@pytest.mark.parametrize("up", [None, "s7"])
+def test_many_small_sources_are_mixed(spark, up):
+    """200 equal sources in files of one source each: every stretch of windows has all of them, a small one with a target its share."""
+    from helpers import DOCS
+    from strandflow.llm.packing import pack
+
+    rng = random.Random(3)
+    rows = [(s * 20 + i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(30, 60))), "en", f"s{s}" if s else None, 1) for s in range(200) for i in range(20)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), DOCS)
+    targets = {up: 0.25, "s8": 0.05, "absent": 0.1} if up else None
+    pieces = pack(spark, docs, WORD, window=256, targets=targets).orderBy("sequence_id", "offset").collect()
+    source, size, most = {r[0]: r[3] for r in rows}, Counter(), max(p.doc_tokens for p in pieces)
+    for p in pieces:
+        size[source[p.doc_id]] += p.length
+    total, given, done = sum(size.values()), Counter(), 0
+    for p in pieces:
+        given[source[p.doc_id]] += p.length
+        done += p.length
+        if targets is None:  # each source has had its share, to within a document or so
+            assert all(abs(given[s] - done * n / total) <= 2 * most for s, n in size.items())
+        elif given[up] < size[up] - most:  # the two with a target take turns at five to one
+            assert abs(given[up] - 5 * given["s8"]) <= 6 * most
+    assert done == total and len(size) == 200
+    if up:
+        last = max(p.sequence_id for p in pieces if source[p.doc_id] in (up, "s8"))
+        assert last < 0.1 * max(p.sequence_id for p in pieces)
