@@ -8,7 +8,7 @@ compared one by one with those of the other blocks of the same anchor, so no rep
 at a border. Repeats shorter than the window make no factor.
 
 A word covered by a window that starts earlier too (smaller doc_id, then earlier in the same
-document) goes; the first occurrence stays. Null doc_ids come first. A null text has no words. Rows equal in
+document) goes; the first occurrence stays. Null doc_ids come first; different texts with one doc_id are in the order of a hash of the text. A null text has no words. Rows equal in
 doc_id and text are one place: neither is earlier than the other. An empty table gives an empty result.
 """
 

@@ -4,7 +4,7 @@ Every window of three lines that also occurs earlier (smaller doc_id, then earli
 is a repeat; the lines that repeats cover go and the rest stays in order. Windows travel as 96 bits
 of hash with their place, so lines themselves are never shuffled; a hot window meets partial aggregates and a
 join that adaptive execution splits. Texts of fewer lines than a window stay whole.
-Null doc_ids come first; a null text stays null; rows equal in doc_id and text are one place, so neither is a
+Null doc_ids come first; different texts with one doc_id are in the order of a hash of the text; a null text stays null; rows equal in doc_id and text are one place, so neither is a
 repeat of the other. An empty table gives an empty result. Columns of other names pass through.
 """
 
@@ -43,10 +43,10 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(_doc, _which, at) of every window that also occurs earlier; ``docs``: doc_id, _version, text."""
     found = docs.select(F.col("doc_id").alias("_doc"), F.col("_version").alias("_which"), F.explode(_windows(F.split("text", "\n", -1), width)).alias("w"))
     found = found.select("_doc", "_which", "w.at", "w.high", "w.low")
-    first = found.groupBy("high", "low").agg(F.count("*").alias("c"), F.min(F.struct("_doc", "at")).alias("first")).where("c > 1")
+    first = found.groupBy("high", "low").agg(F.count("*").alias("c"), F.min(F.struct("_doc", "_which", "at")).alias("first")).where("c > 1")
     first = first.select(F.col("high").alias("h"), F.col("low").alias("l"), "first")
     met = found.join(first, (found.high == first.h) & (found.low == first.l))
-    return met.where(~(F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("at") == F.col("first.at")))).select("_doc", "_which", "at")
+    return met.where(~(F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("_which") == F.col("first._which")) & (F.col("at") == F.col("first.at")))).select("_doc", "_which", "at")
 
 
 def dedup_lines(docs: DataFrame, *, width: int = WINDOW) -> DataFrame:

@@ -231,12 +231,12 @@ def _settle(entries: DataFrame, scratch: Scratch, name: str, first_stays: bool)
     keys = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("span").alias("a"), F.max("span").alias("b")).where("c > 1")
     keys = scratch.keep(keys.select(F.col("key").alias("k"), (F.col("a") != F.col("b")).alias("mixed")), f"keys-{name}")
     hits = scratch.keep(entries.join(keys, entries.key == keys.k).drop("k"), f"hits-{name}")
-    place = F.struct("doc_id", "at", "version", "shape")
+    place = F.struct("doc_id", "version", "at", "shape")
     spans = scratch.keep(hits.groupBy("key", "span").agg(F.count("*").alias("c"), F.min(place).alias("rep"), F.max("mixed").alias("mixed")), f"spans-{name}")
-    twice = spans.where("c > 1").select(F.col("key").alias("k"), F.col("span").alias("s"), "rep.doc_id", "rep.at").toDF("k", "s", "d", "p")
+    twice = spans.where("c > 1").select(F.col("key").alias("k"), F.col("span").alias("s"), "rep.doc_id", "rep.version", "rep.at").toDF("k", "s", "d", "w", "p")
     same = hits.join(twice, (hits.key == twice.k) & (hits.span == twice.s))
     if first_stays:  # the same place in a repeated row is not earlier
-        same = same.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("p"))))
+        same = same.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("w")) & (F.col("at") == F.col("p"))))
     return same.select("doc_id", "version", "at", "shape"), spans.where("mixed").select("key", "rep.doc_id", "rep.version", "rep.at", "rep.shape")
 
 
@@ -244,7 +244,7 @@ def repeated(docs: DataFrame, scratch: Scratch, *, unit: str, window: int, gram:
     """Spans (doc_id, version, at, n): windows starting at ``at`` .. ``at + n - 1`` are to go.
 
     ``docs`` has doc_id, version, text. With ``first_stays``, the first occurrence of each window (smallest
-    doc_id, then start) stays; otherwise every occurrence of a repeated window goes.
+    doc_id, of texts with one id the smallest version, then start) stays; otherwise every occurrence of a repeated window goes.
     """
     kinds = f"key long, span long, {ddl(docs, 'doc_id')}, version int, at long, shape int"
     docs = docs.select("doc_id", "version", "text")

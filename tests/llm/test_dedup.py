@@ -297,3 +297,23 @@ def test_one_row_of_each_component_stays(spark):
     want = [(None, 0), (None, 1), (None, 2), (4, 3), (4, 4), (6, 5), (8, 6), (None, 7), (3, 8)]
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == Counter((d, texts[i]) for d, i in want)
+
+
+def test_a_header_of_different_texts_with_one_id_stays_once(spark):
+    """Null or repeated ids: a passage at the same place of different texts has one first occurrence; rows equal in id and text are one place."""
+    from strandflow.llm import lempelziv, linededup
+
+    rng = random.Random(31)
+    words = lambda k: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(k)]
+    head = words(30)
+    lines = "\n".join(" ".join(head[i : i + 10]) for i in (0, 10, 20))
+    bodies = [" ".join(words(40)) for _ in range(8)]
+    ids = [None, None, None, 5, 5, 5, 6, 6]
+    texts = [f"{lines}\n{b}" for b in bodies]
+    for same in ([0, 1, 2], [3, 4, 5, 3], [3, 6, 7], [6, 6]):
+        docs = spark.createDataFrame([(ids[i], texts[i]) for i in same], "doc_id long, text string")
+        distinct = len(set(same))
+        cut = Counter((r.doc_id, r.kept_sha256, r.n_removed) for r in lempelziv.remove_repeats(spark, docs).collect())
+        lined = Counter((r.doc_id, r.kept_sha256, r.n_removed) for r in linededup.digest(docs).collect())
+        for found, n in ((cut, 30), (lined, 3)):
+            assert sum(k[2] == 0 for k in found) == 1 and sum(k[2] == n for k in found) == distinct - 1
