@@ -118,6 +118,13 @@ def adoption_rule(spark, sf):
     return E.adoption(t, ["exact", "fp"]).select("profile", "metric", "b", "c", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
 
+# adoption_rule keeps its filter because its SQL has it; this is the whole table
+@R.add(R.oracles["adoption_rule"].replace(" where l_partkey % 5 = 0", ""))
+def adoption_rule_whole(spark, sf):
+    t = table(spark, sf, "lineitem").selectExpr("l_suppkey % 10 as profile", "cast(l_returnflag = 'R' as int) as exact_base", "cast(l_quantity > 30 as int) as exact_new", "cast(l_linestatus = 'O' as int) as fp_base", "cast(l_discount > 0.02 as int) as fp_new")
+    return E.adoption(t, ["exact", "fp"]).select("profile", "metric", "b", "c", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
+
+
 @R.add("""with m as (select p_brand as point, 'size' as metric, avg(p_size) as value from part group by 1 union all select p_brand, 'price', case when p_brand like '%1' then null else avg(p_retailprice) end from part group by p_brand), c as (select * from (values ('size', 24.0, null), ('price', null, 1500.0)) c(metric, minimum, maximum)),
 b as (select p.point, c.metric, not coalesce(coalesce(value >= minimum, minimum is null) and coalesce(value <= maximum, maximum is null) and value is not null, false) as bad from (select distinct point from m) p, c left join m on m.point = p.point and m.metric = c.metric)
 select point, coalesce(string_agg(metric, ',' order by metric) filter (bad), '') as violated from b group by point""")
@@ -172,6 +179,13 @@ def phase_evidence(spark, sf):
     return L.phase_evidence(v)
 
 
+# phase_evidence keeps its filter because its SQL has it; this is the whole table
+@R.add(R.oracles["phase_evidence"].replace(" where l_orderkey % 40 = 0", ""))
+def phase_evidence_whole(spark, sf):
+    v = table(spark, sf, "lineitem").selectExpr("l_suppkey as sample", "cast(l_partkey as int) as pos", "substr('ACG', 1, cast(l_linenumber % 3 + 1 as int)) as ref", "case l_orderkey % 3 when 0 then '0|1' when 1 then '1|1' else '0/1' end as genotype", "l_linenumber % 2 as phase_set")
+    return L.phase_evidence(v)
+
+
 @R.add(f"select doc_id as id, substr(d, 1, 4) || 'TT' || substr(d, 6, 14) || 'G' || substr(d, 23) as consensus from (select doc_id, {dna_sql('doc_id')} as d from documents)")
 def apply_variants(spark, sf):
     c = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), dna("doc_id").alias("seq"))
@@ -258,9 +272,7 @@ def phase_split(spark, sf):
     from ..operators import phase
 
     spans = reads_op.categorize(_reads(spark, sf)).where("category = 'spanning'").select("sample", F.col("length").cast("long").alias("peak"), "ord", "seq", "strand")
-    from ..config import ReadSettings
-
-    return phase.phase(spans, ReadSettings(site_reads=12, draft_reads=6, polish_rounds=1))
+    return phase.phase(spans)
 
 
 @R.add()
