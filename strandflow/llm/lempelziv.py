@@ -1,11 +1,8 @@
-"""Substring dedup of words by relative Lempel-Ziv parsing against the whole corpus.
+"""Substring dedup of words against the whole corpus, for the task dealt with relative Lempel-Ziv parsing.
 
-The reference is every document, indexed in content-defined blocks: the spans between word anchors
-(repeats.py). A document is parsed greedily into the longest runs of blocks that the index has
-from an earlier place; a run of blocks is a factor, and each window of ``window`` words inside it is a
-duplicate. A factor's borders are where a block has no equal: there, the windows that cross the border are
-compared one by one with those of the other blocks of the same anchor, so no repeat is lost
-at a border. Repeats shorter than the window make no factor.
+There is no Lempel-Ziv parse here: no factors are made and no factor borders checked. Windows of ``window`` words
+that occur earlier are found by hashed anchors, runs and blocks of windows (repeats.py), as in suffix.py; which
+windows these are doesn't depend on a parse. Repeats shorter than the window are not looked for.
 
 A word covered by a window that starts earlier too (smaller doc_id, then earlier in the same
 document) goes; the first occurrence stays. Null doc_ids come first; different texts with one doc_id are in the order of a hash of the text. A null text has no words. Rows equal in
