@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 #: Bytes of a batch that goes to a Python worker, so that its memory doesn't follow the length of rows.
 BATCH_BYTES = 4 << 20
+#: Bytes of an operator's input to a file of its scratch tables, at least.
+PART_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,37 +45,55 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """Tables that cut lineage, in the folder shared by driver and executors.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local
-    temporary folder is made and set.
+    The folder is ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests) a local
+    temporary folder is made and set. With ``like``, the table that the work starts from, tables of little data
+    get few files: one for PART_BYTES of it, but enough for every core. All goes when the driver ends, and
+    with ``drop`` before.
     """
 
-    def __init__(self, spark: SparkSession, label: str, within: str | None = None):
+    def __init__(self, spark: SparkSession, label: str, within: str | None = None, like: DataFrame | None = None, parts: int | None = None):
         self.spark = spark
         base = within or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="strandflow-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.parts = parts
+        if like is not None:
+            size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            self.parts = max(2 * spark.sparkContext.defaultParallelism, min(size // PART_BYTES, 1 << 30))
+        self.marked = within is not None
 
     def inner(self, name: str) -> Scratch:
         """Tables of a step that names its own, in a folder of this one."""
-        return Scratch(self.spark, name, self.root)
+        return Scratch(self.spark, name, self.root, parts=self.parts)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return the table read again with the same schema."""
-        df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
+        few = df.coalesce(self.parts) if self.parts else df
+        few.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
+        if not self.marked:
+            path, system = self._at(self.root)
+            system.deleteOnExit(path)
+            self.marked = True
         # what was shuffled for the table isn't needed again: let Spark's cleaner find it unused now
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def _at(self, where: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path, system = self._at(self.path(name))
+            system.delete(path, True)
 
 
 def read_tokenizer(path: str) -> str:

@@ -19,9 +19,10 @@ Two bits of 64 stand for texts that are all but equal. For a similarity (Jaccard
 0.8, ``similar`` adds links of a second kind: PARTS fingerprints of 64 bits from differently mixed hashes make a long one,
 whose share of differing bits is the angle of the shingle counts over pi, to within about 0.01. Texts meet in
 bands of equal bits, and a link is kept if the long fingerprints agree with the similarity asked for; none is made on a band alone.
-Small buckets are compared by pairs. In crowded ones a few members lead and meet all others of the bucket, then more in rounds, until each
-member has led or all of the bucket is in one component; only pairs that earlier links don't connect yet are compared, so a group of close
-copies takes one round and no pair of a bucket that could connect more is left out. A band has
+Small buckets are compared by pairs. In crowded ones one member leads and meets all others of the bucket; then all pairs that the links so far
+don't connect are compared, once there are few of them (PAIRS for each member of a bucket, over all buckets); until then more members lead, in rounds. So a group of close
+copies takes one round and no pair of a bucket that could connect more is left out. The long fingerprints may differ by MARGIN standard deviations
+more than the similarity's angle, so that a pair just at it is kept with a chance of 0.95. A band has
 SPARE bits more than the logarithm of the number of fingerprints, so that what meets by chance grows with the corpus and not
 with its square; the number of bands follows the width, so that the chance to meet stays above MEET at every size.
 
@@ -54,10 +55,14 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PARTS, SPARE = 20, 3
 #: Least chance that two texts just at the similarity asked for meet in a band, at every corpus size.
 MEET = 0.98
-#: Above so many members, a band's bucket is compared in rounds of leads, each of so many times the leads of the one before.
+#: Above so many members, a band's bucket is compared by leads, in each round so many times those of the one before.
 BUCKET, FACTOR = 8, 8
+#: Open pairs for each member of a crowded bucket, up to which all are compared.
+PAIRS = 8
+#: Deviations by which the long fingerprints may differ more than the similarity has it.
+MARGIN = 1.65
 #: Bits of the first 64 in which members of a bucket may differ to be compared in full (0.8 has some 9.7, deviation 2.9).
-NEAR = 22
+NEAR = 24
 POINTS = np.array([0, *(1 << i for i in range(64))], np.uint64)
 
 
@@ -142,13 +147,14 @@ def _bands(batches, width, count):
 
 def _alike(found: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Of candidates (u, v), those whose long fingerprints agree with the similarity."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    size, p = 64 * PARTS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = round(size * p + MARGIN * math.sqrt(size * p * (1 - p)))
     one, two = marks.select(F.col("mark").alias("u"), F.col("long").alias("a")), marks.select(F.col("mark").alias("v"), F.col("long").alias("b"))
     both = found.join(one, "u").join(two, "v")
     # eight bytes at a time, as numbers
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     differ = sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(PARTS)), F.lit(0))
-    return both.where(differ <= round(angle * 64 * PARTS)).select("u", "v")
+    return both.where(differ <= most).select("u", "v")
 
 
 def similar_links(marks: DataFrame, scratch: Scratch, similarity: float, known: DataFrame | None = None) -> DataFrame:
@@ -158,34 +164,49 @@ def similar_links(marks: DataFrame, scratch: Scratch, similarity: float, known:
     keys = scratch.keep(marks.select("mark", "long").mapInArrow(lambda b: _bands(b, width, count), "key long, mark long"), "bands")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.keep(keys.join(sizes, "key"), "met")
-    few = met.where(F.col("n") <= BUCKET)
+    scratch.drop("bands")
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= NEAR
-    pairs = few.select("key", F.col("mark").alias("u")).join(few.select("key", F.col("mark").alias("v")), "key").where("u < v").select("u", "v").where(close)
-    found = scratch.keep(pairs.distinct(), "candidates")
+    few = met.where(F.col("n") <= BUCKET)
+    pairs = few.select("key", F.col("mark").alias("u")).join(few.select("key", F.col("mark").alias("v")), "key").where("u < v").where(close).select("u", "v")
+    crowd, k = met.where(F.col("n") > BUCKET), 0
+    # of a crowded bucket one member leads first and meets all others
+    chance = lambda: F.shiftrightunsigned(F.xxhash64("key", "mark"), 11)
+    lead = crowd.groupBy("key").agg(F.min_by("mark", chance()).alias("v"))
+    met_now = crowd.select("key", F.col("mark").alias("u")).join(lead, "key").where("u <> v").where(close)
+    found = scratch.keep(pairs.unionByName(met_now.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "candidates")
     edges = scratch.keep(_alike(found, marks, similarity), "alike")
+    scratch.drop("candidates")
     edges = edges.unionByName(known) if known is not None else edges
-    # a member's round is the first in which it leads: in round k some FACTOR ** k members of a bucket have led
-    draw = F.shiftrightunsigned(F.xxhash64("key", "mark"), 11) / F.lit(float(1 << 53)) * F.col("n")
-    turn = F.when(draw < 1, 0).otherwise(F.ceil(F.log(F.greatest(draw, F.lit(1.0))) / math.log(FACTOR))).cast("int")
-    left, k = met.where(F.col("n") > BUCKET).withColumn("turn", turn).select("key", "mark", "turn"), 0
-    while True:
-        last = left.agg(F.max("turn")).first()[0]
-        if last is None:
-            return edges
+    left = crowd.select("key", "mark", (chance() / F.lit(float(1 << 53)) * F.col("n")).alias("draw"))
+    while not left.isEmpty():
         roots = components(edges, scratch.inner(f"round-{k}"))
-        now = left.join(roots, left.mark == roots.node, "left").select("key", "mark", "turn", F.coalesce("root", "mark").alias("root"))
-        now = scratch.keep(now, f"left-{k}")
-        # where all have one root no pair can connect more
-        mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        now = scratch.keep(now.join(mixed, "key"), f"mixed-{k}")
-        lead = now.where(F.col("turn") == k).select("key", F.col("mark").alias("v"), F.col("root").alias("to"))
-        rest = now.select("key", F.col("mark").alias("u"), "root", "turn")
-        met_now = rest.join(lead, "key").where((F.col("root") != F.col("to")) & ((F.col("turn") > k) | (F.col("u") < F.col("v")))).where(close)
-        found = scratch.keep(met_now.select("u", "v").distinct(), f"candidates-{k}")
+        now = left.join(roots, left.mark == roots.node, "left").select("key", "mark", "draw", F.coalesce("root", "mark").alias("root"))
+        now = scratch.keep(now, f"now-{k}")
+        # pairs of a bucket in different components are all that can connect more; its largest component is its main one
+        classes = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+        mixed = classes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("s"), F.max(F.struct("c", "root")).alias("m"))
+        mixed = scratch.keep(mixed.where(F.col("n") > F.col("m.c")).select("key", F.col("m.root").alias("main"), ((F.col("n").cast("double") * F.col("n") - F.col("s")) / 2).alias("open")), f"mixed-{k}")
+        open_, = mixed.agg(F.sum("open")).first()
+        if not open_:
+            break
+        now = scratch.keep(now.join(mixed.select("key", "main"), "key"), f"left-{k}")
+        if open_ > PAIRS * now.count() and now.agg(F.max("draw")).first()[0] >= FACTOR ** (k + 1):
+            lead, last = now.where(F.col("draw") < FACTOR ** (k + 1)), False
+        else:
+            lead, last = now.where(F.col("root") != F.col("main")), True
+        lead = lead.select("key", F.col("mark").alias("v"), F.col("root").alias("to"))
+        pairs = now.select("key", F.col("mark").alias("u"), "root", "main").join(lead, "key").where(F.col("root") != F.col("to"))
+        # in the last round both of a pair lead unless one is of the main component
+        pairs = pairs.where((F.col("root") == F.col("main")) | (F.col("u") < F.col("v"))) if last else pairs
+        found = scratch.keep(pairs.where(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"candidates-{k}")
         more = scratch.keep(_alike(found, marks, similarity), f"alike-{k}")
+        scratch.drop(f"candidates-{k}", f"now-{k}")
         # the stars of the components stand for the edges so far
         edges = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
-        left, k = now.where(F.col("turn") > k).select("key", "mark", "turn"), k + 1
+        if last:
+            break
+        left, k = now.select("key", "mark", "draw"), k + 1
+    return edges
 
 
 @functools.cache
@@ -289,7 +310,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 3, sim
     ``similar`` also links texts whose shingle sets have at least that Jaccard index.
     """
     ship(spark)
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(spark, "simhash", like=docs)
     rows, placed = _placed(docs.select("doc_id", "text"), ["doc_id"], width, similar, scratch)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_mark = placed.select("mark", "root").join(names, "root").select(F.col("mark").alias("own"), "component_id")
@@ -300,10 +321,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 3, sim
 def one_of_each(spark: SparkSession, docs: DataFrame, *, width: int = 3, similar: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), then hash of the text, then row."""
     ship(spark)
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(spark, "simhash", like=docs)
     # row numbers hold once they are written
     docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    keyed = docs.select("doc_id", "_row", F.hash("text").alias("version"), "text")
+    keyed = docs.select("doc_id", "_row", F.xxhash64("text").alias("version"), "text")
     rows, placed = _placed(keyed, ["doc_id", "_row", "version"], width, similar, scratch)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "_row")
     # first of each mark, then of each root, so that a large component's rows are only minimised

@@ -244,7 +244,8 @@ def test_crowded_bands_are_compared_in_full(spark):
             x = root[x]
         return x
 
-    bits, limit = np.array(long), round(np.arccos(2 * 0.8 / 1.8) / np.pi * 1280)
+    p = np.arccos(2 * 0.8 / 1.8) / np.pi
+    bits, limit = np.array(long), round(1280 * p + simhash.MARGIN * np.sqrt(1280 * p * (1 - p)))
     for own in buckets.values():
         for n, i in enumerate(own):
             for j in own[:n]:
@@ -285,6 +286,54 @@ def test_pairs_meet_at_every_corpus_size(width):
     assert met > simhash.MEET - 0.01
 
 
+@pytest.mark.parametrize("alike", [0.8, 0.85])
+def test_recall_at_the_similarity_asked_for(spark, alike):
+    """Independent pairs at a Jaccard index of ``alike``: nine in ten at least share a component."""
+    from strandflow.llm.simhash import near_duplicates
+
+    rng = random.Random(int(alike * 100))
+    texts = []
+    for _ in range(150):
+        words = ["".join(rng.choice("etaoinshr") for _ in range(9)) for _ in range(400)]
+        shingles, edits = len(words) - 4, 0
+        other = list(words)
+        for at in range(2, 400, 6):  # an edit that is alone changes five shingles on both sides
+            if (shingles - 5 * (edits + 1)) / (shingles + 5 * (edits + 1)) < alike:
+                break
+            other[at], edits = "edit" + str(at), edits + 1
+        texts += [" ".join(words), " ".join(other)]
+    group = {r.doc_id: r.component_id for r in near_duplicates(spark, table(spark, texts, list(range(300))), width=5, similar=0.8).collect()}
+    assert sum(group[i] == group[i + 1] for i in range(0, 300, 2)) >= 0.9 * 150
+    assert len(set(group.values())) >= 150
+
+
+def test_contraction_keeps_what_is_connected(spark):
+    from strandflow.llm.common import Scratch
+    from strandflow.llm.components import components
+
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(300)] + [(2000 + rng.randrange(80), 2100 + rng.randrange(80)) for _ in range(60)] + [(5, 5)]
+    rows = spark.createDataFrame(edges, "u long, v long").repartition(16)
+    found = {r.node: r.root for r in components(rows, Scratch(spark, "test")).collect()}
+    assert len({found[i] for i in range(401)}) == 1 and len({found[i] for i in range(1000, 1300)}) == 1
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    want = defaultdict(set)
+    for x in root:
+        want[find(x)].add(x)
+    got = defaultdict(set)
+    for x in root:
+        got[found.get(x, x)].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_one_row_of_each_component_stays(spark):
     """Null and repeated ids with different texts lose nothing; of rows equal in id and text one stays."""
     import corpus_pipeline
