@@ -2,7 +2,8 @@
 
 Texts are cut into the tokenizer's pieces; each distinct piece is encoded once per worker by the
 prefix-sharing trie traversal of trie.py and decoded from the bytes of its tokens. A null text is
-empty; every row gives one row; an empty table gives an empty result.
+empty; every row gives one row, repeated rows and null doc_ids too; an empty table gives an empty result. A text
+without any border is one piece, whose memory grows with its length. Of other columns none is read.
 """
 
 from __future__ import annotations

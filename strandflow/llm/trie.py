@@ -4,14 +4,17 @@ For a merge list whose ids rise with merge order, the encoding of every prefix o
 one token, and the encoding is that of the prefix before that token, plus the token. So a word's
 encodings are a path of last-token states. Distinct words are put in byte order, which is a
 depth-first walk of their trie: the states of the prefix shared with the word before stay on the
-stack and only the nodes below it are computed. A token may follow another if the merges, applied
+stack and only the nodes below it are computed. A state is a token and where it begins, so a word's tokens are
+read by walking back from its end, and memory grows with the longest word and not with its square. A token may follow another if the merges, applied
 to their joined bytes, give back exactly these two; this is decided by taking both apart in the
 reverse of merge order and is remembered for each pair.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+from array import array
 from collections.abc import Iterable
 
 #: Stands for the end of a word in vocabularies that mark it; UTF-8 has no such byte.
@@ -146,16 +149,16 @@ class TrieBPE:
         if not self.step:
             self._automaton()
         pairs, render, stable, step, back, ends = self.pairs, self.render, self._stable, self.step.get, self.back, self.ends
+        join = b"".join if isinstance(self.nothing, bytes) else lambda parts: tuple(itertools.chain.from_iterable(parts))
         out: dict[bytes, bytes] = {}
-        state: list[int] = [0]  # of the automaton, after each prefix of the word
-        last: list[int] = [-1]
-        done = [self.nothing]
+        # after each prefix of the word: the automaton's state, the last token, and where that begins
+        state, last, begin = array("i", [0]), array("i", [-1]), array("i", [0])
         before = b""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del state[shared + 1 :], last[shared + 1 :], done[shared + 1 :]
+            del state[shared + 1 :], last[shared + 1 :], begin[shared + 1 :]
             at = state[shared]
             for end in range(shared + 1, len(word) + 1):
                 b = word[end - 1]
@@ -175,11 +178,16 @@ class TrieBPE:
                             continue
                     state.append(at)
                     last.append(token)
-                    done.append(done[start] + render[token])
+                    begin.append(start)
                     break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
-            out[word] = done[-1]
+            parts, at = [], len(word)
+            while at:
+                parts.append(render[last[at]])
+                at = begin[at]
+            parts.reverse()
+            out[word] = join(parts)
             before = word
         if len(pairs) > 2_000_000:
             pairs.clear()
