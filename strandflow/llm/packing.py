@@ -9,14 +9,15 @@ remainders. So the carried deficits are known at every window without running th
 each task packs its own documents: a document's place follows from its queue position alone and
 texts are not shuffled. A few phases with fewer queues follow where a queue runs dry.
 
-Sources with a small share of the text are too many for a queue each. They share two queues, of sources with
-a target and of the others, and each queue serves its sources in turn by whole documents: next is the document whose source
+Every source named in ``targets`` has its own queue (of more than NAMED, those with the largest targets). Without targets, sources with a
+small share of the text are too many for a queue each. They share a queue, as do the named ones beyond NAMED; a shared queue serves its sources in turn by whole documents: next is the document whose source
 would be least ahead of its share after it (its end within its source over the source's weight). So at every point
 a source has had its share of its queue's tokens to within a document, however many sources there are. Only
 these sources' ids are shuffled, once, to take their place in the order.
 
 Null or repeated rows: a null text is an empty document (its end id only); a null source is a
-source of its own; repeated rows are packed each. An empty table gives an empty result.
+source of its own; repeated rows are packed each. A very long text is one document of many windows. Columns of other names are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from .wordbpe import codec
 WINDOW = 2048
 #: Queue weights are whole parts of this; with at most 2^44 tokens all products fit 63 bits.
 WEIGHTS = 1 << 16
-#: Sources with a smaller share of the text share two queues, so there are at most 66 queues.
+#: Sources with a smaller share of the text share two queues, so there are at most 66 queues without targets.
 MIN_SHARE = 1 / 64
-#: At most so many scan tasks, so that the table of queue starts has a fixed bound (66 queues x 8 bytes each).
+#: At most so many sources with a target have a queue each.
+NAMED = 256
+#: At most so many scan tasks, so that the table of queue starts has a fixed bound (258 queues x 8 bytes each).
 MAX_PARTS = 16_384
 
 
@@ -65,9 +68,12 @@ def schedule(sizes: list[int], shares: list[int], window: int) -> list[dict]:
     at, left, first, phases = [0] * len(sizes), list(sizes), 0, []
     weights = whole_weights(shares, window)
     while any(left):
-        w = np.where(np.array(left) > 0, np.maximum(weights, 1), 0)
+        # queues without a share wait until the others are dry, then all go by what is left
+        w = np.where(np.array(left) > 0, weights, 0)
+        if not w.any():
+            w = whole_weights(left, window)
         total = int(w.sum())
-        count = min(r * total // (int(x) * window) for r, x in zip(left, w) if r)
+        count = min(r * total // (int(x) * window) for r, x in zip(left, w) if r and x)
         if count:
             given = apportion(w, np.array([count * window]))[0].tolist()
             phases.append({"first": first, "at": list(at), "weights": w})
@@ -76,6 +82,8 @@ def schedule(sizes: list[int], shares: list[int], window: int) -> list[dict]:
             given = [0] * len(left)
             while room and any(r > g for r, g in zip(left, given)):
                 open_ = np.array([x if r > g else 0 for x, r, g in zip(w, left, given)])
+                if not open_.any():
+                    open_ = whole_weights([r - g for r, g in zip(left, given)], window)
                 more = apportion(open_, np.array([room]))[0]
                 for v, m in enumerate(more.tolist()):
                     m = min(m, left[v] - given[v])
@@ -246,17 +254,18 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, window: int =
 
     source = read_tokenizer(tokenizer)
     shared = spark.sparkContext.broadcast(source)
-    scratch = Scratch(spark, "pack")
+    scratch = Scratch(spark, "pack", like=docs)
     docs = docs.select("doc_id", "text", "source")
     if docs.rdd.getNumPartitions() > MAX_PARTS:
         docs = docs.coalesce(MAX_PARTS)
-    # at most 1 / MIN_SHARE sources can have that share, so the collected table is bounded
+    # at most 1 / MIN_SHARE sources can have that share, and NAMED are named, so the collected table is bounded
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, total * MIN_SHARE)
     main = sizes.where(F.col("n") >= least)
     if targets is not None:
-        main = main.where(F.col("source").isin(list(targets)))
+        named = sorted(targets, key=lambda s: (-targets[s], s))[:NAMED]
+        main = sizes.where(F.col("source").isin(named))
     aimed = {s for s, v in (targets or {}).items() if v > 0}
     names = {r["source"]: i for i, r in enumerate(main.orderBy("source").select("source").collect())}
     schema = ddl(docs, "doc_id", "source") + ", part int, row long, queue int, at long, doc_tokens long, ids binary"
@@ -276,10 +285,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, window: int =
     wanted = size
     if targets is not None:
         wanted = [round(targets.get(s, 0) * (1 << 40)) for s in names] + [round(sum(targets[s] for s in aimed if s not in names) * (1 << 40)), 0]
-        wanted = [max(w, 1) if n else 0 for w, n in zip(wanted, size)]
-    # a queue of under a token a window is served behind the largest one, in one lane
+    # without targets, a queue of under a token a window is served behind the largest one, in one lane
     largest = int(np.argmax(size)) if size else 0
-    tiny = [q for q in range(queues) if q != largest and size[q] * window < sum(size) and (targets is None or wanted[q] * window < sum(wanted))]
+    tiny = [q for q in range(queues) if targets is None and q != largest and size[q] * window < sum(size)]
     lanes = [q for q in range(queues) if q not in tiny]
     virtual, lane_size = {}, [size[q] for q in lanes]
     for i, q in enumerate(lanes):
