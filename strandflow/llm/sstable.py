@@ -27,6 +27,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch, fs_for, read_tokenizer, ship, slices
 from .wordbpe import codec
@@ -35,6 +36,8 @@ MAGIC = b"SSTTOK01"
 BLOCK = 64 << 10
 BITS_A_KEY = 10
 PROBES = 7
+#: Bytes of text to a shard, about, a document counting DOC_BYTES at least.
+SHARD_BYTES, DOC_BYTES = 64 << 20, 64
 FOOTER = struct.Struct("<6Q8s")
 
 
@@ -203,14 +206,18 @@ def _write(batches, source, folder, end_id):
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order; returns one row per shard, in order.
 
-    The manifest has one row a shard, so its size is the number of partitions. Documents with a null
-    id come first; of documents with equal ids all are kept; a null text is empty.
+    Shards are cut by bytes of text, so their size and memory don't follow the session's settings; the manifest has one row a
+    shard. Documents with a null id come first; of documents with equal ids all are kept, in the order of a hash of their
+    texts, and may lie in several shards; a null text is empty; other columns are not read. A shard holds a document whole, however long.
     """
     ship(spark)
     shared = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
     system, path = fs_for(folder)
     system.create_dir(path, recursive=True)
-    ordered = docs.select(docs.doc_id.cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + DOC_BYTES)).first()[0] or 0
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES)), *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = ordered.mapInArrow(lambda b: _write(b, shared, folder, end_id), "shard string, docs long, tokens long, first long, last long").collect()
     return spark.createDataFrame(sorted(manifest), "shard string, docs long, tokens long, first long, last long")
 
