@@ -4,13 +4,14 @@ Shards are dealt by a hash of the row, so a common vector spreads over all of th
 splits the dimension of widest spread at the median, down to LEAF rows, and every node keeps the
 tight box of its rows and its smallest vec_id. A query visits nodes best first by the box bound
 (sum over dimensions of the larger of q * low and q * high); a node is left out when its bound is below the
-query's kth score, or equal to it with no smaller vec_id. Queries travel in blocks, and the trees as
-packed rows. Each block first searches one shard; its kth scores go along to all other shards,
-so most of their nodes, or whole shards, are never opened. All arithmetic is on whole numbers, exact in
-doubles (otherwise in 64-bit integers).
+query's kth score, or equal to it with no smaller vec_id. A shard's tree goes to the task that holds its shard, once, and queries
+come to it in blocks. Each block first searches one shard; its kth scores go along to all other shards whose root box,
+against the block's own box, can reach the least of them,
+so most of their nodes are never opened. All arithmetic is on whole numbers, exact in
+doubles, otherwise in 64-bit integers, otherwise in Python's; which, is decided once for all rows, and a score beyond 63 bits is an error.
 
 Rows with a null vec_id or vector, or null, NaN or infinite components, take no part. Only vectors of equal length are
-compared. Repeated rows are candidates each; a row with the query's own vec_id isn't one. A query
+compared, however long. Other columns are not read. Repeated rows are candidates each; a row with the query's own vec_id isn't one. A query
 that occurs twice has its rows twice. Empty tables give empty results.
 """
 
@@ -107,13 +108,13 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray,
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Lists of doubles of one length as whole numbers."""
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Lists of doubles of one length as whole numbers; kind: what holds them exactly."""
     values = column.flatten().to_numpy(zero_copy_only=False)
     rows = np.floor(256.0 * values).reshape(len(column), -1)
-    if rows.size and np.abs(rows).max() ** 2 * rows.shape[1] >= 2**53:
-        return rows.astype(np.int64)
-    return rows
+    if kind == "O":
+        return np.array([[int(x) for x in r] for r in rows], dtype=object).reshape(rows.shape)
+    return rows.astype(kind)
 
 
 def _by_key(batches, names):
@@ -134,73 +135,95 @@ def _by_key(batches, names):
         yield now, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _trees(batches):
+def _trees(batches, kind):
     for key, rows in _by_key(batches, ["shard"]):
-        tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows.column("v")))
+        tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), kind))
         dims = len(rows.column("v")[0])
-        yield pa.RecordBatch.from_pydict({"shard": [int(key)], "dims": [dims], "tree": [pickle.dumps(tree)]}, pa.schema([("shard", pa.int64()), ("dims", pa.int32()), ("tree", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"shard": [int(key)], "dims": [dims], "data": [pickle.dumps(tree)], "low": [tree.low[0].astype(float)], "high": [tree.high[0].astype(float)]}, BOXES("shard"))
 
 
-def _blocks(batches):
+def _blocks(batches, kind):
     for key, rows in _by_key(batches, ["block"]):
-        ids, v = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"))
-        yield pa.RecordBatch.from_pydict({"block": [int(key)], "dims": [v.shape[1]], "queries": [pickle.dumps((ids, v))]}, pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("queries", pa.binary())]))
+        ids, v = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), kind)
+        yield pa.RecordBatch.from_pydict({"block": [int(key)], "dims": [v.shape[1]], "data": [pickle.dumps((ids, v))], "low": [v.min(axis=0).astype(float)], "high": [v.max(axis=0).astype(float)]}, BOXES("block"))
+
+
+def BOXES(name: str) -> pa.Schema:
+    return pa.schema([(name, pa.int64()), ("dims", pa.int32()), ("data", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
 
 
 def _search(batches, k):
+    """Rows come with each shard's tree (no block) before the blocks that are to search it."""
+    tree, of = None, None
     for batch in batches:
         for row in batch.to_pylist():
-            tree = pickle.loads(row["tree"])
-            ids, queries = pickle.loads(row["queries"])
+            if row["block"] is None:
+                tree, of = pickle.loads(row["data"]), (row["shard"], row["copy"])
+                continue
+            if of != (row["shard"], row["copy"]):
+                raise ValueError("a block came without its shard's tree")
+            ids, queries = pickle.loads(row["data"])
             floor = np.full(len(ids), -np.inf)
-            if row["floors"]:
-                floor[: len(row["floors"])] = [-np.inf if x is None else x for x in row["floors"]]
+            for at, low in zip(row["places"] or [], row["floors"] or []):
+                floor[at] = low
             found = search(tree, ids, queries, floor, k)
-            flat = [(row["block"], at, int(q), row["dims"], v, int(s)) for at, (q, best) in enumerate(zip(ids.tolist(), found)) for s, v in best]
-            names = ("block", "at", "query_id", "dims", "vec_id", "score")
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat) if flat else [[]] * 6, kinds)], names=names)
+            flat = [(row["block"], at, int(q), v, int(s)) for at, (q, best) in enumerate(zip(ids.tolist(), found)) for s, v in best]
+            names = ("block", "at", "query_id", "vec_id", "score")
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat) if flat else [[]] * 5, kinds)], names=names)
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for the queries whose vec_id is divisible by ``every``.
 
-    Work is queries times shards, which the question asks for; rows that travel are packed trees,
-    one for each shard and block of BLOCK_QUERIES queries, and k results for each query and shard opened.
+    Work is queries times shards, which the question asks for; what travels are the trees, each once for every
+    copy of its shard (copies only where shards are fewer than tasks), and a block of BLOCK_QUERIES queries for each shard
+    that its boxes don't rule out, with k results for each query and shard opened.
     """
     ship(spark)
-    scratch = Scratch(spark, "topk")
+    scratch = Scratch(spark, "topk", like=vectors)
     v = F.col("embedding").cast("array<double>")
     sound = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(v).alias("dims"), v.alias("v"))
-    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
-    totals = sizes.agg(F.sum("n"), F.sum("q")).first()
-    shards = max(1, -(-(totals[0] or 0) // SHARD_ROWS))
-    blocks = max(1, -(-(totals[1] or 0) // BLOCK_QUERIES))
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top"))
+    n, q, top, dims = sizes.agg(F.sum("n"), F.sum("q"), F.max("top"), F.max("dims")).first()
+    reach = (256 * float(top or 0) + 1) ** 2 * max(1, dims or 1)
+    kind = "f8" if reach < 2**53 else "i8" if reach < 2**63 else "O"
+    shards = max(1, -(-(n or 0) // SHARD_ROWS))
+    blocks = max(1, -(-(q or 0) // BLOCK_QUERIES))
+    copies = min(blocks, max(1, 2 * spark.sparkContext.defaultParallelism // shards))
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n))
     # one shard, and one block, for each length of vectors
     shard = rows.withColumn("shard", F.col("dims").cast("long") * (1 << 32) + deal(shards, 1))
     block = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.col("dims").cast("long") * (1 << 32) + deal(blocks, 2))
-    trees = scratch.keep(shard.repartition(F.col("shard")).sortWithinPartitions("shard").select("shard", "vec_id", "v").mapInArrow(_trees, "shard long, dims int, tree binary"), "trees")
-    queries = scratch.keep(block.repartition(F.col("block")).sortWithinPartitions("block", "vec_id").select("block", "vec_id", "v").mapInArrow(_blocks, "block long, dims int, queries binary"), "blocks")
-    pairs = queries.select("block", F.col("dims").alias("own")).join(trees.select("shard", "dims"), F.col("own") == F.col("dims")).select("block", "shard")
-    found = "block long, at int, query_id long, dims int, vec_id long, score long"
-
-    def look(pairs: DataFrame, floors: DataFrame | None) -> DataFrame:
-        """Search the pairs (block, shard[, floors])."""
-        if floors is None:
-            pairs = pairs.withColumn("floors", F.lit(None).cast("array<double>"))
-        joined = pairs.join(queries, "block").join(trees.drop("dims"), "shard")
-        return joined.repartition(F.col("block"), F.col("shard")).select("block", "dims", "queries", "tree", "floors").mapInArrow(lambda b: _search(b, k), found)
-
+    boxed = ", dims int, data binary, low array<double>, high array<double>"
+    trees = scratch.keep(shard.repartition(F.col("shard")).sortWithinPartitions("shard").select("shard", "vec_id", "v").mapInArrow(lambda b: _trees(b, kind), "shard long" + boxed), "trees")
+    queries = scratch.keep(block.repartition(F.col("block")).sortWithinPartitions("block", "vec_id").select("block", "vec_id", "v").mapInArrow(lambda b: _blocks(b, kind), "block long" + boxed), "blocks")
+    own = queries.select("block", F.col("dims").alias("_dims"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    best = F.zip_with(F.zip_with("_low", "low", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.zip_with("_high", "high", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x, y: F.greatest(x["a"] * x["b"], x["a"] * y["b"], y["a"] * x["b"], y["a"] * y["b"]))
+    bound = F.aggregate(best, F.lit(0.0), lambda acc, x: acc + x)
+    pairs = scratch.keep(own.join(trees, F.col("_dims") == F.col("dims")).select("block", "shard", bound.alias("bound")), "pairs")
+    found = "block long, at int, query_id long, vec_id long, score long"
+
+    def look(pairs: DataFrame) -> DataFrame:
+        """Search the pairs (block, shard, places, floors)."""
+        copy = F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy")
+        asked = pairs.join(queries.select("block", "data"), "block").select("shard", copy, "block", "data", "places", "floors")
+        wanted = asked.select("shard", "copy").distinct().join(trees.select("shard", "data"), "shard")
+        held = wanted.select("shard", "copy", F.lit(None).cast("long").alias("block"), "data", F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<double>").alias("floors"))
+        together = held.unionByName(asked).repartition(F.col("shard"), F.col("copy")).sortWithinPartitions("shard", "copy", F.col("block").asc_nulls_first())
+        return together.mapInArrow(lambda b: _search(b, k), found)
+
+    none = [F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<double>").alias("floors")]
     pilot = pairs.groupBy("block").agg(F.min(F.struct(F.pmod(F.xxhash64("block", "shard"), F.lit(1 << 30)), "shard")).alias("m")).select("block", F.col("m.shard").alias("shard"))
-    first = scratch.keep(look(pilot, None), "first")
-    kth = first.groupBy("block", "at").agg(F.count("*").alias("n"), F.min("score").alias("low")).select("block", "at", F.when(F.col("n") >= k, F.col("low").cast("double")).alias("low"))
-    floors = kth.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "low"))).alias("f"), F.max("at").alias("m"))
-    rest = pairs.join(pilot, ["block", "shard"], "left_anti").join(floors, "block", "left")
-    # a query without a hit in the pilot has no entry: fill by place
-    filled = F.when(F.size("f") == F.col("m") + 1, F.transform("f", lambda x: x["low"]))
-    second = look(rest.select("block", "shard", filled.alias("floors")), rest)
+    first = scratch.keep(look(pilot.select("block", "shard", *none)), "first")
+    kth = first.groupBy("block", "at").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low")).where(F.col("n") >= k)
+    floors = kth.groupBy("block").agg(F.collect_list("at").alias("places"), F.collect_list("low").alias("floors"), F.min("low").alias("least"), F.count("*").alias("known"))
+    sizes_ = block.groupBy("block").agg(F.count("*").alias("size"))
+    rest = pairs.join(pilot, ["block", "shard"], "left_anti").join(floors.join(sizes_, "block"), "block", "left")
+    # a block whose queries all know a kth score leaves out the shards whose box is below the least of them
+    rest = rest.where(F.col("known").isNull() | (F.col("known") < F.col("size")) | (F.col("bound") * (1 + 1e-9) + 1 >= F.col("least")))
+    second = look(rest.select("block", "shard", "places", "floors"))
     every_hit = first.unionByName(second)
     best = every_hit.groupBy("block", "at", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
