@@ -133,23 +133,20 @@ def _few(scratch: Scratch, cutoffs: DataFrame, most: int = 4096) -> DataFrame:
 
 def assess(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang") -> DataFrame:
     """Per document: the counts, base_failed and kept."""
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = Scratch(docs.sparkSession, "quality", like=docs)
     counted = scratch.keep(with_counts(docs.select("doc_id", "text", stratum)).drop("text"), "counts")
     judged = _judge(counted, _few(scratch, thresholds(counted, labels, stratum=stratum)), stratum)
     return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in COUNTS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang") -> DataFrame:
-    """The documents that the rules keep, with their columns; texts aren't shuffled, so counts are made twice."""
-    own = {f"_{c}" for c in (*COUNTS, "n_lines", "base_failed", "kept", "stratum", "good", "hashes", "line_counts", "row", *(f"cut_{r}" for r in GRID))}
+    """The documents that the rules keep, with their columns; texts are written once with their counts and never shuffled."""
+    own = {f"_{c}" for c in (*COUNTS, "n_lines", "base_failed", "kept", "stratum", "good", "hashes", "line_counts", *(f"cut_{r}" for r in GRID))}
     docs = docs.drop(*own)
-    scratch = Scratch(docs.sparkSession, "quality")
-    counted = scratch.keep(with_counts(docs.select("doc_id", "text", stratum)).drop("text"), "counts")
-    cutoffs = _few(scratch, thresholds(counted, labels, stratum=stratum))
-    # a number that rows get as they come keeps the filter above the counts: pushed below, it would make each count anew
-    # for every place it is used in
-    again = with_counts(docs).withColumn("_row", F.monotonically_increasing_id())
-    return _judge(again, cutoffs, stratum).where(F.col("_kept") & (F.col("_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "quality", like=docs)
+    counted = scratch.keep(with_counts(docs), "counts")
+    judged = _judge(counted, _few(scratch, thresholds(counted.drop("text"), labels, stratum=stratum)), stratum)
+    return judged.where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sql() -> str:

@@ -13,7 +13,7 @@ covers every document and its whole text.
 
 Grades come from labels: 0 not toxic, 1 toxic, 2 toxic and of low quality. Null texts score as
 empty; a document whose labels repeat counts once, with its highest grade; null labels are left out; without labels of two grades the
-expected severity is null. Rows repeat as they come; an empty table gives an empty result.
+expected severity is null. Rows repeat as they come; words of any length count whole; an empty table gives an empty result. Of other columns none is read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ CACHE = 400_000
 
 
 def features_of(word: str) -> list[str]:
-    word = word.lower().strip(EDGES)[:40]
+    word = word.lower().strip(EDGES)
     if len(word) < 4:
         return [word] if word else []
     return [word, "4" + word[:4]] + (["5" + word[:5]] if len(word) > 4 else [])
@@ -175,7 +175,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, *, sample: int = SAMPLE, features: int = FEATURES):
     """(chosen features, model) from at most ``sample`` documents of ``grades`` (doc_id, grade); None with one grade only."""
     ship(spark)
-    scratch = Scratch(spark, "toxicity")
+    scratch = Scratch(spark, "toxicity", like=docs)
     # at most ``sample`` rows of two numbers, so it may be broadcast
     picked = scratch.keep(grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "picked").select(F.col("doc_id").alias("_picked"), "grade")
     own = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_picked")).select("text", "grade")
