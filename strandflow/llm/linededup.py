@@ -51,7 +51,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, width: int = WINDOW) -> DataFrame:
     """``docs`` with repeated lines gone from text; adds line_count and lines_removed (long)."""
-    docs = docs.drop(*OWN, "line_count", "lines_removed").withColumn("_version", F.hash("text"))
+    docs = docs.drop(*OWN, "line_count", "lines_removed").withColumn("_version", F.xxhash64("text"))
     gone = repeated_windows(docs.select("doc_id", "_version", "text"), width).groupBy("_doc", "_which").agg(F.collect_set("at").alias("_gone"))
     joined = docs.join(gone, docs.doc_id.eqNullSafe(gone._doc) & (docs._version == gone._which), "left")
 

@@ -1,27 +1,24 @@
-"""Repeated windows of a corpus, of bytes or of words, without a row for each position.
-
-The corpus is a sequence of symbols (bytes, or hashed words) for each document. Wanted are the
-windows of W symbols that occur more than once. Each window is filed under its anchor, the position
-in it of the smallest hash of ``gram`` symbols (the first of equals). Equal windows have equal anchors,
-at the same place in the window, so copies meet by the anchor's hash, and a document has one entry for
-each run of consecutive windows with the same anchor (about 2 in W positions). The passes go from coarse to
-fine and each keeps only what met an equal:
-
-1. entries by the anchor's hash: what is alone there has no copy;
-2. entries by their whole span (all symbols of the run's windows): equal spans have all windows in common,
-   and one of them goes on for all;
-3. where one anchor's hash has several spans, these entries are cut into blocks of ever fewer windows, and again
-   what is alone by the symbols that all windows of a block have in common (its core) is dropped, and equal
-   spans are settled;
-4. the last blocks are single windows, whose core is the window.
-
-Content is compared by 128 bits of hashes. Documents are cut into chunks that overlap by
-W - 1 symbols, so memory doesn't grow with a document. A document is known by doc_id and a hash of its text: rows that repeat both count
+"""Windows of a corpus filed under anchors: what byte and word repeats are searched by.
+
+The corpus is a sequence of symbols (bytes, or words) for each document. A window of W symbols is filed
+under its anchor, the position in it of the smallest hash of ``gram`` symbols (the first of equals). Equal
+windows have equal anchors at the same place in the window, and consecutive windows mostly share theirs,
+so a document has one entry, a range of windows, for about every W / 2 positions. An entry has the key of its
+anchor's gram and the hash of its whole span (all symbols of its windows).
+
+``narrow`` cuts entries into ranges of fewer windows, counted from the anchor, so that equal windows
+of different entries fall into ranges of one number; a range is keyed by what the first ``depth`` symbols of all
+its windows have in common.
+
+Keys are hashes of the symbols' bytes (words joined by one space), seeded by the key before: in all 128 bits stand for
+a window. Documents are cut into chunks that overlap by W - 1 symbols, so memory doesn't grow with a
+document. A document is known by doc_id and a 64-bit hash of its text: rows that repeat both count
 as one place (see the callers).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -30,17 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ddl, slices, text_buffer
+from .common import ddl, slices, text_buffer
 
 #: Positions are told apart within a chunk by the low bits of the anchors' order key.
 CHUNK_BITS = 20
-#: Windows to a block in the passes before the last.
-WIDTHS = (32, 4)
 #: Odd multipliers. Fixed values.
 STEP, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: [\x20\x09-\x0D]
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
+#: Columns of a range of windows: how far its first window starts before the anchor, and how many windows, in one number.
+SHAPE = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,48 +57,32 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from one running sum over the text."""
-    size = 1 << 20
-    if not _POWERS:
-        inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
-        up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-        up[1:], down[1:] = STEP, inverse
-        _POWERS.extend((np.multiply.accumulate(up), np.multiply.accumulate(down)))
-    up, down = _POWERS
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        first = int(starts[at])
-        to = int(np.searchsorted(ends, first + size, "right"))
-        if to == at:  # one word longer than the table
-            out[at] = xxhash.xxh3_64_intdigest(raw[starts[at] : ends[at]])
-            at += 1
-            continue
-        part = raw[first : ends[to - 1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[part] * up[: len(part)], out=sums[1:])
-        a, b = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * MIX2
-        at = to
-    return _mix(out)
-
-
-def symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of a text column and its row offsets."""
-    raw, rows = text_buffer(column)
-    if unit == "byte":
-        return raw, rows
-    # a text's end ends its words: cut words at row borders
-    starts, ends = words_of(raw)
-    inner = np.unique(rows[1:-1])
-    inner = inner[(inner > 0) & (inner < len(raw))]
-    cut = inner[~BLANK[raw[inner]] & ~BLANK[raw[inner - 1]]] if len(inner) else inner
-    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-    return word_codes(raw, starts, ends), np.searchsorted(starts, rows)
+class Symbols:
+    """The symbols of a text column: a code of each, row offsets, and the bytes of any run of them."""
+
+    def __init__(self, column: pa.Array, unit: str):
+        raw, rows = text_buffer(column)
+        if unit == "byte":
+            self.codes, self.rows, self.data = raw, rows, memoryview(np.ascontiguousarray(raw))
+            self.begin = self.finish = None
+            return
+        data = raw.tobytes()
+        # bytes split at ASCII white space only
+        words = [data[a:b].split() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
+        self.rows = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+        flat = list(itertools.chain.from_iterable(words))
+        n = len(flat)
+        # the codes only place the anchors; keys are made from the words' bytes
+        self.codes = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, n)
+        self.finish = np.cumsum(np.fromiter(map(len, flat), np.int64, n) + 1) - 1
+        self.begin = np.append(0, self.finish[:-1] + 1)
+        self.data = memoryview(b" ".join(flat))
+
+    def bounds(self, first: np.ndarray, last: np.ndarray) -> tuple[list, list]:
+        """Byte ranges of the symbols first .. last (included)."""
+        if self.begin is None:
+            return first.tolist(), (last + 1).tolist()
+        return self.begin[first].tolist(), self.finish[last].tolist()
 
 
 def _grams(s: np.ndarray, gram: int) -> np.ndarray:
@@ -114,11 +95,11 @@ def _grams(s: np.ndarray, gram: int) -> np.ndarray:
 
 
 def runs(s: np.ndarray, rows: np.ndarray, window: int, gram: int):
-    """Entries of a chunk (under 2^CHUNK_BITS symbols): row, first window, last window, anchor's hash, anchor."""
+    """Entries of a chunk (under 2^CHUNK_BITS symbols): row, first window, last window, anchor."""
     n = len(s) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none.astype(np.uint64), none
+        return none, none, none, none
     with np.errstate(over="ignore"):
         grams = _grams(s, gram)
     low = np.uint64(CHUNK_BITS)
@@ -132,149 +113,139 @@ def runs(s: np.ndarray, rows: np.ndarray, window: int, gram: int):
     anchor = (least[:n] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)
     # windows that lie within one row
     mark = np.zeros(n + 1, np.int32)
-    lengths = np.diff(rows)
     a = np.minimum(rows[:-1], n)
     b = np.minimum(np.maximum(rows[1:] - window + 1, a), n)
     np.add.at(mark, a[b > a], 1)
     np.add.at(mark, b[b > a], -1)
     inside = np.flatnonzero(np.cumsum(mark[:-1]))
     if not len(inside):
-        return none, none, none, none.astype(np.uint64), none
+        return none, none, none, none
     own = anchor[inside]
     first = np.flatnonzero(np.diff(own, prepend=own[0] - 1) | (np.diff(inside, prepend=inside[0] - 2) > 1))
     last = np.append(first[1:], len(own)) - 1
-    lo, hi, at = inside[first], inside[last], own[first]
-    row = np.searchsorted(rows, lo, "right") - 1
-    del lengths
-    return row, lo, hi, grams[at], at
+    lo, hi = inside[first], inside[last]
+    return np.searchsorted(rows, lo, "right") - 1, lo, hi, own[first]
 
 
-def _chunks(column: pa.Array, unit: str, window: int):
-    """(first row, symbols, row offsets, offset of the first symbol in its row), whole rows together where they fit."""
-    s, rows = symbols(column, unit)
+def _chunks(symbols: Symbols, window: int):
+    """(first row, first symbol, codes, row offsets, offset of the first symbol in its row), whole rows together where they fit."""
+    s, rows = symbols.codes, symbols.rows
     limit = (1 << CHUNK_BITS) - 1
     i = 0
     while i < len(rows) - 1:
         j = max(i + 1, int(np.searchsorted(rows, rows[i] + limit, "right")) - 1)
         if rows[j] - rows[i] <= limit:
-            yield i, s[rows[i] : rows[j]], rows[i : j + 1] - rows[i], 0
+            yield i, int(rows[i]), s[rows[i] : rows[j]], rows[i : j + 1] - rows[i], 0
         else:
             for at in range(int(rows[i]), int(rows[i + 1]) - window + 1, limit - window + 1):
                 to = min(at + limit, int(rows[i + 1]))
-                yield i, s[at:to], np.array([0, to - at]), at - int(rows[i])
+                yield i, at, s[at:to], np.array([0, to - at]), at - int(rows[i])
         i = j
 
 
-def _entries(batches, unit, window, gram):
+def _signed(x) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def place_columns(docs: DataFrame) -> str:
+    return f"key long, span long, {ddl(docs, 'doc_id')}, version long, at int, shape int"
+
+
+def entries(batches, unit: str, window: int, gram: int):
+    """Entries (key, span, doc_id, version, at, shape) of documents."""
+    digest = xxhash.xxh3_64_intdigest
     for whole in batches:
         for batch in slices(whole, 2 << 20):
-            for first, s, rows, shift in _chunks(batch.column("text"), unit, window):
-                row, lo, hi, code, anchor = runs(s, rows, window, gram)
-                digest, data, size = xxhash.xxh3_64_intdigest, memoryview(np.ascontiguousarray(s)).cast("B"), s.itemsize
-                head = ((anchor - lo).astype(np.uint64) * MIX1) ^ ((hi - lo).astype(np.uint64) * MIX2)
-                spans = [digest(data[a:b]) for a, b in zip((lo * size).tolist(), ((hi + window) * size).tolist())]
+            symbols = Symbols(batch.column("text"), unit)
+            for first, base, s, rows, shift in _chunks(symbols, window):
+                row, lo, hi, anchor = runs(s, rows, window, gram)
+                data = symbols.data
+                keys = [digest(data[a:b]) for a, b in zip(*symbols.bounds(base + anchor, base + anchor + gram - 1))]
+                shape = (anchor - lo) << SHAPE | hi - lo + 1
+                spans = [digest(data[a:b], n) for a, b, n in zip(*symbols.bounds(base + lo, base + hi + window - 1), shape.tolist())]
                 take = pa.array(row + first)
+                at = lo + shift - np.where(shift, 0, rows[row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code.view(np.int64)), pa.array((np.array(spans, np.uint64) ^ head).view(np.int64)), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((lo + shift - np.where(shift, 0, rows[row])).astype(np.int64)), pa.array(((anchor - lo) << 16 | hi - lo + 1).astype(np.int32))],
+                    [_signed(keys), _signed(spans), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(at.astype(np.int32)), pa.array(shape.astype(np.int32))],
                     names=["key", "span", "doc_id", "version", "at", "shape"],
                 )
 
 
-def _blocks(batches, unit, window, width):
-    """Blocks of ``width`` windows of chosen entries, keyed by their core; blocks are counted from the anchor.
+def narrow(batches, unit: str, window: int, width: int, depth: int):
+    """The chosen entries (``spans`` of each row) cut into ranges of ``width`` windows, keyed by their common first ``depth`` symbols.
 
-    So equal windows are in equal blocks: block j has the windows that start ``j * width`` to
-    ``j * width + width - 1`` symbols before the anchor.
+    Range j has the windows that start ``j * width`` to ``j * width + width - 1`` symbols before the anchor.
     """
+    digest = xxhash.xxh3_64_intdigest
     for whole in batches:
         for batch in slices(whole, 2 << 20):
-            s, rows = symbols(batch.column("text"), unit)
-            data, size = memoryview(np.ascontiguousarray(s)).cast("B"), s.itemsize
-            digest = xxhash.xxh3_64_intdigest
-            out: list[tuple] = []
-            for i, own in enumerate(batch.column("spans").to_pylist()):
-                base = int(rows[i])
-                for x in own:
-                    at, n, off = x["at"], x["shape"] & 65535, x["shape"] >> 16
-                    anchor = at + off
-                    seed = x["key"] & (1 << 64) - 1
-                    for j in range((off - n + 1) // width, off // width + 1):
-                        start = anchor - j * width  # the block's last window, where the core begins
-                        lo, hi = max(at, start - width + 1), min(at + n - 1, start)
-                        core = digest(data[(base + start) * size : (base + start + window - width + 1) * size], seed ^ j)
-                        span = digest(data[(base + lo) * size : (base + hi + window) * size], (start - lo) << 16 | hi - lo)
-                        out.append((i, core, span, lo, (anchor - lo) << 16 | hi - lo + 1))
-                if len(out) > 100_000:
-                    yield _block_rows(batch, out)
-                    out = []
-            yield _block_rows(batch, out)
-
-
-def _block_rows(batch, out):
-    row, core, span, at, shape = zip(*out) if out else [()] * 5
-    take = pa.array(row, pa.int64())
-    wide = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-    return pa.RecordBatch.from_arrays(
-        [wide(core), wide(span), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(at, pa.int64()), pa.array(shape, pa.int32())],
-        names=["key", "span", "doc_id", "version", "at", "shape"],
-    )
-
-
-def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    grouped = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*[c for c in spans.columns if c not in ("doc_id", "version")])).alias("spans"))
-    grouped = grouped.select(F.col("doc_id").alias("d"), F.col("version").alias("w"), "spans")
-    return docs.join(grouped, docs.doc_id.eqNullSafe(grouped.d) & (docs.version == grouped.w), how).drop("d", "w")
-
-
-def _settle(entries: DataFrame, scratch: Scratch, name: str, first_stays: bool) -> tuple[DataFrame, DataFrame]:
-    """Of entries (key, span, place): those with an equal span (to go), and one of each span where a key has several."""
-    keys = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("span").alias("a"), F.max("span").alias("b")).where("c > 1")
-    keys = scratch.keep(keys.select(F.col("key").alias("k"), (F.col("a") != F.col("b")).alias("mixed")), f"keys-{name}")
-    hits = scratch.keep(entries.join(keys, entries.key == keys.k).drop("k"), f"hits-{name}")
-    place = F.struct("doc_id", "version", "at", "shape")
-    spans = scratch.keep(hits.groupBy("key", "span").agg(F.count("*").alias("c"), F.min(place).alias("rep"), F.max("mixed").alias("mixed")), f"spans-{name}")
-    twice = spans.where("c > 1").select(F.col("key").alias("k"), F.col("span").alias("s"), "rep.doc_id", "rep.version", "rep.at").toDF("k", "s", "d", "w", "p")
-    same = hits.join(twice, (hits.key == twice.k) & (hits.span == twice.s))
-    if first_stays:  # the same place in a repeated row is not earlier
-        same = same.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("w")) & (F.col("at") == F.col("p"))))
-    return same.select("doc_id", "version", "at", "shape"), spans.where("mixed").select("key", "rep.doc_id", "rep.version", "rep.at", "rep.shape")
-
-
-def repeated(docs: DataFrame, scratch: Scratch, *, unit: str, window: int, gram: int, first_stays: bool) -> DataFrame:
-    """Spans (doc_id, version, at, n): windows starting at ``at`` .. ``at + n - 1`` are to go.
-
-    ``docs`` has doc_id, version, text. With ``first_stays``, the first occurrence of each window (smallest
-    doc_id, of texts with one id the smallest version, then start) stays; otherwise every occurrence of a repeated window goes.
-    """
-    kinds = f"key long, span long, {ddl(docs, 'doc_id')}, version int, at long, shape int"
-    docs = docs.select("doc_id", "version", "text")
-    gone, reps = _settle(docs.mapInArrow(lambda b: _entries(b, unit, window, gram), kinds), scratch, "run", first_stays)
-    # from here on only the texts of these entries are read
-    texts = scratch.keep(_with_spans(docs, reps, "inner"), "texts")
-    for k, width in enumerate([w for w in WIDTHS if 4 * w <= window] + [1]):
-        chosen = _with_spans(texts.drop("spans"), reps, "inner") if k else texts
-        blocks = scratch.keep(chosen.mapInArrow(lambda b, width=width: _blocks(b, unit, window, width), kinds), f"blocks-{width}")
-        more, reps = _settle(blocks, scratch, str(width), first_stays)
-        gone = gone.unionByName(more)
-    return gone.select("doc_id", "version", "at", F.col("shape").bitwiseAND(65535).alias("n"))
+            symbols = Symbols(batch.column("text"), unit)
+            row, x = flat(batch.column("spans"))
+            base = symbols.rows[row]
+            n, off = x["shape"] & (1 << SHAPE) - 1, x["shape"] >> SHAPE
+            anchor = base + x["at"] + off
+            low, high = (off - n + 1) // width, off // width
+            for part in np.array_split(np.arange(len(row)), max(1, int((high - low + 1).sum()) // 200_000)):
+                count = (high - low + 1)[part]
+                own = np.repeat(part, count)
+                j = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + low[own]
+                start = anchor[own] - j * width  # the range's last window
+                first = np.maximum((base + x["at"])[own], start - width + 1)
+                last = np.minimum((base + x["at"] + n - 1)[own], start)
+                shape = (anchor[own] - first) << SHAPE | last - first + 1
+                seeds = x["key"].view(np.uint64)[own] ^ j.astype(np.uint64)
+                data = symbols.data
+                # windows start - width + 1 .. start share their symbols from start to the depth of the first
+                keys = [digest(data[a:b], s) for a, b, s in zip(*symbols.bounds(start, start - width + depth), seeds.tolist())]
+                spans = [digest(data[a:b], s) for a, b, s in zip(*symbols.bounds(first, last + window - 1), shape.tolist())]
+                take = pa.array(row[own])
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(keys), _signed(spans), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((first - base[own]).astype(np.int32)), pa.array(shape.astype(np.int32))],
+                    names=["key", "span", "doc_id", "version", "at", "shape"],
+                )
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row numbers and fields of a column of lists of structs of numbers; null: none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    inner = column.flatten()
+    names = [f.name for f in column.type.value_type]
+    return np.repeat(np.arange(len(column)), sizes), {n: inner.field(n).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names}
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """``docs`` with each row's distinct spans; repeated rows share one list."""
+    grouped = spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct(*[c for c in spans.columns if c not in ("doc_id", "version")])).alias("spans"))
+    grouped = grouped.select(F.col("doc_id").alias("_d"), F.col("version").alias("_w"), "spans")
+    return docs.join(grouped, docs.doc_id.eqNullSafe(grouped._d) & (docs.version == grouped._w), how).drop("_d", "_w")
 
 
 def with_version(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("version", F.hash("text"))
+    return docs.withColumn("version", F.xxhash64("text"))
+
+
+def merged(row: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of overlapping or touching [at, end) of each row: row, start, end."""
+    order = np.lexsort((at, row))
+    row, at, end = row[order], at[order], end[order]
+    # ends made to rise over all rows
+    far = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(end + row * far)
+    new = np.append(True, (at + row * far)[1:] > reach[:-1])[: len(row)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], at[first], (reach[last] - row[first] * far) if len(first) else first
 
 
-def covered(spans, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged runs [start, end) of the symbols that the windows of (at, n) spans cover."""
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.array([x["at"] for x in spans], np.int64)
-    end = at + np.array([x["n"] for x in spans], np.int64) + window - 1
-    order = np.argsort(at, kind="stable")
-    at, end = at[order], np.maximum.accumulate(end[order])
-    new = np.append(True, at[1:] > end[:-1])
-    return at[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+def covered(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row: the merged runs [start, end) of the symbols that the windows of its (at, n) spans cover; offsets of rows in them."""
+    row, x = flat(column)
+    row, start, end = merged(row, x["at"], x["at"] + x["n"] + window - 1)
+    return np.searchsorted(row, np.arange(len(column) + 1)), start, end
 
 
 def edit(docs: DataFrame, spans: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``docs`` with each row's spans (null: none), through an Arrow function."""
-    return _with_spans(docs, spans, "left").mapInArrow(work, schema)
+    return with_spans(docs, spans, "left").mapInArrow(work, schema)

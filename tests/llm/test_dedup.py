@@ -70,6 +70,53 @@ def test_words_against_brute_force(spark):
         assert (by_id[d].lz_words, by_id[d].lz_removed) == (n, removed)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_differ_in_one_long_word_are_not_repeats(spark):
+    from strandflow.llm.lempelziv import remove_repeats
+
+    shared = " ".join(f"w{i}" for i in range(19))
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{shared} {word}"), (2, f"{shared} {other}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(spark, docs).collect()) == [(1, 20, 0), (2, 20, 0)]
+
+
+def test_factors_are_copies_of_their_references(spark):
+    """Every factor's words stand at its reference, earlier; factors cover what the removal takes, in order, without overlap."""
+    from strandflow.llm.lempelziv import factors, remove_repeats
+
+    texts = [t for t in repeat_texts(5) if t]
+    docs = table(spark, texts, list(range(1, len(texts) + 1)))
+    words = {i + 1: re.findall("[^\x20\x09-\x0d]+", t) for i, t in enumerate(texts)}
+    found = defaultdict(list)
+    for r in factors(spark, docs).collect():
+        found[r.doc_id].append((r.start, r.n_words, r.from_doc, r.from_start))
+    removed = {r.doc_id: r.n_removed for r in remove_repeats(spark, docs).collect()}
+    assert sum(removed.values()) > 2000
+    for d, n in removed.items():
+        at = 0
+        for start, size, source, place in sorted(found[d]):
+            assert start >= at and (source, place) < (d, start)
+            assert words[d][start : start + size] == words[source][place : place + size]
+            at = start + size
+        assert sum(x[1] for x in found[d]) == n
+
+
+def test_many_equal_rows(spark):
+    """Hundreds of rows equal in id and text: each is another document to op4, all are one place to op6."""
+    from strandflow.llm import lempelziv, suffix
+
+    text = " ".join(f"word{i * i % 991}" for i in range(700))
+    docs = spark.createDataFrame([(1, text, 0)] * 600 + [(2, text[:300], 1), (None, text, 2), (None, text, 2)], "doc_id long, text string, spans int").repartition(8)
+    cut = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(spark, docs).collect())
+    assert cut == {(1, len(text), len(text), 1): 600, (None, len(text), len(text), 1): 2, (2, 300, 300, 1): 1}
+    lz = Counter((r.doc_id, r.n_removed) for r in lempelziv.remove_repeats(spark, docs).collect())
+    assert lz == {(None, 0): 2, (1, 700): 600, (2, 20 * (len(text[:300].split()) >= 20) and len(text[:300].split()) - (text[299] != " " and text[300] != " ")): 1}
+
+
 def test_chunk_borders(monkeypatch, spark):
     """Long documents cut into overlapping chunks lose nothing."""
     from strandflow.llm import repeats
@@ -81,9 +128,11 @@ def test_chunk_borders(monkeypatch, spark):
     for bits in (9, 12):
         monkeypatch.setattr(repeats, "CHUNK_BITS", bits)
         covered = []
-        for _first, s, rows, shift in repeats._chunks(pa.array(["x" * 10, text, "y" * 300]), "byte", 200):
-            row, lo, hi, _, _ = repeats.runs(s, rows, 200, 32)
+        symbols = repeats.Symbols(pa.array(["x" * 10, text, "y" * 300]), "byte")
+        for _first, base, s, rows, shift in repeats._chunks(symbols, 200):
+            row, lo, hi, _ = repeats.runs(s, rows, 200, 32)
             for r, a, b in zip(row, lo, hi):
+                assert symbols.codes[base : base + len(s)].tolist() == s.tolist()
                 covered += [(_first + r, shift + p - (0 if shift else rows[r])) for p in range(a, b + 1)]
         assert Counter(covered) == Counter([(1, p) for p in range(2801)] + [(2, p) for p in range(101)])
 
