@@ -18,7 +18,7 @@ _SHIPPED: set[str] = set()
 #: Bytes of a batch that goes to a Python worker, so that its memory doesn't follow the length of rows.
 BATCH_BYTES = 4 << 20
 #: Bytes of an operator's input to a file of its scratch tables, at least.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

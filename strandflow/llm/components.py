@@ -1,10 +1,9 @@
 """Connected components by contraction, all in DataFrame joins and aggregates.
 
-In a round every node moves to the node of lowest rank (a hash, so that ids in order don't make long
-chains) among itself and its neighbours, and the edges between the nodes so chosen are the next
+In a round every node moves to the smallest among itself and its neighbours, and the edges between the nodes so chosen are the next
 round's graph. Each round is smaller than the one before, so all rounds together cost about as much as the first few;
 at last the rounds' moves are followed back. Before that, each task contracts the edges it holds, CHUNK
-at a time, which shortens paths for no shuffle. Every round is written to the scratch folder, so a lost executor
+at a time, which shortens paths for no shuffle (and ids in order don't make long chains). Every round is written to the scratch folder, so a lost executor
 costs a task and not the rounds before. A hub's edges are only ever minimised (partial aggregates) or
 joined from a plain exchange, which adaptive execution splits.
 """
@@ -67,12 +66,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of an edge; edges: two long columns u, v; root: one node of the component."""
     edges = edges.where("u <> v").select("u", "v").mapInArrow(_contract, "u long, v long")
     now = scratch.keep(edges, "edges-0")
-    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
     moves: list[DataFrame] = []
     while not now.isEmpty():
         k = len(moves)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(rank("v")).alias("low")).select(F.col("u").alias("node"), F.least(rank("u"), "low")["x"].alias("to"))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("to"))
         moves.append(scratch.keep(low, f"moves-{k}"))
         a, b = moves[k].select(F.col("node").alias("u"), F.col("to").alias("a")), moves[k].select(F.col("node").alias("v"), F.col("to").alias("b"))
         between = now.join(a, "u").join(b, "v").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

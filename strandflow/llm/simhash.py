@@ -58,7 +58,7 @@ MEET = 0.98
 #: Above so many members, a band's bucket is compared by leads, in each round so many times those of the one before.
 BUCKET, FACTOR = 8, 8
 #: Open pairs for each member of a crowded bucket, up to which all are compared.
-PAIRS = 8
+PAIRS = 32
 #: Deviations by which the long fingerprints may differ more than the similarity has it.
 MARGIN = 1.65
 #: Bits of the first 64 in which members of a bucket may differ to be compared in full (0.8 has some 9.7, deviation 2.9).
@@ -81,22 +81,17 @@ def shingle_hashes(raw: bytes, width: int = 3) -> np.ndarray:
     return np.array([digest(text[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits set in over half the hashes."""
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        count += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprint(raw: bytes, width: int = 3) -> int:
-    return majority(shingle_hashes(raw, width))
-
-
-def long_fingerprint(hashes: np.ndarray) -> bytes:
+def majority(hashes: np.ndarray, parts: int = 1) -> bytes:
+    """The bits set in over half the hashes, little-endian; with more ``parts``, also of the hashes mixed anew for each."""
+    count = np.zeros(64 * parts, np.int64)
+    salt = (np.arange(parts, dtype=np.uint64) * STEP)[None, :]
     with np.errstate(over="ignore"):
-        return np.array([majority(hashes if k == 0 else _mix(hashes + np.uint64(k) * STEP)) for k in range(PARTS)], "<u8").tobytes()
+        for at in range(0, len(hashes), 255):  # so many that a byte holds a bit's count
+            some = hashes[at : at + 255, None]
+            mixed = np.concatenate([some, _mix(some + salt[:, 1:])], axis=1).astype("<u8")
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+            count += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(count * 2 > len(hashes), bitorder="little").tobytes()
 
 
 def _fingerprints(batches, width, others, long):
@@ -107,11 +102,9 @@ def _fingerprints(batches, width, others, long):
             marks, wide = [], []
             for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
                 hashes = shingle_hashes(data[a:b], width)
-                if long:
-                    wide.append(long_fingerprint(hashes))
-                    marks.append(int.from_bytes(wide[-1][:8], "little"))
-                else:
-                    marks.append(majority(hashes))
+                mark = majority(hashes, PARTS if long else 1)
+                wide.append(mark)
+                marks.append(int.from_bytes(mark[:8], "little"))
             arrays, names = [*(batch.column(c) for c in others), pa.array(np.array(marks, np.uint64).view(np.int64))], [*others, "mark"]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(wide, pa.binary())] if long else []), names=names + ["long"] * long)
 
@@ -145,16 +138,23 @@ def _bands(batches, width, count):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(marks, count))], names=["key", "mark"])
 
 
+def _word(column: str, i: int):
+    """Eight bytes of a long fingerprint as a number."""
+    return F.conv(F.hex(F.substring(column, 8 * i + 1, 8)), 16, -10).cast("long")
+
+
+def most_different(similarity: float) -> int:
+    """Bits in which the long fingerprints of texts of that similarity may differ."""
+    size, p = 64 * PARTS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(size * p + MARGIN * math.sqrt(size * p * (1 - p)))
+
+
 def _alike(found: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Of candidates (u, v), those whose long fingerprints agree with the similarity."""
-    size, p = 64 * PARTS, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = round(size * p + MARGIN * math.sqrt(size * p * (1 - p)))
     one, two = marks.select(F.col("mark").alias("u"), F.col("long").alias("a")), marks.select(F.col("mark").alias("v"), F.col("long").alias("b"))
     both = found.join(one, "u").join(two, "v")
-    # eight bytes at a time, as numbers
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    differ = sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(PARTS)), F.lit(0))
-    return both.where(differ <= most).select("u", "v")
+    differ = sum((F.bit_count(_word("a", i).bitwiseXOR(_word("b", i))) for i in range(PARTS)), F.lit(0))
+    return both.where(differ <= most_different(similarity)).select("u", "v")
 
 
 def similar_links(marks: DataFrame, scratch: Scratch, similarity: float, known: DataFrame | None = None) -> DataFrame:
@@ -177,10 +177,15 @@ def similar_links(marks: DataFrame, scratch: Scratch, similarity: float, known:
     edges = scratch.keep(_alike(found, marks, similarity), "alike")
     scratch.drop("candidates")
     edges = edges.unionByName(known) if known is not None else edges
-    left = crowd.select("key", "mark", (chance() / F.lit(float(1 << 53)) * F.col("n")).alias("draw"))
+    # from here on the long fingerprint goes along, as numbers, and the join itself compares it
+    words = [f"w{i}" for i in range(1, PARTS)]
+    wide = marks.select("mark", *[_word("long", i).alias(f"w{i}") for i in range(1, PARTS)])
+    left = crowd.select("key", "mark", (chance() / F.lit(float(1 << 53)) * F.col("n")).alias("draw")).join(wide, "mark")
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w[1:]}"))) for w in words), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))))
+    alike = close & (differ <= most_different(similarity))
     while not left.isEmpty():
         roots = components(edges, scratch.inner(f"round-{k}"))
-        now = left.join(roots, left.mark == roots.node, "left").select("key", "mark", "draw", F.coalesce("root", "mark").alias("root"))
+        now = left.join(roots, left.mark == roots.node, "left").select("key", "mark", "draw", *words, F.coalesce("root", "mark").alias("root"))
         now = scratch.keep(now, f"now-{k}")
         # pairs of a bucket in different components are all that can connect more; its largest component is its main one
         classes = now.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -194,18 +199,17 @@ def similar_links(marks: DataFrame, scratch: Scratch, similarity: float, known:
             lead, last = now.where(F.col("draw") < FACTOR ** (k + 1)), False
         else:
             lead, last = now.where(F.col("root") != F.col("main")), True
-        lead = lead.select("key", F.col("mark").alias("v"), F.col("root").alias("to"))
-        pairs = now.select("key", F.col("mark").alias("u"), "root", "main").join(lead, "key").where(F.col("root") != F.col("to"))
+        lead = lead.select("key", F.col("mark").alias("v"), F.col("root").alias("to"), *[F.col(c).alias(f"x{c[1:]}") for c in words])
+        pairs = now.select("key", F.col("mark").alias("u"), "root", "main", *words).join(lead, "key").where(F.col("root") != F.col("to"))
         # in the last round both of a pair lead unless one is of the main component
         pairs = pairs.where((F.col("root") == F.col("main")) | (F.col("u") < F.col("v"))) if last else pairs
-        found = scratch.keep(pairs.where(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"candidates-{k}")
-        more = scratch.keep(_alike(found, marks, similarity), f"alike-{k}")
-        scratch.drop(f"candidates-{k}", f"now-{k}")
+        more = scratch.keep(pairs.where(alike).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"alike-{k}")
+        scratch.drop(f"now-{k}")
         # the stars of the components stand for the edges so far
         edges = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
         if last:
             break
-        left, k = now.select("key", "mark", "draw"), k + 1
+        left, k = now.select("key", "mark", "draw", *words), k + 1
     return edges
 
 
