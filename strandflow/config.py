@@ -26,6 +26,9 @@ class ReadSettings:
     site_reads: int = 300
     site_run: int = 3
     run_background: float = 4.0
+    run_safety: float = 2.0
+    minor_alpha: float = 0.001
+    minor_floor: float = 0.09
     strand_reads: int = 5
     strand_alpha: float = 0.001
     single_error: float = 0.02

@@ -116,6 +116,11 @@ class Dictionary:
         made = {t.apply(self.units[u]): (u, t.name) for t in self.templates for u in t.allowed if u in self.units}
         object.__setattr__(self, "mutated", made)
 
+    @property
+    def ends(self) -> tuple[str, str]:
+        """The layout's first and last unit, between which an allele lies."""
+        return self.pre[0], self.after[-1]
+
     def role(self, unit: str) -> str:
         if unit in self.pre:
             return "pre"

@@ -53,21 +53,31 @@ def binomial_lower_tail(k, n, p) -> Column:
     return binomial_upper_tail(n - k, n, 1 - p)
 
 
-def clopper_pearson(k, n, alpha: float = 0.05, steps: int = 50) -> Column:
-    """Exact interval (low, high) of a rate, by bisection of the binomial tail; null for n = 0. Use it on distinct (k, n)."""
+def clopper_pearson(k, n, alpha: float = 0.05, steps: int = 9) -> Column:
+    """Exact interval (low, high) of a rate; null for n = 0. Use it on distinct (k, n).
+
+    Newton steps on the log of the binomial tail against the log of p, from Wilson's bound. The tail's derivative is a
+    single term, and its log is concave in log p, so after the first step they rise to the bound and don't pass it.
+    """
     k, n = col(k), col(n)
+    z = probit(1 - alpha / 2)
 
     def lower(k: Column) -> Column:
-        """The p at which P(X >= k), rising in p, reaches alpha / 2. At and above k / n it is over a half."""
-
-        def halve(acc: Column, _: Column) -> Column:
-            p = (acc["a"] + acc["b"]) / 2
-            short = (k > n * p) & (_beyond(acc["c"], k, n, p) < alpha / 2)
-            return F.struct(F.when(short, p).otherwise(acc["a"]).alias("a"), F.when(short, acc["b"]).otherwise(p).alias("b"), acc["c"].alias("c"))
-
-        start = F.struct(F.lit(0.0).alias("a"), (k / n).cast("double").alias("b"), log_binomial(n, k).alias("c"))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["a"] + acc["b"]) / 2)
-        return F.when(k > 0, found).otherwise(0.0)
+        """The p at which P(X >= k), rising in p, reaches alpha / 2."""
+
+        def step(acc: Column, _: Column) -> Column:
+            p = F.exp(acc["x"])
+            tail = _beyond(acc["c"], k, n, p)
+            slope = F.exp(acc["c"] + F.log(k.cast("double")) + k * acc["x"] + (n - k) * F.log1p(-p)) / tail
+            x = acc["x"] - (F.log(tail) - math.log(alpha / 2)) / slope
+            return F.struct(F.least(x, acc["top"]).alias("x"), acc["top"].alias("top"), acc["c"].alias("c"))
+
+        top = F.log((k - 0.001) / n)  # just below k / n, where the tail is over a half
+        start, _ = wilson(k, n, z)
+        first = F.struct(F.least(F.log(F.greatest(start, F.lit(0.2) * k / n)), top).alias("x"), top.alias("top"), log_binomial(n, k).alias("c"))
+        found = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step, lambda acc: acc["x"]))
+        # all of n: P(X >= n) is p to the n
+        return F.when(k <= 0, 0.0).when(k >= n, F.pow(F.lit(alpha / 2), 1 / n)).otherwise(found)
 
     # the upper bound is one minus the lower bound of the failures
     return F.when(n > 0, F.struct(lower(k).alias("low"), (1 - lower(n - k)).alias("high")))

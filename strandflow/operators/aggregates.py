@@ -218,10 +218,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the place (from 1) of each row in the whole order: rows are sorted in ranges, and a range begins where those before it end."""
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
+    within = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_pid").orderBy(*order)))
+    # a row for each partition
+    sizes = dealt.groupBy("_pid").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_pid", (F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
+    return within.join(F.broadcast(starts), "_pid").withColumn(name, (F.col("_start") + F.col("_at")).cast("int")).drop("_pid", "_at", "_start")
+
+
 def rank_points(points: DataFrame, terms: list[tuple[str, bool]], tie: str) -> DataFrame:
     """Feasible points first, then by the terms (name, ascending) in turn with nulls last, then by hash."""
     order = [F.col("feasible").desc(), *[F.col(n).asc_nulls_last() if up else F.col(n).desc_nulls_last() for n, up in terms], F.col(tie)]
-    return points.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return numbered(points, order, "rank")
 
 
 def leave_one_out(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -239,3 +251,14 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, percent: int) ->
     upto = F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     place = F.floor((F.sum("_c").over(w) - 1) * percent / 100)
     return n.withColumn("_u", upto).withColumn("_p", place).where(F.col("_u") > F.col("_p")).groupBy(*keys).agg(F.min(value).alias(f"p{percent}_rank"))
+
+
+def rank_sum(rows, keys, member, value):
+    """U of the members against the rest and its z, tie and continuity corrected (low z: members are smaller)."""
+    r = mid_ranks(rows, keys, value).withColumn("_t", F.count("*").over(W.partitionBy(*keys, value)))
+    x = F.col(member)
+    s = r.groupBy(*keys).agg(F.sum(F.when(x, F.col("rank"))).alias("_r"), F.count_if(x).alias("a"), F.count_if(~x).alias("b"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+    n = F.col("a") + F.col("b")
+    u = F.col("_r") - F.col("a") * (F.col("a") + 1) / 2
+    sd = F.sqrt(F.col("a") * F.col("b") / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1))))
+    return s.withColumn("u", u).withColumn("z", F.try_divide(F.col("u") - F.col("a") * F.col("b") / 2 + 0.5, sd))

@@ -11,8 +11,8 @@ from .aggregates import grouping_rates
 
 
 def interval(df: DataFrame, k: str = "k", n: str = "n", alpha: float = 0.05) -> DataFrame:
-    """Adds low and high; the interval is worked out once for each distinct (k, n)."""
-    ci = df.select(k, n).distinct().withColumn("_ci", stats.clopper_pearson(k, n, alpha))
+    """Adds low and high; the interval is worked out once for each distinct (k, n), which are dealt to all cores."""
+    ci = df.select(k, n).distinct().repartition(2 * df.sparkSession.sparkContext.defaultParallelism).withColumn("_ci", stats.clopper_pearson(k, n, alpha))
     return df.join(ci, [k, n]).select(*df.columns, F.col("_ci.low").alias("low"), F.col("_ci.high").alias("high"))
 
 
@@ -59,12 +59,18 @@ def adoption(rows: DataFrame, metrics: list[str], alpha: float = 0.05) -> DataFr
     sums = rows.groupBy("profile").agg(*[F.count_if((F.col(f"{m}_new") == 1) & (F.col(f"{m}_base") == 0)).alias(f"{m}_b") for m in metrics], *[F.count_if((F.col(f"{m}_new") == 0) & (F.col(f"{m}_base") == 1)).alias(f"{m}_c") for m in metrics])
     long = sums.select("profile", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_b").alias("b"), F.col(f"{m}_c").alias("c")) for m in metrics])).alias("x")).select("profile", "x.*")
     p = long.withColumn("p", stats.mcnemar_exact("b", "c"))
-    order = W.partitionBy("profile").orderBy("p", "metric")
-    step = (F.count("*").over(W.partitionBy("profile")) - F.row_number().over(order) + 1) * F.col("p")
-    adjusted = p.withColumn("_s", step).withColumn("adjusted", F.least(F.lit(1.0), F.max("_s").over(order.rowsBetween(W.unboundedPreceding, 0)))).drop("_s")
+    adjusted = holm_adjusted(p, ["profile"], "p", "metric")
     return adjusted.withColumn("superior", (F.col("b") > F.col("c")) & (F.col("adjusted") < alpha))
 
 
+def holm_adjusted(df: DataFrame, family: list[str], p: str, tie: str) -> DataFrame:
+    """Step-down adjusted p-values: running maximum of (n - i + 1) p, at most 1. A family has a handful of tests."""
+    order = W.partitionBy(*family).orderBy(p, tie)
+    scaled = (F.count("*").over(W.partitionBy(*family)) - F.row_number().over(order) + 1) * F.col(p)
+    out = df.withColumn("_s", scaled)
+    return out.withColumn("adjusted", F.least(F.lit(1.0), F.max("_s").over(order.rowsBetween(W.unboundedPreceding, 0)))).drop("_s")
+
+
 def judge_objective(metrics: DataFrame, constraints: DataFrame) -> DataFrame:
     """Violated constraints of each point; a null metric violates. metrics(point, metric, value), constraints(metric, minimum, maximum)."""
     points = metrics.select("point").distinct()

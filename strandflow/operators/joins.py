@@ -33,18 +33,31 @@ def unit_lookup(pieces: DataFrame, units: DataFrame, templates: DataFrame, seq:
 def nearest_unit(pieces: DataFrame, units: DataFrame, seq: str = "seq") -> DataFrame:
     """Adds the unit of least edit distance (of equals the first in the dictionary) and that distance.
 
-    The dictionary goes along as one array, so a piece is compared with it in place and rows aren't multiplied.
+    Distances are worked out once for each distinct piece. Equal pieces are found by a hash join first; only the others are
+    compared, with the dictionary as one array, each unit only within the best distance so far.
     """
     words = units.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "seq"))).alias("_words"))
+    exact = small(units.groupBy(F.col("seq").alias("_seq")).agg(F.min_by("id", "ord").alias("_id")))
+    distinct = pieces.select(F.col(seq).alias("_piece")).distinct()
+    known = distinct.join(exact, F.col("_piece") == F.col("_seq"), "left")
     best = F.aggregate(
-        F.transform("_words", lambda w: F.struct(F.levenshtein(F.col(seq), w["seq"]).alias("d"), w["ord"].alias("ord"), w["id"].alias("id"))),
-        F.lit(None).cast("struct<d:int,ord:int,id:string>"),
-        lambda acc, x: F.when(acc.isNull() | (x < acc), x).otherwise(acc),
+        "_words",
+        F.lit(None).cast("struct<d:int,id:string>"),
+        lambda acc, w: F.when(acc.isNull(), F.struct(F.levenshtein(F.col("_piece"), w["seq"]).alias("d"), w["id"].alias("id")))
+        .when(acc["d"] <= F.abs(F.length("_piece") - F.length(w["seq"])), acc)
+        .otherwise(_nearer(acc, w)),
     )
-    out = pieces.crossJoin(F.broadcast(words)).withColumn("_best", best)  # one row of the dictionary's size
+    others = known.where("_id is null").crossJoin(F.broadcast(words)).select("_piece", best.alias("_best"))  # one row of the dictionary's size
+    done = known.where("_id is not null").select("_piece", F.struct(F.lit(0).alias("d"), F.col("_id").alias("id")).alias("_best")).unionByName(others)
+    out = pieces.join(done, pieces[seq].eqNullSafe(F.col("_piece")), "left")
     return out.select(pieces["*"], F.col("_best.id").alias("unit_id"), F.col("_best.d").alias("distance"))
 
 
+def _nearer(acc, w):
+    d = F.levenshtein(F.col("_piece"), w["seq"])
+    return F.when(d < acc["d"], F.struct(d.alias("d"), w["id"].alias("id"))).otherwise(acc)
+
+
 def nearest_peak(spans: DataFrame, peaks: DataFrame, key: str = "sample", short_bp: int = 90) -> DataFrame:
     """Adds peak (center) and class: assigned within the nearest peak's half-width, else short_product or unassigned.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..config import ReadSettings
 from ..functions.stats import binomial_upper_tail
 
 
@@ -35,6 +36,12 @@ class LengthSettings:
     core_share: float = 0.25
     flank_units: float = 2.0
     flank_reads: int = 5
+    dimer_share: float = 0.05
+
+
+def counted(spans: DataFrame) -> DataFrame:
+    """Spans by (sample, length) with their number n; tables that have n are summed."""
+    return spans.groupBy("sample", "length").agg((F.sum("n") if "n" in spans.columns else F.count("*")).alias("n"))
 
 
 def half_window(length, s: LengthSettings) -> Column:
@@ -47,13 +54,13 @@ def density(spans: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame
     Lengths meet only the grid points within their kernel's reach: they are opened into those points, which is
     a bounded number for each distinct length, and equal lengths are counted first.
     """
-    counted = spans.groupBy("sample", "length").agg(F.count("*").alias("n"))
-    ends = counted.groupBy("sample").agg((F.min("length") - s.margin_bp).alias("lo"), (F.max("length") + s.margin_bp).alias("hi"))
+    lengths = counted(spans)
+    ends = lengths.groupBy("sample").agg((F.min("length") - s.margin_bp).alias("lo"), (F.max("length") + s.margin_bp).alias("hi"))
     bw = s.bandwidth_bp + s.bandwidth_share * F.col("length")
     reach = F.lit(s.kernel_reach) * bw
     first = F.greatest(F.ceil((F.col("length") - reach - F.col("lo")) / s.grid_bp), F.lit(0))
     last = F.least(F.floor((F.col("length") + reach - F.col("lo")) / s.grid_bp), F.floor((F.col("hi") - F.col("lo")) / s.grid_bp))
-    opened = counted.join(ends, "sample").withColumn("i", F.explode(F.sequence(first, last)))
+    opened = lengths.join(ends, "sample").withColumn("i", F.explode(F.sequence(first, last)))
     z = (F.col("lo") + F.col("i") * s.grid_bp - F.col("length")) / bw
     return opened.groupBy("sample", "i", "lo").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("d")).select("sample", "i", (F.col("lo") + F.col("i") * s.grid_bp).alias("x"), "d")
 
@@ -71,15 +78,15 @@ def maxima(dens: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
 
 def supported(spans: DataFrame, centers: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
     """One row per candidate: its order, support, the sample's total and its best candidate."""
-    counted = spans.groupBy("sample", "length").agg(F.count("*").alias("n"))
-    total = counted.groupBy("sample").agg(F.sum("n").alias("total"))
+    lengths = counted(spans)
+    total = lengths.groupBy("sample").agg(F.sum("n").alias("total"))
     c = centers.select("sample", F.posexplode("centers").alias("ord", "center"))
     cells = c.withColumn("half", half_window(F.col("center"), s))
     # candidates of a sample are few; lengths meet them by bins of 240 bp
     from .joins import within
 
     near = cells.withColumn("low", F.col("center") - F.col("half")).withColumn("high", F.col("center") + F.col("half"))
-    hits = within(counted, near, ["sample"], "length", "low", "high", 4 * s.unit_bp)
+    hits = within(lengths, near, ["sample"], "length", "low", "high", 4 * s.unit_bp)
     n = hits.groupBy("sample", "ord", "center", "half").agg(F.sum("n").alias("support"))
     best = n.groupBy("sample").agg(F.max(F.struct("support", (-F.col("ord")).alias("o"), "center")).alias("b"))
     return n.join(total, "sample").join(best.select("sample", F.col("b.center").alias("top"), F.col("b.support").alias("top_support")), "sample")
@@ -91,7 +98,7 @@ def _side_p(df: DataFrame, s: LengthSettings, below: bool, out: str) -> DataFram
     bound = F.col("_lo") if below else F.col("_hi")
     edge = F.col("center") + sign * F.col("half")
     df = df.withColumns({"_edge": edge.cast("double"), "_room": F.when(F.col("_t"), ((bound - edge) * sign).cast("double"))})
-    inside = F.filter("_lengths", lambda x: ((x["length"] - F.col("_edge")) * sign > 0) & ((x["length"] - F.col("_edge")) * sign <= F.col("_room")))
+    inside = F.when(F.col("_t"), F.filter("_lengths", lambda x: ((x["length"] - F.col("_edge")) * sign > 0) & ((x["length"] - F.col("_edge")) * sign <= F.col("_room"))))
     df = df.withColumn("_near", F.sort_array(F.transform(inside, lambda x: F.struct(((x["length"] - F.col("_edge")) * sign).alias("d"), x["n"].alias("n")))))
     fifth = F.aggregate(  # distance of the read that makes the background large enough
         "_near",
@@ -108,18 +115,40 @@ def _side_p(df: DataFrame, s: LengthSettings, below: bool, out: str) -> DataFram
     return df.drop("_edge", "_room", "_near", "_fifth", "_width", "_m", "_p")
 
 
-def smear_p(spans: DataFrame, cand: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
-    """``cand`` with smear_p where _t holds: the larger p of both sides, in the region below the top.
+def with_lengths(spans: DataFrame, cand: DataFrame) -> DataFrame:
+    """Candidates with their sample's counted lengths as one array: a few thousand at most, since a length is in base pairs."""
+    listed = counted(spans).groupBy("sample").agg(F.collect_list(F.struct("length", "n")).alias("_lengths"), F.min("length").cast("double").alias("_least"))
+    return cand.join(listed, "sample")
 
-    A sample's distinct lengths go along as one array: a few thousand at most, since a length is in base pairs.
-    """
-    counted = spans.groupBy("sample", "length").agg(F.count("*").alias("n"))
-    listed = counted.groupBy("sample").agg(F.collect_list(F.struct("length", "n")).alias("_lengths"), F.min("length").alias("_lo"))
-    both = cand.join(listed, "sample").withColumn("_hi", F.col("top") - s.smear_units * s.unit_bp)
+
+def smear_p(cand: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
+    """Adds smear_p where _t holds: the larger p of both sides, in the region _lo .. _hi."""
     core = F.filter("_lengths", lambda x: F.abs(x["length"] - F.col("center")) <= s.core_share * F.col("half"))
-    both = both.withColumn("_k", F.aggregate(core, F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    both = cand.withColumn("_k", F.when(F.col("_t"), F.aggregate(core, F.lit(0).cast("long"), lambda a, x: a + x["n"])))
     both = _side_p(_side_p(both, s, True, "_pl"), s, False, "_pr")
-    return both.withColumn("smear_p", F.coalesce(F.greatest("_pl", "_pr"), F.lit(0.0))).drop("_lengths", "_lo", "_hi", "_k", "_pl", "_pr")
+    return both.withColumn("smear_p", F.coalesce(F.greatest("_pl", "_pr"), F.lit(0.0))).drop("_k", "_pl", "_pr")
+
+
+def _verdict(s: LengthSettings) -> Column:
+    """Of the candidates tested together (_t): smear, ambiguous, or null where the peak stands out."""
+    family = F.sum(F.col("_t").cast("int")).over(W.partitionBy("sample"))  # dozens of candidates a sample
+    p = F.col("smear_p") * F.greatest(family, F.lit(1))
+    return F.when(~F.col("_t") | (p < s.smear_alpha / s.smear_factor), None).when(p < s.smear_alpha * s.smear_factor, "smear_ambiguous").otherwise("smear")
+
+
+def between_alleles(judged: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
+    """Weak candidates between two alleles, where the shorter is the top, tested for smear; the others as they are."""
+    own, accepted = W.partitionBy("sample"), F.col("reason").isNull()  # dozens of candidates a sample
+    judged = judged.withColumns(
+        {
+            "_c": F.count_if(accepted).over(own), "_most": F.max(F.when(accepted, F.col("support"))).over(own),
+            "_short": F.min(F.when(accepted, F.col("center"))).over(own), "_long": F.max(F.when(accepted, F.col("center"))).over(own),
+        }
+    )
+    low, high = F.col("_short") + half_window(F.col("_short"), s), F.col("_long") - s.smear_units * s.unit_bp
+    mine = (F.col("_c") >= 2) & (F.col("top") == F.col("_short")) & (F.col("reason") == "support_below_threshold") & (F.col("center") > low) & (F.col("center") < high) & (F.col("support") < s.guard * F.col("_most"))
+    tested = smear_p(judged.withColumns({"_t": F.coalesce(mine, F.lit(False)), "_lo": low.cast("double"), "_hi": high.cast("double")}), s)
+    return tested.withColumn("reason", F.coalesce(_verdict(s), "reason"))
 
 
 def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smear: bool = True) -> DataFrame:
@@ -127,10 +156,9 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
     cand = supported(spans, maxima(density(spans, s), s), s)
     below = (F.col("center") <= F.col("top") - s.smear_units * s.unit_bp) & (F.col("support") < s.guard * F.col("top_support")) & (F.col("center") != F.col("top")) & (F.col("support") > s.noise_reads)
     if smear:
-        tested = smear_p(spans, cand.withColumn("_t", below), s)
-        cand = tested.withColumn("_n", F.sum(F.col("_t").cast("int")).over(W.partitionBy("sample")))  # dozens of candidates a sample
-        p = F.col("smear_p") * F.greatest("_n", F.lit(1))
-        label = F.when(~F.col("_t") | (p < s.smear_alpha / s.smear_factor), None).when(p < s.smear_alpha * s.smear_factor, "smear_ambiguous").otherwise("smear")
+        cand = with_lengths(spans, cand)
+        cand = smear_p(cand.withColumns({"_t": below, "_lo": F.col("_least"), "_hi": (F.col("top") - s.smear_units * s.unit_bp).cast("double")}), s)
+        label = _verdict(s)
     else:
         label = F.lit(None).cast("string")
     near = F.abs(F.col("center") - F.col("top")) < s.near_units * s.unit_bp
@@ -138,4 +166,58 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
     reason = F.when(F.col("center") == F.col("top"), None).when(F.col("support") <= s.noise_reads, "noise").otherwise(F.coalesce(label, F.when(F.col("support") < floor, "support_below_threshold")))
     judged = cand.withColumn("_why", reason)
     place = F.row_number().over(W.partitionBy("sample", F.col("_why").isNull()).orderBy((F.col("center") != F.col("top")).cast("int"), F.col("support").desc(), "ord"))
-    return judged.withColumn("reason", F.when(F.col("_why").isNull() & (place > s.alleles), "max_alleles").otherwise(F.col("_why"))).select("sample", "center", "support", "total", "reason")
+    judged = judged.withColumn("reason", F.when(F.col("_why").isNull() & (place > s.alleles), "max_alleles").otherwise(F.col("_why")))
+    return (between_alleles(judged, s) if smear else judged).select("sample", "center", "support", "total", "reason")
+
+
+def junctions(spans: DataFrame, words, r: ReadSettings = ReadSettings()) -> DataFrame:
+    """Adds first_bp and second_bp where a span holds its layout's end and then its start again: two products joined in one read."""
+    from ..functions.align import infix_hits
+
+    first, last = (words.units[u] for u in words.ends)
+    unit = words.unit_bp
+
+    def work(batches):
+        for pdf in batches:
+            inner = [q[unit:-unit] for q in pdf["seq"]]
+            ends = infix_hits(last, inner, r.anchor_edits)
+            starts = infix_hits(first, [q[e[1] :] if e else "" for q, e in zip(inner, ends)], r.anchor_edits)
+            pdf["first_bp"] = [unit + e[1] if e and b else None for e, b in zip(ends, starts)]
+            pdf["second_bp"] = [len(q) - e[1] - b[0] + unit if e and b else None for q, e, b in zip(inner, ends, starts)]
+            pdf["first_bp"], pdf["second_bp"] = pdf["first_bp"].astype("Int64"), pdf["second_bp"].astype("Int64")
+            yield pdf
+
+    return spans.select("sample", "ord", "seq").mapInPandas(work, "sample string, ord long, seq string, first_bp long, second_bp long").drop("seq")
+
+
+def dimer_parents(found: DataFrame, model: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
+    """Of joined reads(sample, ord, first_bp, second_bp) those whose parts each fall in an accepted peak's window, with their parents a and b."""
+    peaks = model.where("reason is null").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("center", half_window(F.col("center"), s).alias("half"), "support"))).alias("_p"))
+    parent = lambda bp: F.array_min(F.transform(F.filter("_p", lambda p: F.abs(p["center"] - F.col(bp)) <= p["half"]), lambda p: F.struct(F.abs(p["center"] - F.col(bp)).alias("d"), p["center"].alias("center"), p["support"].alias("support"))))
+    both = found.join(peaks, "sample").withColumn("_a", parent("first_bp")).withColumn("_b", parent("second_bp")).where("_a is not null and _b is not null")
+    low, high = F.least("_a.center", "_b.center").alias("a"), F.greatest("_a.center", "_b.center").alias("b")
+    return both.select("sample", "ord", low, high, F.least("_a.support", "_b.support").alias("least"))
+
+
+def without_dimers(spans: DataFrame, words, r: ReadSettings = ReadSettings(), s: LengthSettings = LengthSettings(), keep=lambda df, name: df) -> tuple[DataFrame, DataFrame]:
+    """Spans without the reads that join two products, and those reads' pairs (sample, a, b, n, explained).
+
+    A pair is explained while its reads are a small share of the weaker parent's. The removal holds for a sample only if the
+    lengths without them keep every parent and bring no new peak; otherwise all its reads stay. ``keep(df, name)`` writes a
+    table that is read several times.
+    """
+    bp = lambda df: df.select("sample", F.col("length").cast("long").alias("length"))
+    model = keep(length_model(bp(spans), s), "first-model")
+    reads = keep(dimer_parents(junctions(spans, words, r).where("first_bp is not null"), model, s), "joined")
+    pairs = reads.groupBy("sample", "a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least"))
+    pairs = keep(pairs.withColumn("explained", F.col("n") <= s.dimer_share * F.col("least")).drop("least"), "pairs")
+    gone = keep(reads.drop("least").join(pairs.where("explained").select("sample", "a", "b"), ["sample", "a", "b"], "left_semi"), "dimers")
+    mine = gone.groupBy("sample").agg(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b")))).alias("parents"))
+    # judged anew only where reads were removed
+    rest = spans.join(mine.select("sample"), "sample", "left_semi").join(gone.select("sample", "ord"), ["sample", "ord"], "left_anti")
+    accepted = lambda m, name: m.where("reason is null").groupBy("sample").agg(F.collect_list("center").alias(name))
+    both = accepted(model, "c").join(mine, "sample").join(accepted(length_model(bp(rest), s), "new"), "sample")
+    near = lambda x, others: F.exists(others, lambda y: F.abs(x - y) <= half_window(y, s))
+    sound = both.where(F.forall("new", lambda x: near(x, F.col("c"))) & F.forall("parents", lambda x: near(x, F.col("new")))).select("sample")
+    removed = keep(gone.join(sound, "sample", "left_semi").select("sample", "ord"), "removed")
+    return spans.join(removed, ["sample", "ord"], "left_anti"), pairs

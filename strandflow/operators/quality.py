@@ -84,12 +84,10 @@ def error_rates(counts: DataFrame) -> DataFrame:
 
 
 def balanced_levels(rows: DataFrame, order: str, factors: dict[str, list]) -> DataFrame:
-    """Each factor's levels dealt in turn over the rows, so that every level occurs as often as any other, to within one.
+    """Each factor's levels dealt in turn over the rows, so that every level occurs as often as any other, to within one."""
+    from .aggregates import numbered
 
-    A design has thousands of rows; their numbering is one task's work.
-    """
-    i = F.row_number().over(W.orderBy(order)) - 1
-    out = rows.withColumn("_i", i)
+    out = numbered(rows, [F.col(order)], "_i").withColumn("_i", F.col("_i") - 1)
     step = 1
     for name, levels in factors.items():
         values = F.array(*[F.lit(v) for v in levels])
@@ -98,11 +96,11 @@ def balanced_levels(rows: DataFrame, order: str, factors: dict[str, list]) -> Da
     return out.drop("_i")
 
 
-def visit_frequency(transitions: DataFrame, steps: int = 200) -> dict[str, float]:
+def visit_frequency(transitions: DataFrame, steps: int = 2000) -> dict[str, float]:
     """Time-averaged visits of a Markov chain over unit labels; transitions(a, b, p): a dictionary's square at most, so it is worked out on the driver."""
     import numpy as np
 
-    rows = transitions.limit(1_000_000).collect()
+    rows = transitions.collect()
     names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
     at = {n: i for i, n in enumerate(names)}
     m = np.zeros((len(names), len(names)))

@@ -2,46 +2,65 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ReadSettings
 from ..dictionary import Dictionary, default
-from ..functions.align import infix_distance, infix_hit, revcomp
+from ..functions.align import infix_distance, infix_hits, revcomp
 
 CATEGORIES = "sample string, ord long, name string, category string, seq string, mean_q double, strand string, edits int, basis string, length int"
 
 
-def _span(text: str, words: Dictionary, s: ReadSettings) -> tuple[int, int, int, str] | None:
-    first, last = words.units["1"], words.units["9"]
-    left = infix_hit(first, text, s.anchor_edits)
-    right = infix_hit(last, text[left[1] :], s.anchor_edits) if left else None
-    if right:
-        return left[0], left[1] + right[1], left[2] + right[2], "motif"
-    k = max(2, s.anchor_edits // 4)
-    left = infix_hit(words.left[-s.flank_bp :], text, k) if words.left else None
-    right = infix_hit(words.right[: s.flank_bp], text[left[1] :], k) if left and words.right else None
-    return (left[1], left[1] + right[0], left[2] + right[2], "flank") if right else None
-
-
-def _categorize(row, words: Dictionary, s: ReadSettings):
-    best = None
-    for strand in "+-":
-        text = row.seq if strand == "+" else revcomp(row.seq)
-        hit = _span(text, words, s)
-        if hit and (best is None or hit[2] < best[1][2]):  # the forward strand wins ties
-            best = (strand, hit, text)
-    if best and s.least_units * words.unit_bp <= best[1][1] - best[1][0] <= s.most_units * words.unit_bp:
-        strand, (a, b, edits, basis), text = best
-        qual = row.qual if strand == "+" else row.qual[::-1]
-        q = [ord(c) - 33 for c in qual[a:b]]
-        return ("spanning", text[a:b], sum(q) / len(q) if q else 0.0, strand, edits, basis, b - a)
-    ends = []
-    for unit in ("1", "9"):
-        ends.append(any(infix_hit(words.units[unit], t, s.anchor_edits) for t in (row.seq, revcomp(row.seq))))
-    kind = {(True, False): "left", (False, True): "right"}.get(tuple(ends), "internal_or_offtarget")
-    return (kind, row.seq, None, None, None, None, len(row.seq))
+def _spans(texts: list[str], words: Dictionary, s: ReadSettings) -> list[tuple[int, int, int, str] | None]:
+    """Of each text the span (start, end, edits, basis) between the layout's end units, else between the flanks."""
+    first, last = (words.units[u] for u in words.ends)
+    out: list = [None] * len(texts)
+
+    def between(rows: list[int], one: str, two: str, k: int, basis: str) -> None:
+        lefts = infix_hits(one, [texts[i] for i in rows], k)
+        found = [(i, x) for i, x in zip(rows, lefts) if x]
+        rights = infix_hits(two, [texts[i][x[1] :] for i, x in found], k)
+        for (i, x), y in zip(found, rights):
+            if y and basis == "motif":
+                out[i] = (x[0], x[1] + y[1], x[2] + y[2], basis)
+            elif y:
+                out[i] = (x[1], x[1] + y[0], x[2] + y[2], basis)
+
+    between(list(range(len(texts))), first, last, s.anchor_edits, "motif")
+    if words.left and words.right:
+        between([i for i, x in enumerate(out) if x is None], words.left[-s.flank_bp :], words.right[: s.flank_bp], max(2, s.anchor_edits // 4), "flank")
+    return out
+
+
+def _categorize(seqs: list[str], quals: list[str], words: Dictionary, s: ReadSettings) -> list[tuple]:
+    forward = _spans(seqs, words, s)
+    # the forward strand wins ties, so where it fits without an edit the other needn't be searched
+    again = [i for i, x in enumerate(forward) if x is None or x[2]]
+    turned = {i: revcomp(seqs[i]) for i in again}
+    back = dict(zip(again, _spans([turned[i] for i in again], words, s)))
+    out: list = []
+    partial = []
+    for i, (seq, qual) in enumerate(zip(seqs, quals)):
+        hit, strand, text = forward[i], "+", seq
+        other = back.get(i)
+        if other and (hit is None or other[2] < hit[2]):
+            hit, strand, text, qual = other, "-", turned[i], qual[::-1]
+        if hit and s.least_units * words.unit_bp <= hit[1] - hit[0] <= s.most_units * words.unit_bp:
+            a, b, edits, basis = hit
+            q = np.frombuffer(qual[a:b].encode("latin-1"), np.uint8)
+            out.append(("spanning", text[a:b], float(q.mean()) - 33 if len(q) else 0.0, strand, edits, basis, b - a))
+        else:
+            partial.append(i)
+            out.append(None)
+    texts = [t for i in partial for t in (seqs[i], turned.get(i) or revcomp(seqs[i]))]
+    ends = [[x is not None for x in infix_hits(words.units[u], texts, s.anchor_edits)] for u in words.ends]
+    for n, i in enumerate(partial):
+        kind = tuple(any(e[2 * n : 2 * n + 2]) for e in ends)
+        out[i] = ({(True, False): "left", (False, True): "right"}.get(kind, "internal_or_offtarget"), seqs[i], None, None, None, None, len(seqs[i]))
+    return out
 
 
 def categorize(reads: DataFrame, words: Dictionary | None = None, s: ReadSettings = ReadSettings()) -> DataFrame:
@@ -50,7 +69,7 @@ def categorize(reads: DataFrame, words: Dictionary | None = None, s: ReadSetting
 
     def work(batches):
         for pdf in batches:
-            rows = [_categorize(r, words, s) for r in pdf.itertuples()]
+            rows = _categorize(pdf["seq"].tolist(), pdf["qual"].tolist(), words, s)
             out = pd.DataFrame(rows, columns=["category", "seq", "mean_q", "strand", "edits", "basis", "length"])
             out.insert(0, "name", pdf["name"].to_numpy())
             out.insert(0, "ord", pdf["ord"].to_numpy())

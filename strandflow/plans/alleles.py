@@ -11,29 +11,37 @@ from ..operators import lengths, phase, reads, segment
 from ..operators.joins import nearest_peak
 
 
-def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings = ReadSettings()) -> dict[str, DataFrame]:
+def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings = ReadSettings(), *, keep=lambda df, name: df) -> dict[str, DataFrame]:
     """Tables of a run over raw(sample, ord, name, seq, qual): categories, peaks, alleles, units, assigned.
 
-    ``categories`` is read several times: callers who run all tables should write it first and pass it on.
+    Categories, fitted spans and groups are made by Python stages and read several times: ``keep(df, name)`` writes one of them
+    and returns the written table. Without it they are worked out again for each use.
     """
     words = words or default()
-    categories = reads.categorize(raw, words, s)
+    categories = keep(reads.categorize(raw, words, s), "categories")
     spans = categories.where("category = 'spanning'")
-    model = lengths.length_model(spans.select("sample", F.col("length").cast("long").alias("length")))
+    fitted, dimers = lengths.without_dimers(spans, words, s, keep=keep)
+    fitted = keep(fitted, "fitted")
+    model = lengths.length_model(fitted.select("sample", F.col("length").cast("long").alias("length")))
+    model = keep(model, "peaks")
     peaks = model.where("reason is null").select("sample", F.col("center").alias("center"), lengths.half_window(F.col("center"), lengths.LengthSettings()).alias("half"))
-    placed = nearest_peak(spans, peaks).where("class = 'assigned'")
-    groups = phase.phase(placed.select("sample", "peak", "ord", "seq", "strand"), s)
+    placed = nearest_peak(fitted, peaks).where("class = 'assigned'").select("sample", "peak", "ord", "seq", "strand")
+    groups = keep(phase.phase(placed, s), "groups")
+    # all reads of a peak are counted, not only those of the sample that found its groups
+    sizes = phase.members(placed, groups).where("group is not null").groupBy("sample", "peak", "group").agg(F.count("*").alias("members"))
     from pyspark.sql.window import Window as W
 
-    # the two largest groups, in order of length
+    # the two largest groups, in order of length; a sample has a handful
+    counted = groups.join(sizes, ["sample", "peak", "group"], "left").withColumn("reads", F.coalesce("members", F.lit(0))).drop("members")
     size = F.row_number().over(W.partitionBy("sample").orderBy(F.col("reads").desc(), "peak", "group"))
-    two = groups.withColumn("_r", size).where("_r <= 2")
+    two = counted.withColumn("_r", size).where("_r <= 2")
     order = F.row_number().over(W.partitionBy("sample").orderBy(F.length("seq"), "_r"))
-    alleles = two.withColumn("allele", F.concat(F.lit("allele_"), order)).drop("_r")
+    alleles = two.withColumn("allele", F.concat(F.lit("allele_"), order)).withColumn("depth", depth_status("reads", s)).drop("_r")
+    alleles = keep(alleles, "alleles")
     units = segment.segments(alleles.select(F.concat_ws("/", "sample", "allele").alias("id"), "seq"), words)
     partial = categories.where("category <> 'spanning'")
     assigned = reads.assign(partial, alleles.select("sample", "allele", "seq"), s)
-    return {"categories": categories, "peaks": model, "alleles": alleles, "units": units, "assigned": assigned}
+    return {"categories": categories, "peaks": model, "dimers": dimers, "alleles": alleles, "units": units, "assigned": assigned}
 
 
 def depth_status(n, s: ReadSettings = ReadSettings()):

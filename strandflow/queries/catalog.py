@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, decision, joins, quality, records, sequence, statistics
+from . import aggregates, decision, joins, quality, records, scoring, sequence, statistics
 
-MODULES = (sequence, joins, aggregates, statistics, decision, quality, records)
+MODULES = (sequence, joins, aggregates, statistics, decision, quality, records, scoring)
 
 
 def queries() -> dict:

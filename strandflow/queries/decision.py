@@ -98,10 +98,10 @@ def stratified_table(spark, sf):
     return E.stratified(t, ["l_linestatus", "band"], F.col("l_returnflag") == "R").select("l_linestatus", "band", "k", "n", F.round("rate", 6).alias("rate"))
 
 
-@R.add("""with r as (select 'm' || (l_suppkey % 4) as metric, count(*) as n, avg((l_returnflag = 'R')::int) as rate from lineitem where l_suppkey % 4 < 3 group by 1), t as (select * from (values ('m0', 0.1, null, true), ('m1', 0.9, null, true), ('m2', null, 0.5, false), ('m9', 0.5, null, true)) t(metric, minimum, maximum, binding))
+@R.add("""with r as (select 'm' || (l_suppkey % 4) as metric, count(*) as n, avg((l_returnflag = 'R')::int) as rate from lineitem group by 1), t as (select * from (values ('m0', 0.1, null, true), ('m1', 0.9, null, true), ('m2', null, 0.5, false), ('m9', 0.5, null, true)) t(metric, minimum, maximum, binding))
 select metric, round(rate, 6) as rate, case when n is null then null else coalesce(rate >= minimum, true) and coalesce(rate <= maximum, true) end as met, binding and not coalesce(case when n is null then null else coalesce(rate >= minimum, true) and coalesce(rate <= maximum, true) end, false) as fails from t left join r using (metric)""")
 def targets(spark, sf):
-    r = table(spark, sf, "lineitem").where("l_suppkey % 4 < 3").groupBy(F.concat(F.lit("m"), F.col("l_suppkey") % 4).alias("metric")).agg(F.count("*").alias("n"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("rate"))
+    r = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("m"), F.col("l_suppkey") % 4).alias("metric")).agg(F.count("*").alias("n"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("rate"))
     t = spark.createDataFrame([("m0", 0.1, None, True), ("m1", 0.9, None, True), ("m2", None, 0.5, False), ("m9", 0.5, None, True)], "metric string, minimum double, maximum double, binding boolean")
     return E.judge_targets(r, t).select("metric", F.round("rate", 6).alias("rate"), "met", "fails")
 
@@ -110,17 +110,10 @@ P = TAIL.format(p="0.5", a="0", b="least(b, c) + 1")
 
 
 @R.add(f"""with x as (select l_suppkey % 10 as profile, m, count_if(n = 1 and o = 0)::bigint as b, count_if(n = 0 and o = 1)::bigint as c from (
- select l_suppkey, 'exact' as m, (l_returnflag = 'R')::int as o, (l_quantity > 30)::int as n from lineitem where l_partkey % 5 = 0 union all select l_suppkey, 'fp', (l_linestatus = 'O')::int, (l_discount > 0.02)::int from lineitem where l_partkey % 5 = 0) group by all),
+ select l_suppkey, 'exact' as m, (l_returnflag = 'R')::int as o, (l_quantity > 30)::int as n from lineitem union all select l_suppkey, 'fp', (l_linestatus = 'O')::int, (l_discount > 0.02)::int from lineitem) group by all),
 p as (select *, b + c as n, case when b + c = 0 then 1 else least(1, 2 * {P}) end as p from (select *, b + c as n from x)), o as (select *, row_number() over (partition by profile order by p, m) as i from p)
 select profile, m as metric, b, c, round(p, 6) as p, round(least(1, max((2 - i + 1) * p) over (partition by profile order by i rows unbounded preceding)), 6) as adjusted from o""".replace("b + c as n, case when", "case when"))
 def adoption_rule(spark, sf):
-    t = table(spark, sf, "lineitem").where("l_partkey % 5 = 0").selectExpr("l_suppkey % 10 as profile", "cast(l_returnflag = 'R' as int) as exact_base", "cast(l_quantity > 30 as int) as exact_new", "cast(l_linestatus = 'O' as int) as fp_base", "cast(l_discount > 0.02 as int) as fp_new")
-    return E.adoption(t, ["exact", "fp"]).select("profile", "metric", "b", "c", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
-
-
-# adoption_rule keeps its filter because its SQL has it; this is the whole table
-@R.add(R.oracles["adoption_rule"].replace(" where l_partkey % 5 = 0", ""))
-def adoption_rule_whole(spark, sf):
     t = table(spark, sf, "lineitem").selectExpr("l_suppkey % 10 as profile", "cast(l_returnflag = 'R' as int) as exact_base", "cast(l_quantity > 30 as int) as exact_new", "cast(l_linestatus = 'O' as int) as fp_base", "cast(l_discount > 0.02 as int) as fp_new")
     return E.adoption(t, ["exact", "fp"]).select("profile", "metric", "b", "c", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
@@ -168,20 +161,13 @@ def realism_compare(spark, sf):
     return E.compare_metrics(f, t).select("metric", F.round("value", 6).alias("value"), "within")
 
 
-V = "(select l_suppkey as sample, l_partkey::int as pos, substr('ACG', 1, (l_linenumber % 3 + 1)::int) as ref, case l_orderkey % 3 when 0 then '0|1' when 1 then '1|1' else '0/1' end as genotype, l_linenumber % 2 as ps, l_linenumber as n from lineitem where l_orderkey % 40 = 0)"
+V = "(select l_suppkey as sample, l_partkey::int as pos, substr('ACG', 1, (l_linenumber % 3 + 1)::int) as ref, case l_orderkey % 3 when 0 then '0|1' when 1 then '1|1' else '0/1' end as genotype, l_linenumber % 2 as ps, l_linenumber as n from lineitem)"
 
 
 @R.add(f"""with v as (select *, substr(genotype, 1, 1) <> substr(genotype, 3, 1) as het, coalesce(pos < lag(pos + length(ref)) over (partition by sample order by pos, ref), false) as ov from {V}),
 n as (select sample, count_if(het)::bigint as het, count(distinct case when het then ps end)::bigint as sets, count_if(het and genotype not like '%|%')::bigint as unphased, bool_or(ov) as overlap from v group by sample)
 select *, case when overlap then 'overlapping' when het = 0 then 'homozygous' when het = 1 then 'single_site' when unphased = 0 and sets = 1 then 'phased' else 'unphased' end as status from n""")
 def phase_evidence(spark, sf):
-    v = table(spark, sf, "lineitem").where("l_orderkey % 40 = 0").selectExpr("l_suppkey as sample", "cast(l_partkey as int) as pos", "substr('ACG', 1, cast(l_linenumber % 3 + 1 as int)) as ref", "case l_orderkey % 3 when 0 then '0|1' when 1 then '1|1' else '0/1' end as genotype", "l_linenumber % 2 as phase_set")
-    return L.phase_evidence(v)
-
-
-# phase_evidence keeps its filter because its SQL has it; this is the whole table
-@R.add(R.oracles["phase_evidence"].replace(" where l_orderkey % 40 = 0", ""))
-def phase_evidence_whole(spark, sf):
     v = table(spark, sf, "lineitem").selectExpr("l_suppkey as sample", "cast(l_partkey as int) as pos", "substr('ACG', 1, cast(l_linenumber % 3 + 1 as int)) as ref", "case l_orderkey % 3 when 0 then '0|1' when 1 then '1|1' else '0/1' end as genotype", "l_linenumber % 2 as phase_set")
     return L.phase_evidence(v)
 
@@ -277,10 +263,10 @@ def phase_split(spark, sf):
 
 @R.add()
 def assign_reads(spark, sf):
-    """Cut-off reads assigned to two alleles of their sample."""
+    """Every read assigned to two alleles of its sample."""
     r = _reads(spark, sf)
-    alleles = r.where("ord % 5 = 1").groupBy("sample").agg(F.max_by("seq", "ord").alias("a"), F.min_by("seq", "ord").alias("b"))
+    alleles = r.groupBy("sample").agg(F.max_by("seq", "ord").alias("a"), F.min_by("seq", "ord").alias("b"))
     refs = alleles.select("sample", F.explode(F.array(F.struct(F.lit("allele_1").alias("allele"), F.col("a").alias("seq")), F.struct(F.lit("allele_2").alias("allele"), F.col("b").alias("seq")))).alias("x")).select("sample", "x.*")
     from ..config import ReadSettings
 
-    return reads_op.assign(r.where("ord % 5 = 0"), refs, ReadSettings(fragment_bp=500))
+    return reads_op.assign(r, refs, ReadSettings(fragment_bp=500))

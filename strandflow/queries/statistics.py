@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats as T
+from ..operators.aggregates import rank_sum
+from ..operators.evaluate import holm_adjusted, interval
 from . import Registry, table
 
 R = Registry()
@@ -16,12 +18,6 @@ def _rates(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
 
 
-def interval(df, k="k", n="n", alpha=0.05):
-    """``df`` with low and high: the interval is worked out once for each distinct (k, n) and joined back."""
-    ci = df.select(k, n).distinct().withColumn("_ci", T.clopper_pearson(k, n, alpha))
-    return df.join(ci, [k, n]).select(*df.columns, F.col("_ci.low").alias("low"), F.col("_ci.high").alias("high"))
-
-
 @R.add(f"""with recursive r as {RATES}, lo(g, k, n, a, b, i) as (select g, k, n, 0.0::double, 1.0::double, 0 from r union all select g, k, n, case when {TAIL.format(p='((a + b) / 2)', a='k', b='n + 1')} < 0.025 then (a + b) / 2 else a end, case when {TAIL.format(p='((a + b) / 2)', a='k', b='n + 1')} < 0.025 then b else (a + b) / 2 end, i + 1 from lo where i < 40),
 hi(g, k, n, a, b, i) as (select g, k, n, 0.0::double, 1.0::double, 0 from r union all select g, k, n, case when {TAIL.format(p='((a + b) / 2)', a='0', b='k + 1')} > 0.025 then (a + b) / 2 else a end, case when {TAIL.format(p='((a + b) / 2)', a='0', b='k + 1')} > 0.025 then b else (a + b) / 2 end, i + 1 from hi where i < 40)
 select l.g, l.k, l.n, round(case when l.k = 0 then 0 else (l.a + l.b) / 2 end, 6) as low, round(case when l.k = l.n then 1 else (h.a + h.b) / 2 end, 6) as high from lo l join hi h on l.g = h.g where l.i = 40 and h.i = 40""")
@@ -29,16 +25,9 @@ def clopper_pearson(spark, sf):
     return interval(_rates(spark, sf)).withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
-@R.add("""with t as (select l_suppkey as g, count_if(l_returnflag = 'R' and l_linestatus <> 'O') as b, count_if(l_returnflag <> 'R' and l_linestatus = 'O') as c from lineitem where l_partkey % 9 = 0 group by 1)
+@R.add("""with t as (select l_suppkey as g, count_if(l_returnflag = 'R' and l_linestatus <> 'O') as b, count_if(l_returnflag <> 'R' and l_linestatus = 'O') as c from lineitem group by 1)
 select g, b::bigint as b, c::bigint as c, round(least(1, (select sum(exp(lgamma(b + c + 1) - lgamma(j + 1) - lgamma(b + c - j + 1) + (b + c) * ln(0.5))) from (select unnest(range(0, (b + c + 1)::bigint)) as j) where lgamma(b + c + 1) - lgamma(j + 1) - lgamma(b + c - j + 1) <= lgamma(b + c + 1) - lgamma(b + 1) - lgamma(c + 1) + 1e-9)), 6) as p from t where b + c > 0""")
 def mcnemar(spark, sf):
-    t = table(spark, sf, "lineitem").where("l_partkey % 9 = 0").groupBy(F.col("l_suppkey").alias("g")).agg(F.expr("count_if(l_returnflag = 'R' and l_linestatus <> 'O')").alias("b"), F.expr("count_if(l_returnflag <> 'R' and l_linestatus = 'O')").alias("c"))
-    return t.where("b + c > 0").withColumn("p", F.round(T.mcnemar_exact("b", "c"), 6))
-
-
-# mcnemar over a part of lineitem only keeps its filter because its SQL has it; this is the whole table
-@R.add(R.oracles["mcnemar"].replace(" where l_partkey % 9 = 0", ""))
-def mcnemar_whole(spark, sf):
     t = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.expr("count_if(l_returnflag = 'R' and l_linestatus <> 'O')").alias("b"), F.expr("count_if(l_returnflag <> 'R' and l_linestatus = 'O')").alias("c"))
     return t.where("b + c > 0").withColumn("p", F.round(T.mcnemar_exact("b", "c"), 6))
 
@@ -50,16 +39,6 @@ def holm(spark, sf):
     return holm_adjusted(p, ["f"], "p", "m").withColumn("p", F.round("p", 6)).withColumn("adjusted", F.round("adjusted", 6))
 
 
-def holm_adjusted(df, family, p, tie):
-    """Step-down adjusted p-values: running maximum of (n - i + 1) p, at most 1."""
-    from pyspark.sql.window import Window as W
-
-    order = W.partitionBy(*family).orderBy(p, tie)
-    scaled = (F.count("*").over(W.partitionBy(*family)) - F.row_number().over(order) + 1) * F.col(p)
-    out = df.withColumn("_s", scaled)
-    return out.withColumn("adjusted", F.least(F.lit(1.0), F.max("_s").over(order.rowsBetween(W.unboundedPreceding, 0)))).drop("_s")
-
-
 Z = "1.6448536269514715"
 
 
@@ -93,21 +72,6 @@ def rank_sum_z(spark, sf):
     return rank_sum(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_returnflag") == "R").alias("x"), "l_quantity"), ["g"], "x", "l_quantity").select("g", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"))
 
 
-def rank_sum(rows, keys, member, value):
-    """U of the members against the rest and its z, tie and continuity corrected (low z: members are smaller)."""
-    from pyspark.sql.window import Window as W
-
-    from ..operators.aggregates import mid_ranks
-
-    r = mid_ranks(rows, keys, value).withColumn("_t", F.count("*").over(W.partitionBy(*keys, value)))
-    x = F.col(member)
-    s = r.groupBy(*keys).agg(F.sum(F.when(x, F.col("rank"))).alias("_r"), F.count_if(x).alias("a"), F.count_if(~x).alias("b"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
-    n = F.col("a") + F.col("b")
-    u = F.col("_r") - F.col("a") * (F.col("a") + 1) / 2
-    sd = F.sqrt(F.col("a") * F.col("b") / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1))))
-    return s.withColumn("u", u).withColumn("z", F.try_divide(F.col("u") - F.col("a") * F.col("b") / 2 + 0.5, sd))
-
-
 @R.add("""with t as (select l_suppkey as g, count_if(l_returnflag = 'R' and l_linestatus = 'O')::double as a, count_if(l_returnflag = 'R' and l_linestatus <> 'O')::double as b, count_if(l_returnflag <> 'R' and l_linestatus = 'O')::double as c, count_if(l_returnflag <> 'R' and l_linestatus <> 'O')::double as d from lineitem group by 1)
 select g, round(coalesce((a * d - b * c) / nullif(sqrt((a + b) * (c + d) * (a + c) * (b + d)), 0), 0), 6) as phi from t""")
 def phi_linkage(spark, sf):

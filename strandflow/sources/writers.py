@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,11 @@ class Table:
         """Upsert by key; the new version appears by one rename."""
         old, v = self.read(), self.versions()
         out = new if old is None else upsert(old, new, self.keys)
-        draft, final = f"{self.folder}/_draft", f"{self.folder}/v={v[-1] + 1 if v else 1}"
+        draft, final = f"{self.folder}/_draft-{uuid.uuid4().hex}", f"{self.folder}/v={v[-1] + 1 if v else 1}"
         out.write.mode("overwrite").parquet(draft)
         jvm, fs = self._fs()
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(final)):
+        # a rename into a version that another writer has made would put the draft inside it
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(final)) or not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(final)):
             raise RuntimeError(f"{final} exists")
         return self.read()
 

@@ -21,7 +21,7 @@ def windowed_counts(stream: DataFrame, time: str, *, late: str = "10 minutes", w
 
 def model_of(counts: DataFrame) -> DataFrame:
     """The length model of counted lengths, for use on each micro-batch's state."""
-    return length_model(counts.select("sample", "length", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_")).drop("_"))
+    return length_model(counts.select("sample", "length", "n"))
 
 
 def watch(spark: SparkSession, folder: str, schema: str, sink, checkpoint: str):

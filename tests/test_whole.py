@@ -15,8 +15,8 @@ SF = "/root/testdata/sf0.01"
 def test_whole_table(spark, name):
     c = duckdb.connect()
     c.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
-    df = catalog.queries()[f"{name}_whole"](spark, SF)
-    found = c.execute(catalog.oracle_sql()[f"{name}_whole"])
+    df = catalog.queries()[name](spark, SF)
+    found = c.execute(catalog.oracle_sql()[name])
     assert rows_of(df.columns, map(tuple, df.collect())) == rows_of([d[0] for d in found.description], found.fetchall())
 
 
