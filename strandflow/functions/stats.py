@@ -108,6 +108,17 @@ def probit(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+def normal_below(z) -> Column:
+    """P(Z <= z) of a normal variable: the error function's series near 0, its continued fraction beyond."""
+    z = col(z).cast("double")
+    x = F.abs(z) / math.sqrt(2)
+    step = lambda acc, k: F.struct((acc["t"] * -x * x / k).alias("t"), (acc["s"] + acc["t"] * -x * x / k / (2 * k + 1)).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), step)["s"] * (2 / math.sqrt(math.pi))
+    deep = F.aggregate(F.sequence(F.lit(40), F.lit(1)), F.lit(1.0), lambda acc, k: 1 + k / (2 * x * x) / acc)
+    tail = F.when(x < 3, 1 - series).otherwise(F.exp(-x * x) / (x * math.sqrt(math.pi)) / deep)  # of both sides
+    return F.when(z > 0, 1 - tail / 2).otherwise(tail / 2)
+
+
 def wilson(x, n, z: float) -> tuple[Column, Column]:
     x, n = col(x), col(n)
     p, w = x / n, z * z / n

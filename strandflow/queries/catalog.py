@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, decision, joins, quality, records, scoring, sequence, statistics
+from . import aggregates, decision, joins, quality, records, results, scoring, sequence, statistics
 
-MODULES = (sequence, joins, aggregates, statistics, decision, quality, records, scoring)
+MODULES = (sequence, joins, aggregates, statistics, decision, quality, records, results, scoring)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,90 @@ class Table:
         return self.read()
 
 
+class Files:
+    """Small texts in a folder of any file system that Spark writes: atomic replacement and creation that fails if the file is there."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+
+    def _write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self._path(name), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a new file; false, and nothing is written, if it is there already."""
+        draft = f"_{name}-{uuid.uuid4().hex}"
+        self._write(draft, text)
+        if not self.fs.exists(self._path(name)) and self.fs.rename(self._path(draft), self._path(name)):
+            return True
+        self.fs.delete(self._path(draft), False)
+        return False
+
+    def replace(self, name: str, text: str) -> None:
+        """Readers see the old text or the new one, never a part."""
+        draft = f"_{name}-{uuid.uuid4().hex}"
+        self._write(draft, text)
+        self.fs.delete(self._path(name), False)
+        if not self.fs.rename(self._path(draft), self._path(name)):
+            raise RuntimeError(f"{name} could not be put in place")
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self._path(name)):
+            return None
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def names(self) -> list[str]:
+        found = [f.getPath().getName() for f in self.fs.listStatus(self._path(""))] if self.fs.exists(self._path("")) else []
+        return sorted(n for n in found if not n.startswith(("_", ".")))
+
+
+class Preregistration:
+    """An append-only ledger of decision rules; the sealed data may be scored once, under the rule that unlocked them."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.files = Files(spark, folder)
+
+    def register(self, rule: str) -> str:
+        """The rule's digest; a rule that is there already is not written again."""
+        digest = hashlib.sha256(rule.encode()).hexdigest()
+        self.files.create(f"rule-{digest}", rule)
+        return digest
+
+    def require(self, rule: str) -> str:
+        digest = hashlib.sha256(rule.encode()).hexdigest()
+        if self.files.read(f"rule-{digest}") != rule:
+            raise ValueError("the rule was not registered before")
+        return digest
+
+    def unlock(self, rule: str) -> str:
+        """Mark the first evaluation of the sealed data; only the rule that did it may do it again."""
+        digest = self.require(rule)
+        self.files.create("first-evaluation", digest)
+        if self.files.read("first-evaluation") != digest:
+            raise ValueError("the sealed data were scored under another rule")
+        return digest
+
+
+def write_run(tables: dict[str, DataFrame], folder: str) -> None:
+    """A run's tables, each partitioned by sample, and a summary of counts written last: a run without it is not complete."""
+    for name, df in tables.items():
+        out = df.write.mode("overwrite")
+        (out.partitionBy("sample") if "sample" in df.columns else out).parquet(f"{folder.rstrip('/')}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    counts = {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}").count() for name in sorted(tables)}
+    Files(spark, folder).replace("summary.json", json.dumps({"status": "completed", "rows": counts}, sort_keys=True))
+
+
 def public_view(ledger: DataFrame, secret: list[str]) -> DataFrame:
     """The ledger without its sealed columns, and a digest of what they hold."""
     sealed = F.sha2(F.to_json(F.struct(*sorted(secret))), 256)

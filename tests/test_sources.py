@@ -111,3 +111,41 @@ def test_late_rows_are_left_out(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("counts").collect()) == [5] * 6
+
+
+def test_preregistered_rules_and_files(spark, tmp_path):
+    import pytest
+    from strandflow.sources.writers import Files, Preregistration
+
+    files = Files(spark, f"file://{tmp_path}/f")
+    assert files.create("a", "one") and not files.create("a", "two") and files.read("a") == "one"
+    files.replace("a", "zwei\u00e9")
+    assert files.read("a") == "zwei\u00e9" and files.read("b") is None and files.names() == ["a"]
+    ledger = Preregistration(spark, f"file://{tmp_path}/ledger")
+    with pytest.raises(ValueError):
+        ledger.require("rule 1")
+    assert ledger.register("rule 1") == ledger.register("rule 1") == ledger.require("rule 1")
+    ledger.register("rule 2")
+    assert ledger.unlock("rule 1") == ledger.unlock("rule 1")
+    with pytest.raises(ValueError):
+        ledger.unlock("rule 2")
+
+
+def test_runs_and_their_observations(spark, tmp_path):
+    import json
+
+    from strandflow.sources.results import observation_status, read_observations
+    from strandflow.sources.writers import write_run
+
+    df = spark.createDataFrame([("s1", "a"), ("s2", "b")], "sample string, seq string")
+    write_run({"alleles": df}, f"file://{tmp_path}/run")
+    assert json.loads((tmp_path / "run/summary.json").read_text()) == {"status": "completed", "rows": {"alleles": 2}}
+    assert spark.read.parquet(f"file://{tmp_path}/run/alleles").where("sample = 's2'").first().seq == "b"
+    for name, text in {"s1": {"classifications": {"a1": {}}, "alleles": {"a1": {}, "a2": {}}}, "s2": {"classifications": {"x": {}}, "alleles": {}}, "s3": []}.items():
+        (tmp_path / "res" / name).mkdir(parents=True)
+        (tmp_path / "res" / name / "summary.json").write_text(json.dumps(text))
+    found = {r["sample"]: (r["summary"], r["predictions"]) for r in read_observations(spark, f"file://{tmp_path}/res").collect()}
+    assert found == {"s1": ("valid", 1), "s2": ("invalid", 0), "s3": ("invalid", 0)}
+    rows = [("timeout", None, "completed", "valid", 2, False), (None, 1, "insufficient_evidence", None, 0, False), (None, 0, None, "valid", 2, True), (None, None, None, None, 0, False)]
+    got = observation_status(spark.createDataFrame(rows, "recorded string, exit_code int, sidecar string, summary string, predictions int, unsettled boolean")).collect()
+    assert [r.observed for r in got] == ["execution_failed", "insufficient_evidence", "ambiguous_reconstruction", "not_attempted"]
