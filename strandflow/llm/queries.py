@@ -83,6 +83,12 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(spark, _docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +108,7 @@ select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as
 from d left join kept using (doc_id)
 """
 
-ALL = (op1_kdtree, op2_packing, op3_simhash, op4_suffix, op5_bpe_trie, op6_lempelziv, op7_ordinal, op8_line_windows, op9_quality, op10_sstable, op11_negatives, pipeline)
+ALL = (op1_kdtree, op2_packing, op3_simhash, op4_suffix, op5_bpe_trie, op6_lempelziv, op7_ordinal, op8_line_windows, op9_quality, op10_sstable, op11_negatives, op12_minhash, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -110,6 +116,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup, negatives, quality, topk
+    from . import linededup, minhash, negatives, quality, topk
 
-    return {"op1_kdtree": topk.SQL, "op6_lempelziv": LEMPELZIV_SQL, "op8_line_windows": linededup.SQL, "op9_quality": quality.SQL, "op11_negatives": negatives.SQL}
+    return {"op1_kdtree": topk.SQL, "op6_lempelziv": LEMPELZIV_SQL, "op8_line_windows": linededup.SQL, "op9_quality": quality.SQL, "op11_negatives": negatives.SQL, "op12_minhash": minhash.SQL}
