@@ -278,8 +278,8 @@ s as (select r, unnest(case when len(w) < 2 then w else list_distinct(list_trans
 n as (select r, count(*) as n from s group by r),
 p as (select a.r as u, b.r as v, count(*) as c from s a join s b on a.s = b.s and a.r < b.r group by a.r, b.r),
 e as (select u, v from p join n a on a.r = u join n b on b.r = v where 100 * c >= 80 * (a.n + b.n - c)),
-both as (select u, v from e union all select v, u from e),
-reach as (select r, r as t from d union select reach.r, both.v from reach join both on reach.t = both.u),
+ways as (select u, v from e union all select v, u from e),
+reach as (select r, r as t from d union select reach.r, ways.v from reach join ways on reach.t = ways.u),
 c as (select reach.r, min(d.doc_id) as component_id from reach join d on d.r = reach.t group by reach.r)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id is not distinct from c.component_id as kept
 from d join c using (r) left join n using (r)
