@@ -7,13 +7,15 @@ set is done once its coordinates are full: large sets after one or two rounds. T
 coordinate with a chance of their Jaccard index, and the number of agreements is concentrated as if coordinates were independent.
 
 BANDS bands of WIDTH coordinates are keys. Two sets at 0.8 share no key with a chance of 5e-7 (``missed``), whatever
-the corpus. Sets that share one are candidates; those whose sketches (four bits of each coordinate)
-agree less than sets of that similarity do but once in 1e9 are dropped, and all others are compared in full: by the shingles of both.
+the corpus. Sets that share one are candidates. A candidate pair is dropped by its sketches (four bits of each coordinate)
+if they agree less than sets of that similarity do but once in 1e9, and by bitmaps of the shingles if these alone show that too few can be shared, which
+is never wrong. All others are compared in full: by the shingles of both.
 
-Equal sets count once. A band's key may be shared by very many different sets. First all of them are compared with one, the
-smallest, which is the same for most keys of a group. Then components are contracted, and only members of one key that are in
-different components are compared: all of them where they are few, otherwise with ever more members that lead, until all are done or joined.
-So a group costs about its size, and no link is left out.
+Equal sets count once. A band's key may be shared by very many different sets. First all of them are compared with one: that which shares most
+keys with others, the centre of a group of near copies. Then components are contracted, and in keys with several components the members
+outside the largest one are compared with all others: LEADS of them in the first round, FACTOR times as many in each further one. That is done in
+blocks of the members, each in a task, which give out near pairs only, and each pair where it first shares a key. So a group costs about its size, but for members that
+look near and are not, and no link is left out.
 
 Shingles are told by 64-bit hashes of their words' 64-bit hashes. Texts of one word have that word as their shingle; texts without words, and null
 texts, have none and link with nothing. Rows are documents each: equal doc_ids don't link. component_id leaves out null doc_ids, unless
@@ -43,11 +45,13 @@ LONGS = COORDINATES // 16
 DROPPED = 1e-9
 #: Bytes of a text that are split into words together.
 CHUNK = 1 << 20
-#: Open pairs for each member of a key, up to which all are compared.
-PAIRS = 16
-#: Members that lead in a round, for each that led in the round before.
-FACTOR = 8
-NIBBLES = 0x1111111111111111
+#: Longs of a set's bitmap of shingles.
+BITMAP = 16
+#: Members outside a key's largest component that are compared with all others in the first round, and how many times as many in each further one.
+LEADS, FACTOR = 1024, 8
+#: Members of a key that a task compares with others at a time.
+BLOCK = 512
+NIBBLES = np.uint64(0x1111111111111111)
 
 
 def missed(similarity: float) -> float:
@@ -139,9 +143,37 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def nibbles(sketch: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen to a long."""
+    """Four bits of each coordinate, sixteen to a word."""
     four = (_mix(sketch) & np.uint64(15)).reshape(-1, LONGS, 16)
-    return (four << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+    return (four << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
+def bitmaps(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A bit for each shingle of a set; several may share one."""
+    bits = np.zeros((len(rows) - 1, 64 * BITMAP), bool)
+    bits[np.repeat(np.arange(len(rows) - 1), np.diff(rows)), (hashes >> np.uint64(20)).astype(np.int64) % (64 * BITMAP)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+class Light:
+    """What is known of sets without their shingles: sizes, and for each a blob of key marks, nibbles and bitmap."""
+
+    TYPE = np.dtype([("marks", np.uint32, BANDS), ("nibbles", np.uint64, LONGS), ("bitmap", np.uint64, BITMAP)])
+
+    def __init__(self, sizes: np.ndarray, blobs: list[bytes]):
+        self.sizes, self.blobs = sizes, np.frombuffer(b"".join(blobs), self.TYPE)
+
+    def near(self, i: np.ndarray, other: Light, j: np.ndarray, percent: int) -> np.ndarray:
+        """Of pairs (i of this, j of other), whether sizes, sketches and bitmaps allow the similarity."""
+        n, m = self.sizes[i], other.sizes[j]
+        x = self.blobs["nibbles"][i] ^ other.blobs["nibbles"][j]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        agree = COORDINATES - np.bitwise_count(x & NIBBLES).sum(axis=1, dtype=np.int64)
+        # a bit that only one set has stands for a shingle that only it has
+        a, b = self.blobs["bitmap"][i], other.blobs["bitmap"][j]
+        shared = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+        return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (agree >= least_agreement(percent / 100)) & (100 * shared >= percent * (n + m - shared))
 
 
 def _pieces(batches):
@@ -156,10 +188,12 @@ def _sketched(batches, width, others):
         data = memoryview(hashes.astype("<u8").tobytes())
         digest = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in itertools.pairwise(rows.tolist())]
         both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-        keys, bits = band_keys(sketch), nibbles(sketch)
+        keys = band_keys(sketch)
+        light = np.zeros(len(sketch), Light.TYPE)
+        light["marks"], light["nibbles"], light["bitmap"] = keys.astype(np.uint32), nibbles(sketch), bitmaps(hashes, rows)
         arrays = [*(batch.column(c) for c in others), pa.array(np.diff(rows)), pa.array(both[:, 0]), pa.array(both[:, 1])]
-        arrays += [pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel())) for y in (keys, bits)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*others, "n", "a", "b", "keys", "bits"])
+        arrays += [pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())), pa.array([x.tobytes() for x in light], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*others, "n", "a", "b", "keys", "light"])
 
 
 def _sets(batches, width):
@@ -168,72 +202,112 @@ def _sets(batches, width):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(hashes.view(np.int64)))], names=["id", "set"])
 
 
-def _agreement(left: list[str], right: list[str]):
-    """Four-bit coordinates in which two sketches agree."""
-    total = F.lit(COORDINATES)
-    for a, b in zip(left, right):
-        x = F.col(a).bitwiseXOR(F.col(b))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(NIBBLES))
-        total = total - F.bit_count(x)
-    return total
+def _near(batches, percent):
+    """Of pairs with both sides' sizes and blobs, those that are near."""
+    for batch in batches:
+        one, two = (Light(batch.column(f"{x}n").to_numpy(), batch.column(f"{x}light").to_pylist()) for x in "ab")
+        every = np.arange(batch.num_rows)
+        good = np.flatnonzero(one.near(every, two, every, percent))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in ("u", "v")], names=["u", "v"])
+
+
+def _compared(batches, percent):
+    """Near pairs of each (key, block): its members come first, then the leads that are to be compared with them."""
+    of, held, ready = None, [], None
+    for batch in batches:
+        keys, blocks, leads = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "lead"))
+        edge = np.flatnonzero((np.diff(keys) != 0) | (np.diff(blocks) != 0) | (np.diff(leads.astype(np.int8)) != 0)) + 1
+        for a, b in zip(np.append(0, edge).tolist(), np.append(edge, len(keys)).tolist()):
+            if a == b:
+                continue
+            piece = batch.slice(a, b - a)
+            if of != (keys[a], blocks[a]):
+                of, held, ready = (keys[a], blocks[a]), [], None
+            if not leads[a]:
+                held.append(piece)
+                continue
+            if ready is None and held:
+                ready = _Members(held)
+                held = []
+            if ready is not None:
+                for at in range(0, piece.num_rows, 256):
+                    yield ready.pairs(_Members([piece.slice(at, 256)]), percent)
+
+
+class _Members:
+    def __init__(self, pieces: list):
+        whole = pa.Table.from_batches(pieces)
+        self.id, self.root, self.main, self.band = (whole[c].to_numpy() for c in ("id", "root", "main", "band"))
+        self.leads = whole["leads"].to_numpy()
+        self.light = Light(whole["n"].to_numpy(), whole["light"].to_pylist())
+
+    def pairs(self, leads: _Members, percent: int) -> pa.RecordBatch:
+        n, m = self.light.sizes[:, None], leads.light.sizes[None, :]
+        alive = (self.root[:, None] != leads.root[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        # two leads meet once
+        alive &= ~self.leads[:, None] | (self.id[:, None] < leads.id[None, :])
+        # a pair belongs to the first band that it shares a key of
+        for k in range(int(self.band[0])):
+            alive &= self.light.blobs["marks"][:, k][:, None] != leads.light.blobs["marks"][:, k][None, :]
+        i, j = np.nonzero(alive)
+        good = self.light.near(i, leads.light, j, percent)
+        u, v = self.id[i[good]], leads.id[j[good]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
 class Linker:
-    """Candidates and links among sets; marks: id, n, keys, bits; sets: id, set."""
+    """Candidates and links among sets; marks: id, n, light; sets: id, set."""
 
     def __init__(self, marks: DataFrame, sets: DataFrame, percent: int, scratch: Scratch):
-        self.sets, self.percent, self.scratch = sets, percent, scratch
-        self.bits = [f"w{i}" for i in range(LONGS)]
-        self.light = marks.select("id", "n", *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(self.bits)])
-
-    def side(self, name: str, prefix: str) -> DataFrame:
-        return self.light.select(F.col("id").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", *self.bits)])
+        self.marks, self.sets, self.percent, self.scratch = marks.select("id", "n", "light"), sets, percent, scratch
 
-    def near(self):
-        """Whether sizes and sketches of both sides (prefixes a and b) allow the similarity."""
-        sizes = 100 * F.least("an", "bn") >= self.percent * F.greatest("an", "bn")
-        return sizes & (_agreement([f"a{w}" for w in self.bits], [f"b{w}" for w in self.bits]) >= least_agreement(self.percent / 100))
+    def near(self, pairs: DataFrame) -> DataFrame:
+        percent = self.percent
+        both = pairs
+        for end, side in (("u", "a"), ("v", "b")):
+            both = both.join(self.marks.select(F.col("id").alias(end), F.col("n").alias(f"{side}n"), F.col("light").alias(f"{side}light")), end)
+        return both.mapInArrow(lambda b: _near(b, percent), "u long, v long")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (u, v), distinct and near, those whose sets are as similar as asked for."""
+        """Of distinct pairs (u, v), those whose sets are as similar as asked for."""
+        pairs = self.scratch.keep(pairs, f"near-{name}")
         one, two = self.sets.select(F.col("id").alias("u"), F.col("set").alias("x")), self.sets.select(F.col("id").alias("v"), F.col("set").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         total = F.size("x") + F.size("y") - F.col("both")
         found = pairs.join(one, "u").join(two, "v").withColumn("both", shared).where(100 * F.col("both") >= self.percent * total)
-        return self.scratch.keep(found.select("u", "v"), name)
+        links = self.scratch.keep(found.select("u", "v"), f"links-{name}")
+        self.scratch.drop(f"near-{name}")
+        return links
 
     def links(self, met: DataFrame) -> DataFrame:
-        """Edges (u, v) that connect the same sets as all similar pairs that share a key; met: key, id, lead (the smallest id of the key)."""
-        lead = met.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
-        near = lead.join(self.side("u", "a"), "u").join(self.side("v", "b"), "v").where(self.near()).select("u", "v")
-        edges = self.verified(self.scratch.keep(near, "near"), "links")
-        left, k = met.select("key", "id"), 1
+        """Edges (u, v) that connect the same sets as all similar pairs that share a key; met: key, band, id, size (members of the key)."""
+        degree = met.groupBy(F.col("id").alias("own")).agg(F.sum("size").alias("degree"))
+        centre = met.join(degree, met.id == degree.own).groupBy("key").agg(F.max(F.struct("degree", "id")).alias("m")).select("key", F.col("m.id").alias("centre"))
+        pairs = met.join(centre, "key").where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
+        edges = self.verified(self.near(pairs), "centre")
+        left, k, percent = met.select("key", "band", "id"), 0, self.percent
         while True:
             roots = components(edges, self.scratch.inner(f"round-{k}"))
-            now = left.join(roots, left.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-            # pairs of a key in different components are all that can connect more; its largest component is its main one
+            now = left.join(roots, left.id == roots.node, "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
+            # members of a key that are in different components are all that can connect more
             classes = now.groupBy("key", "root").agg(F.count("*").alias("c"))
-            of = classes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("s"), F.max(F.struct("c", "root")).alias("m"))
-            of = of.where(F.col("n") > F.col("m.c")).select(F.col("key").alias("own"), "n", F.col("m.root").alias("main"), ((F.col("n").cast("double") * F.col("n") - F.col("s")) / 2 <= PAIRS * F.col("n")).alias("last"))
+            of = classes.groupBy(F.col("key").alias("own")).agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("m"))
+            of = of.where(F.col("size") > F.col("m.c")).select("own", "size", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("others"))
             now = self.scratch.keep(now.join(of, now.key == of.own).drop("own"), f"open-{k}")
             if now.isEmpty():
                 return edges
-            # where the open pairs are few, whoever is outside the main component leads; elsewhere a number of members that grows
-            draw = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) * F.col("n")
-            last = F.col("last") | (F.col("n") <= FACTOR**k)
-            leads = now.where(F.when(last, F.col("root") != F.col("main")).otherwise(draw < FACTOR**k))
-            leads = leads.select("key", F.col("id").alias("v"), F.col("root").alias("to")).join(self.side("v", "b"), "v")
-            members = now.select("key", F.col("id").alias("u"), "root", "main", last.alias("last")).join(self.side("u", "a"), "u")
-            pairs = members.join(leads, "key").where(F.col("root") != F.col("to"))
-            # both of a pair lead, unless one is of the main component: one of the two pairs is enough
-            pairs = pairs.where(~F.col("last") | (F.col("root") == F.col("main")) | (F.col("u") < F.col("v"))).where(self.near())
-            pairs = self.scratch.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"near-{k}")
-            more = self.verified(pairs, f"links-{k}")
-            self.scratch.drop(f"near-{k}")
+            most = LEADS * FACTOR**k
+            draw = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) * F.col("others")
+            now = now.withColumn("leads", (F.col("root") != F.col("main")) & ((F.col("others") <= most) | (draw < most)))
+            whole = now.join(self.marks, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+            columns = ["key", "band", "id", "root", "main", "leads", "n", "light"]
+            members = whole.select(*columns, F.lit(False).alias("lead"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+            leads = whole.where("leads").select(*columns, F.lit(True).alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+            dealt = members.unionByName(leads).repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "lead")
+            more = self.verified(dealt.mapInArrow(lambda b: _compared(b, percent), "u long, v long").distinct(), f"round-{k}")
             # the stars of the components stand for the links so far
             edges = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
-            left = self.scratch.keep(now.where(~last).select("key", "id"), f"left-{k}")
+            left = self.scratch.keep(now.where(F.col("others") > most).select("key", "band", "id"), f"left-{k}")
             self.scratch.drop(f"open-{k}")
             k += 1
             if left.isEmpty():
@@ -248,14 +322,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 2, per
     ship(spark)
     scratch = Scratch(spark, "minhash", like=docs)
     texts = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
-    kind = ddl(texts, "doc_id", "version") + ", n long, a long, b long, keys array<long>, bits array<long>"
+    kind = ddl(texts, "doc_id", "version") + ", n long, a long, b long, keys array<long>, light binary"
     rows = scratch.keep(texts.mapInArrow(lambda b: _sketched(b, width, ["doc_id", "version"]), kind), "rows")
     # equal sets are one; the numbers hold once they are written
     one = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("n").alias("n"), F.min(one).alias("one"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("n").alias("n"), F.min(one).alias("one"), F.min("keys").alias("keys"), F.min("light").alias("light"))
     marks = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "marks")
-    keys = marks.select(F.explode("keys").alias("key"), "id")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n")
+    keys = marks.select(F.posexplode("keys").alias("band", "key"), "id")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = scratch.keep(keys.join(shared, "key"), "met")
     # the shingles of sets that share a key, from one text of each; a null doc_id and 0 may stand for each other, as the text is the same
     wanted = marks.join(met.select("id").distinct(), "id").select("id", F.coalesce("one.doc_id", F.lit(0)).alias("own"), F.col("one.version").alias("version"))

@@ -75,8 +75,9 @@ def test_against_brute_force(spark, seed, width):
 
 def test_crowded_keys_lose_no_link(spark, monkeypatch):
     """Many texts of one key, of which one alone is near all others, and pairs that only each other are near."""
-    monkeypatch.setattr(minhash, "PAIRS", 0)
+    monkeypatch.setattr(minhash, "LEADS", 2)
     monkeypatch.setattr(minhash, "FACTOR", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(4000)]
     base = [rng.choice(words) for _ in range(120)]
