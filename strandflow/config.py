@@ -44,6 +44,12 @@ class ReadSettings:
     event_reads: int = 20
     event_af: float = 0.30
     event_alternative: float = 0.25
+    event_run: int = 4
+    context_units: float = 1.0
+    class_runs: int = 2
+    class_reads: int = 200
+    class_growth: float = 3.0
+    confusion: float = 0.3
     longest_run: int = 16
     pseudo: float = 0.5
 

@@ -150,8 +150,8 @@ def smoothed(counts: Column, size: int = 17, pseudo: float = 0.5) -> Column:
 
 
 def shifted(p: Column, d: int) -> Column:
-    """Probabilities moved by ``d`` places, renormalised; what falls outside is lost."""
-    moved = F.transform(p, lambda x, i: F.coalesce(F.get(p, i - d), F.lit(0.0)) if d <= 0 else F.when(i >= d, F.get(p, i - d)).otherwise(0.0))
+    """Probabilities moved by ``d`` places: what comes in at an end repeats it, and the whole is one again."""
+    moved = F.transform(p, lambda x, i: F.get(p, F.greatest(F.least(i - d, F.size(p) - 1), F.lit(0))))
     total = F.aggregate(moved, F.lit(0.0), lambda a, x: a + x)
     return F.transform(moved, lambda x: x / total)
 

@@ -12,7 +12,9 @@ from ..operators.joins import nearest_peak
 
 
 def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings = ReadSettings(), *, keep=lambda df, name: df) -> dict[str, DataFrame]:
-    """Tables of a run over raw(sample, ord, name, seq, qual): categories, peaks, alleles, units, assigned.
+    """Tables of a run over raw(sample, ord, name, seq, qual): categories, peaks, alleles, units, placed, members, assigned.
+
+    ``placed``: every read of a peak with its group, null where two are as near; ``members``: the reads of each allele.
 
     Categories, fitted spans and groups are made by Python stages and read several times: ``keep(df, name)`` writes one of them
     and returns the written table. Without it they are worked out again for each use.
@@ -28,7 +30,8 @@ def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings
     placed = nearest_peak(fitted, peaks).where("class = 'assigned'").select("sample", "peak", "ord", "seq", "strand")
     groups = keep(phase.phase(placed, s), "groups")
     # all reads of a peak are counted, not only those of the sample that found its groups
-    sizes = phase.members(placed, groups).where("group is not null").groupBy("sample", "peak", "group").agg(F.count("*").alias("members"))
+    nearest = keep(phase.members(placed, groups), "placed")
+    sizes = nearest.where("group is not null").groupBy("sample", "peak", "group").agg(F.count("*").alias("members"))
     from pyspark.sql.window import Window as W
 
     # the two largest groups, in order of length; a sample has a handful
@@ -39,9 +42,12 @@ def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings
     alleles = two.withColumn("allele", F.concat(F.lit("allele_"), order)).withColumn("depth", depth_status("reads", s)).drop("_r")
     alleles = keep(alleles, "alleles")
     units = segment.segments(alleles.select(F.concat_ws("/", "sample", "allele").alias("id"), "seq"), words)
+    own = alleles.select("sample", "peak", "group", "allele")
+    members = nearest.join(own, ["sample", "peak", "group"]).join(placed.select("sample", "peak", "ord", "seq", "strand"), ["sample", "peak", "ord"])
+    members = keep(members.select("sample", "allele", "ord", "seq", "strand"), "members")
     partial = categories.where("category <> 'spanning'")
     assigned = reads.assign(partial, alleles.select("sample", "allele", "seq"), s)
-    return {"categories": categories, "peaks": model, "dimers": dimers, "alleles": alleles, "units": units, "assigned": assigned}
+    return {"categories": categories, "peaks": model, "dimers": dimers, "alleles": alleles, "units": units, "placed": nearest, "members": members, "assigned": assigned}
 
 
 def depth_status(n, s: ReadSettings = ReadSettings()):

@@ -81,8 +81,9 @@ def phi_linkage(spark, sf):
 
 
 @R.add("""with h as (select event_type as s, least(floor(value / 10), 16)::int as l, count(*) as n from events group by all),
-q as (select x.s, i::int as length, coalesce((select n from h where h.s = x.s and h.l = i), 0) + 0.5 as c from (select distinct s from h) x, range(0, 17) r(i)), z as (select s, length, c / sum(c) over (partition by s) as p from q)
-select a.s, a.length, round(a.p, 6) as p, round(coalesce(b.p, 0) / (select sum(coalesce(y.p, 0)) from z y where y.s = a.s and y.length <= 14), 6) as shifted from z a left join z b on b.s = a.s and b.length = a.length - 2""")
+q as (select x.s, i::int as length, coalesce((select n from h where h.s = x.s and h.l = i), 0) + 0.5 as c from (select distinct s from h) x, range(0, 17) r(i)), z as (select s, length, c / sum(c) over (partition by s) as p from q),
+w as (select a.s, a.length, a.p, b.p as q from z a join z b on b.s = a.s and b.length = greatest(a.length - 2, 0))
+select s, length, round(p, 6) as p, round(q / sum(q) over (partition by s), 6) as shifted from w""")
 def shift_profile(spark, sf):
     h = table(spark, sf, "events").groupBy(F.col("event_type").alias("s"), F.least(F.floor(F.col("value") / 10), F.lit(16)).cast("int").alias("l")).agg(F.count("*").alias("n"))
     m = h.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("m")).withColumn("p", T.smoothed(F.col("m")))
