@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from .functions.consensus import backend
+
 
 @dataclass(frozen=True)
 class ReadSettings:
@@ -11,7 +13,8 @@ class ReadSettings:
     flank_bp: int = 30
     least_units: int = 15
     most_units: int = 160
-    draft_reads: int = 40
+    draft_reads: int = 24
+    consensus: str = "partial_order"
     polish_rounds: int = 2
     polish_reads: int = 120
     run_vote: int = 4
@@ -56,6 +59,9 @@ class ReadSettings:
     def __post_init__(self):
         for f in fields(self):
             v = getattr(self, f.name)
+            if f.name == "consensus":
+                backend(v)
+                continue
             if isinstance(v, bool) or not isinstance(v, (int, float)) or not v == v or v < 0:
                 raise ValueError(f"{f.name}: {v!r}")
         if self.least_units >= self.most_units or self.low_depth > self.adequate_depth:

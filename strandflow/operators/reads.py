@@ -114,3 +114,23 @@ def assign(reads: DataFrame, refs: DataFrame, s: ReadSettings = ReadSettings(),
             yield pd.DataFrame(rows, columns=["sample", "ord", "assigned", "strand", "distance"])
 
     return work.mapInPandas(run, "sample string, ord long, assigned string, strand string, distance int")
+
+
+def inside(assigned: DataFrame, categories: DataFrame, words: Dictionary | None = None, s: ReadSettings = ReadSettings()) -> DataFrame:
+    """(sample, allele, ord, seq): partial reads that were assigned to an allele, turned its way and cut to what lies between the layout's end units.
+
+    assigned(sample, ord, assigned, strand); a read that has neither end unit lies inside as it is.
+    """
+    words = words or default()
+    first, last = (words.units[u] for u in words.ends)
+    known = assigned.where("assigned not in ('off_target', 'undecided')").select("sample", "ord", F.col("assigned").alias("allele"), F.col("strand").alias("_turn"))
+    both = categories.where("category <> 'spanning'").select("sample", "ord", "seq").join(known, ["sample", "ord"])
+
+    def cut(batches):
+        for pdf in batches:
+            seqs = [revcomp(q) if t == "-" else q for q, t in zip(pdf["seq"], pdf["_turn"])]
+            starts, ends = infix_hits(first, seqs, s.anchor_edits), infix_hits(last, seqs, s.anchor_edits)
+            own = [q[a[0] if a else 0 : b[1] if b and (not a or b[1] > a[0]) else len(q)] for q, a, b in zip(seqs, starts, ends)]
+            yield pdf[["sample", "allele", "ord"]].assign(seq=own)
+
+    return both.mapInPandas(cut, "sample string, allele string, ord long, seq string").where(F.length("seq") >= words.unit_bp)

@@ -40,13 +40,15 @@ def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings
     two = counted.withColumn("_r", size).where("_r <= 2")
     order = F.row_number().over(W.partitionBy("sample").orderBy(F.length("seq"), "_r"))
     alleles = two.withColumn("allele", F.concat(F.lit("allele_"), order)).withColumn("depth", depth_status("reads", s)).drop("_r")
-    alleles = keep(alleles, "alleles")
-    units = segment.segments(alleles.select(F.concat_ws("/", "sample", "allele").alias("id"), "seq"), words)
-    own = alleles.select("sample", "peak", "group", "allele")
+    first = keep(alleles, "drafts")
+    own = first.select("sample", "peak", "group", "allele")
     members = nearest.join(own, ["sample", "peak", "group"]).join(placed.select("sample", "peak", "ord", "seq", "strand"), ["sample", "peak", "ord"])
     members = keep(members.select("sample", "allele", "ord", "seq", "strand"), "members")
-    partial = categories.where("category <> 'spanning'")
-    assigned = reads.assign(partial, alleles.select("sample", "allele", "seq"), s)
+    assigned = keep(reads.assign(categories.where("category <> 'spanning'"), first.select("sample", "allele", "seq"), s), "assigned")
+    # reads that cover a part of an allele vote in that part
+    better = phase.refine(first, members, reads.inside(assigned, categories, words, s), s)
+    alleles = keep(first.drop("seq").join(better, ["sample", "allele"]), "alleles")
+    units = segment.segments(alleles.select(F.concat_ws("/", "sample", "allele").alias("id"), "seq"), words)
     return {"categories": categories, "peaks": model, "dimers": dimers, "alleles": alleles, "units": units, "placed": nearest, "members": members, "assigned": assigned}
 
 
