@@ -155,11 +155,11 @@ def valley_split(spark, sf):
     return A.valley_split(s, ["sample"]).drop("indel")
 
 
-@R.add("""with s as (select l_suppkey as sample, l_orderkey as site, l_linenumber as i, (l_partkey * 7)::bigint as start, (l_partkey * 7 + l_quantity::int)::bigint as "end" from lineitem where l_linenumber = 1),
+@R.add("""with s as (select l_suppkey as sample, l_orderkey as site, l_linenumber as i, (l_partkey * 7)::bigint as start, (l_partkey * 7 + l_quantity::int)::bigint as "end" from lineitem),
 n as (select *, case when start > max("end") over (partition by sample order by start, "end", site rows between unbounded preceding and 1 preceding) then 1 else 0 end as new from s)
 select sample, event::bigint as event, min(start) as low, max("end") as high, count(*)::bigint as n from (select *, sum(new) over (partition by sample order by start, "end", site rows unbounded preceding) as event from n) group by sample, event""")
 def touching_events(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_linenumber = 1").selectExpr("l_suppkey as sample", "l_partkey * 7 as start", "l_partkey * 7 + cast(l_quantity as int) as end")
+    s = table(spark, sf, "lineitem").selectExpr("l_suppkey as sample", "l_partkey * 7 as start", "l_partkey * 7 + cast(l_quantity as int) as end")
     return A.touching(s, ["sample"]).groupBy("sample", "event").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.count("*").alias("n"))
 
 
@@ -185,9 +185,13 @@ def first_of_repeats(spark, sf):
     return A.first_of_repeats(p, ["p_brand", "p_type"], "p_partkey", "proven")
 
 
-@R.add("select a.v::double as af, b.v::double as depth from (values (0.1), (0.2), (0.3)) a(v), (values (10), (30)) b(v)")
+@R.add("select af, depth, tax from (select distinct l_discount as af from lineitem), (select distinct l_linenumber::double as depth from lineitem), (select distinct l_tax as tax from lineitem)")
 def grid_product(spark, sf):
-    return A.grid_points(spark, {"depth": [10, 30], "af": [0.1, 0.2, 0.3]}).select("af", "depth")
+    """Every combination of the values that the lines have of three settings."""
+    t = table(spark, sf, "lineitem")
+    # the values of a setting are a handful
+    values = lambda c: sorted(r[0] for r in t.select(c).distinct().collect())
+    return A.grid_points(spark, {"depth": values("l_linenumber"), "af": values("l_discount"), "tax": values("l_tax")}).select("af", "depth", "tax")
 
 
 @R.add("select c_custkey, c_acctbal from customer where c_custkey % 4 > 0 union all select c_custkey, c_acctbal + 1 from customer where c_custkey % 4 = 0")

@@ -12,7 +12,7 @@ from ..operators import reads as reads_op
 from ..operators import segment as segment_op
 from .. import dictionary
 from ..functions import align
-from . import Registry, dna, dna_sql, table
+from . import Registry, dna, dna_sql, keeper, table
 from .sequence import UNITS_SQL
 from .statistics import TAIL
 
@@ -195,12 +195,12 @@ def detect_alleles(spark, sf):
     return L.detect_alleles(c, least=2, gap=3).select("sample", "rank", "total", "length", "homozygous")
 
 
-def _chains(spark, sf):
-    """A chain of seven units for each document, one unit of some with an inserted C."""
+def _chains(spark, sf, events=True, units=7):
+    """A chain of seven units for each document, one of some an X with an inserted C, or without it."""
     u = F.broadcast(WORDS.tables(spark)["units"].select("ord", "seq"))
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.sequence(F.lit(1), F.lit(7))).alias("p", "k"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.sequence(F.lit(1), F.lit(units))).alias("p", "k"))
     j = d.join(u, F.col("ord") == F.pmod(F.col("doc_id") * 3 + F.col("k") * 5, F.lit(34)))
-    unit = F.when((F.col("k") == 4) & (F.col("doc_id") % 4 == 0), F.lit(next(s for s, v in WORDS.mutated.items() if v == ("X", "dupC")))).otherwise(F.col("seq"))
+    unit = F.when((F.col("k") == 4) & (F.col("doc_id") % 4 == 0), F.lit(DUPC if events else WORDS.units["X"])).otherwise(F.col("seq"))
     return j.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", unit.alias("s")))), lambda x: x["s"]), "").alias("seq"))
 
 
@@ -270,3 +270,37 @@ def assign_reads(spark, sf):
     from ..config import ReadSettings
 
     return reads_op.assign(r, refs, ReadSettings(fragment_bp=500))
+
+
+@R.add("""select doc_id::varchar as sample, 4 as index, 'run' as kind, 'dupC' as template, 12::bigint as n, case when doc_id % 3 = 0 then 12 else 3 end::bigint as alt, case when doc_id % 3 = 0 then 0 else 9 end::bigint as ref, 0::bigint as other
+ from documents where doc_id % 4 = 0""")
+def event_support(spark, sf):
+    """Reads for and against each event: twelve for each document, of which all or a quarter carry its event."""
+    from ..operators import support
+
+    alleles = _chains(spark, sf).select(F.col("doc_id").cast("string").alias("sample"), F.lit("allele_1").alias("allele"), "seq", "doc_id")
+    both = alleles.join(_chains(spark, sf, events=False).withColumnRenamed("seq", "wild"), "doc_id").withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    own = F.when((F.col("doc_id") % 3 == 0) | (F.col("ord") % 4 == 0), F.col("seq")).otherwise(F.col("wild"))
+    members = both.select("sample", "allele", "ord", own.alias("seq"), F.when(F.col("ord") % 2 == 0, "+").otherwise("-").alias("strand"))
+    units = segment_op.segments(alleles.select(F.concat_ws("/", "sample", "allele").alias("id"), "seq"))
+    found, _ = support.event_support(alleles.drop("doc_id"), units, members, keep=keeper(spark, "support"))
+    return found.select("sample", "index", "kind", "template", "n", "alt", "ref", "other")
+
+
+@R.add(f"""select doc_id, md5(string_agg(u.seq, '' order by k)) as digest from documents, range(1, 4) r(k) join {UNITS_SQL} on ord = (doc_id * 3 + k * 5) % 34 group by doc_id""")
+def graph_consensus(spark, sf):
+    """The chain of each document from five reads of it, each with an error of its own."""
+    from ..functions.consensus import consensus
+
+    reads = _chains(spark, sf, units=3).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    at = F.pmod(F.col("doc_id") + 37 * F.col("k"), F.length("seq")).cast("int")
+    wrong = F.concat(F.substring("seq", F.lit(1), at), F.translate(F.substring("seq", at + 1, F.lit(1)), "ACGT", "CGTA"), F.substring("seq", at + 2, F.length("seq")))
+    return reads.select("doc_id", wrong.alias("read")).groupBy("doc_id").agg(consensus("partial_order")("read").alias("seq")).select("doc_id", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+@R.add()
+def sample_decisions(spark, sf):
+    """From reads to each sample's decision, with what speaks against a call."""
+    from ..plans.decision import call
+
+    return call(_reads(spark, sf), keep=keeper(spark, "decisions"))["decisions"]

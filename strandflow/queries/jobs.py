@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from . import Registry
+from . import Registry, folder_of_its_own
 from .statistics import TAIL
 
 R = Registry()
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder of its own in the shared one; a local one only where none is named and all runs on one machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandflow-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 LETTERS = ", ".join(f"length(t) - length(translate(t, '{b}{b.lower()}', '')) as {b.lower()}" for b in "ACGT")
 COUNTS = ", ".join(f"count_if(status = '{s}')::bigint as {s}" for s in ("accepted", "no_id", "empty", "length_mismatch", "short"))
 RANKS = ", ".join(f"min(length) filter (good and upto > (total - 1) * {p} // 100)::bigint as p{p}" for p in (5, 50, 95))
@@ -38,7 +25,7 @@ select sample, count(*)::bigint as reads, {COUNTS}, coalesce(sum(length) filter
 def job1_read_intake(spark, sf):
     from jobs import read_intake
 
-    folder = _folder(spark, "job1")
+    folder = folder_of_its_own(spark, "job1")
     for _ in range(2):
         read_intake.run(spark, f"{sf}/documents.parquet", folder)
     return read_intake.profile(spark, folder)
@@ -74,7 +61,7 @@ select q.profile, q.stratum, q.caller, q.metric, q.k, q.n, round(q.k / q.n::doub
 def job2_call_report(spark, sf):
     from jobs import call_report
 
-    folder = _folder(spark, "job2")
+    folder = folder_of_its_own(spark, "job2")
     for _ in range(2):
         call_report.run(spark, f"{sf}/documents.parquet", f"{sf}/labels.parquet", folder)
     out = call_report.report(spark, folder)

@@ -54,11 +54,11 @@ def selection_audit(spark, sf):
     return Q.selection_audit(c, c.where("units % 10 = 0"), 8)
 
 
-@R.add("""with e as (select l_suppkey as gene, l_partkey * 3 as start, l_partkey * 3 + l_quantity::int as "end" from lineitem where l_linenumber = 2 union all select s_suppkey, 50, 90 from supplier),
+@R.add("""with e as (select l_suppkey as gene, l_partkey * 3 as start, l_partkey * 3 + l_quantity::int as "end" from lineitem union all select s_suppkey, 50, 90 from supplier),
 n as (select *, case when start > max("end") over (partition by gene order by start, "end" rows between unbounded preceding and 1 preceding) then 1 else 0 end as new from e)
 select gene, min(start)::bigint as start, max("end")::bigint as "end" from (select *, sum(new) over (partition by gene order by start, "end" rows unbounded preceding) as i from n) group by gene, i""")
 def merged_exons(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_linenumber = 2").selectExpr("l_suppkey as gene", "l_partkey * 3 as start", "l_partkey * 3 + cast(l_quantity as int) as end")
+    e = table(spark, sf, "lineitem").selectExpr("l_suppkey as gene", "l_partkey * 3 as start", "l_partkey * 3 + cast(l_quantity as int) as end")
     r = table(spark, sf, "supplier").selectExpr("s_suppkey as gene", "cast(50 as bigint) as start", "cast(90 as bigint) as end")
     return Q.merged_exons(e, r)
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import dictionary
 from ..operators import records as X
 from . import Registry, table
+from .sequence import PLACE, _places
 
 R = Registry()
-WORDS = dictionary.default()
 SPLITS = {"unconfirmed_single_site": "unresolved_single_site", "unconfirmed_group_size": "unresolved_group_size"}
 
 
@@ -44,8 +43,12 @@ def pending_points(spark, sf):
     return X.pending(table(spark, sf, "part").select("p_partkey"), done, "p_partkey")
 
 
-@R.add()
+@R.add(f"""select distinct b as base, bw + aw as parent_length, bw + aw + 1 as event_length from (
+ select b, length(left(unit, s - 1)) - length(rtrim(left(unit, s - 1), b)) as bw, length(substr(unit, s)) - length(ltrim(substr(unit, s), b)) as aw
+ from (select *, substr('ACGT', (id // 7 % 4 + 1)::int, 1) as b from {PLACE})) where bw + aw >= 2""")
 def run_signatures(spark, sf):
-    """What the dictionary's single-base templates look like in runs."""
-    t = WORDS.tables(spark)
-    return X.run_signatures(t["templates"], t["units"])
+    """What single bases inserted into units, one for each part, look like in runs."""
+    made = _places(spark, sf).withColumn("base", F.expr("substr('ACGT', cast(id div 7 % 4 + 1 as int), 1)"))
+    templates = made.select(F.col("id").cast("string").alias("parent"), F.expr("substr(seq, 1, s - 1) || base || substr(seq, s)").alias("seq"))
+    out = X.run_signatures(templates, made.select(F.col("id").cast("string").alias("id"), "seq"))
+    return out.select("base", F.col("parent_length").cast("bigint").alias("parent_length"), F.col("event_length").cast("bigint").alias("event_length"))

@@ -40,12 +40,15 @@ def cigar_indel_bp(spark, sf):
 
 def _templates_sql() -> str:
     rows = [(t.name, u, WORDS.units[u], t.kind, t.start, t.end, t.bases) for t in WORDS.templates for u in t.allowed]
-    return "(values " + ", ".join(f"('{n}', '{u}', '{s}', '{k}', {a}, {'null::int' if b is None else b}, '{x}')" for n, u, s, k, a, b, x in rows) + ") t(name, unit, seq, kind, s, e, bases)"
+    listed = ", ".join(f"({i}, '{n}', '{u}', '{s}', '{k}', {a}, {'null::int' if b is None else b}, '{x}')" for i, (n, u, s, k, a, b, x) in enumerate(rows))
+    return f"part join (values {listed}) t(ord, name, unit, seq, kind, s, e, bases) on ord = p_partkey % {len(rows)}"
 
 
-def _templates(spark):
+def _templates(spark, sf):
+    """A template and one of its units for each part."""
     rows = [(t.name, u, WORDS.units[u], t.kind, t.start, t.end, t.bases) for t in WORDS.templates for u in t.allowed]
-    return spark.createDataFrame(rows, "name string, unit string, seq string, kind string, s int, e int, bases string")
+    listed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, name string, unit string, seq string, kind string, s int, e int, bases string")
+    return table(spark, sf, "part").select("p_partkey").join(F.broadcast(listed), F.col("p_partkey") % len(rows) == F.col("ord"))
 
 
 APPLY = """case kind when 'insert' then substr(seq, 1, s - 1) || bases || substr(seq, s)
@@ -53,9 +56,9 @@ APPLY = """case kind when 'insert' then substr(seq, 1, s - 1) || bases || substr
 NET = "case kind when 'insert' then length(bases) when 'delete' then s - e - 1 else length(bases) - (e - s - 1) end"
 
 
-@R.add(f"select name, unit, {APPLY} as mutated, ({NET})::int as net from {_templates_sql()}")
+@R.add(f"select p_partkey, name, unit, {APPLY} as mutated, ({NET})::int as net from {_templates_sql()}")
 def apply_template(spark, sf):
-    return _templates(spark).select("name", "unit", S.apply_change("seq", "kind", "s", "e", "bases").alias("mutated"), S.net_change("kind", "s", "e", "bases").alias("net"))
+    return _templates(spark, sf).select("p_partkey", "name", "unit", S.apply_change("seq", "kind", "s", "e", "bases").alias("mutated"), S.net_change("kind", "s", "e", "bases").alias("net"))
 
 
 @R.add(f"""with c as (select doc_id, i, substr(d, i, 1) as b, d from (select doc_id, {D} as d from documents), range(1, 33) r(i)),
@@ -90,10 +93,11 @@ HEAD = "".join(WORDS.units[u] for u in "12345")
 TAIL = "".join(WORDS.units[u] for u in "6789")
 
 
-@R.add(f"select n::int as units, length(c)::int as bp, md5(c) as digest from (select n, '{WORDS.left[-30:]}{HEAD}' || repeat('{WORDS.units['X']}', n) || '{TAIL}{WORDS.right[:30]}' as c from range(1, 151) r(n))")
+@R.add(f"select p_partkey, n::int as units, length(c)::int as bp, md5(c) as digest from (select p_partkey, p_partkey % 150 + 1 as n, '{WORDS.left[-30:]}{HEAD}' || repeat('{WORDS.units['X']}', (p_partkey % 150 + 1)::int) || '{TAIL}{WORDS.right[:30]}' as c from part)")
 def reference_ladder(spark, sf):
-    c = spark.range(1, 151).select(F.col("id").cast("int").alias("units"), S.contig(F.col("id").cast("int"), WORDS, 30).alias("c"))
-    return c.select("units", F.length("c").alias("bp"), F.md5(F.col("c").cast("binary")).alias("digest"))
+    n = (F.col("p_partkey") % 150 + 1).cast("int")
+    c = table(spark, sf, "part").select("p_partkey", n.alias("units"), S.contig(n, WORDS, 30).alias("c"))
+    return c.select("p_partkey", "units", F.length("c").alias("bp"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
 @R.add(f"""with s as (select doc_id, {D} || 'ACGTTGCA' || {D7} as seq from documents)
@@ -143,11 +147,12 @@ def merged_allele(spark, sf):
 UNITS_SQL = "(values " + ", ".join(f"('{u}', {i}, '{s}', '{WORDS.role(u)}')" for i, (u, s) in enumerate(WORDS.units.items())) + ") u(id, ord, seq, class)"
 
 
-@R.add(f"select id, class as unit_class from {UNITS_SQL} union all select id || ':dupC', 'mutation' from {UNITS_SQL}")
+@R.add(f"select doc_id, case when doc_id % 3 = 0 then id || ':dupC' else id end as id, case when doc_id % 3 = 0 then 'mutation' else class end as unit_class from documents join {UNITS_SQL} on ord = doc_id % 34")
 def unit_class(spark, sf):
-    u = WORDS.tables(spark)["units"].select("id")
-    u = u.unionByName(u.select(F.concat("id", F.lit(":dupC")).alias("id")))
-    return u.select("id", S.unit_category("id", WORDS).alias("unit_class"))
+    u = F.broadcast(WORDS.tables(spark)["units"].select("ord", "id"))
+    d = table(spark, sf, "documents").select("doc_id").join(u, F.col("ord") == F.col("doc_id") % 34)
+    d = d.withColumn("id", F.when(F.col("doc_id") % 3 == 0, F.concat("id", F.lit(":dupC"))).otherwise(F.col("id")))
+    return d.select("doc_id", "id", S.unit_category("id", WORDS).alias("unit_class"))
 
 
 REASON = "concat('Allele_', l_linenumber, ': depth ', l_partkey, '.5 is below x', l_suppkey, '  for (dup at repeat ', l_orderkey, ') is inconclusive (few reads (', l_partkey, ' seen); None given.)')"
@@ -191,9 +196,9 @@ def amplicon_interval(spark, sf):
 
 
 # Edits for the nomenclature queries: every start in a unit, with a short insertion, deletion or both.
-EDITS = f"""(select u.id, u.seq as unit, s::int as s, case k when 0 then s - 1 when 1 then s + u.ord % 3 else s + u.ord % 2 end::int as e,
- case k when 0 then substr('CCGA', s::int % 3 + 1, s::int % 2 + 1) when 1 then '' else substr('ATCG', s::int % 3 + 1, 2) end as ins, k::int as k
- from {UNITS_SQL}, range(1, 56) r(s), range(0, 3) q(k))"""
+EDITS = f"""(select p_partkey as id, unit, s, case k when 0 then s - 1 when 1 then s + ord % 3 else s + ord % 2 end::int as e,
+ case k when 0 then substr('CCGA', s % 3 + 1, s % 2 + 1) when 1 then '' else substr('ATCG', s % 3 + 1, 2) end as ins, k::int as k
+ from (select p_partkey, u.seq as unit, u.ord, (p_partkey // 34 % 55 + 1)::int as s from part join {UNITS_SQL} on u.ord = p_partkey % 34), range(0, 3) q(k))"""
 # The walk, base by base, as recursive SQL: independent of the closed forms.
 WALK = f"""with recursive edits as {EDITS},
 trimmed(id, k, s0, unit, s, d, i, side) as (
@@ -215,12 +220,13 @@ trimmed(id, k, s0, unit, s, d, i, side) as (
 """
 
 
-def _edits(spark):
-    u = F.broadcast(WORDS.tables(spark)["units"])
-    e = spark.range(1, 56).select(F.col("id").cast("int").alias("s")).crossJoin(u).crossJoin(spark.range(0, 3).select(F.col("id").cast("int").alias("k")))
-    e = e.selectExpr("id", "seq as unit", "s", "case k when 0 then s - 1 when 1 then s + ord % 3 else s + ord % 2 end as e",
-                     "case k when 0 then substr('CCGA', s % 3 + 1, s % 2 + 1) when 1 then '' else substr('ATCG', s % 3 + 1, 2) end as ins", "k")
-    return e
+def _edits(spark, sf):
+    """Three edits of a unit for each part."""
+    u = F.broadcast(WORDS.tables(spark)["units"].select("ord", F.col("seq").alias("unit")))
+    e = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("cast(p_partkey div 34 % 55 + 1 as int)").alias("s"))
+    e = e.join(u, F.col("id") % 34 == F.col("ord")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return e.selectExpr("id", "unit", "s", "case k when 0 then s - 1 when 1 then s + ord % 3 else s + ord % 2 end as e",
+                        "case k when 0 then substr('CCGA', s % 3 + 1, s % 2 + 1) when 1 then '' else substr('ATCG', s % 3 + 1, 2) end as ins", "k")
 
 
 @R.add(WALK + """select id, k, s0 as s, case
@@ -230,7 +236,7 @@ def _edits(spark):
  when length(d) = 1 and length(i) = 1 then s || d || '>' || i
  else case when length(d) = 1 then s || '' else s || '_' || (s + length(d) - 1) end || 'delins' || i end as name from last_""")
 def name_edit(spark, sf):
-    return _edits(spark).select("id", "k", "s", N.name_edit("unit", "s", "e", "ins")["name"].alias("name"))
+    return _edits(spark, sf).select("id", "k", "s", N.name_edit("unit", "s", "e", "ins")["name"].alias("name"))
 
 
 @R.add(WALK + """, back(id, k, s0, unit, s, d, i) as (
@@ -243,24 +249,31 @@ select a.id, a.k, a.s0 as s, case when ok then low end::int as low, case when ok
   ((l.d = '') or (l.i = '')) and case when l.i <> '' then l.s - 1 else l.s + length(l.d) - 1 end > f.s as ok
  from last_ l join first_ f using (id, k, s0)) a""")
 def ambiguity_interval(spark, sf):
-    t = _edits(spark).select("id", "k", "s", N.ambiguity("unit", "s", "e", "ins").alias("x"))
+    t = _edits(spark, sf).select("id", "k", "s", N.ambiguity("unit", "s", "e", "ins").alias("x"))
     return t.select("id", "k", "s", "x.low", "x.high")
 
 
 @R.add(WALK + """select id, k, s0 as s, s::int as start, (s + length(d) - 1)::int as "end", i as inserted from last_""")
 def normalise_edit(spark, sf):
-    t = _edits(spark).select("id", "k", "s", N.normalise("unit", "s", "e", "ins").alias("x"))
+    t = _edits(spark, sf).select("id", "k", "s", N.normalise("unit", "s", "e", "ins").alias("x"))
     return t.select("id", "k", "s", "x.start", "x.end", "x.inserted")
 
 
+PLACE = f"(select p_partkey as id, u.seq as unit, (p_partkey // 34 % 60 + 1)::int as s from part join {UNITS_SQL} on u.ord = p_partkey % 34)"
+
+
+def _places(spark, sf):
+    """A unit and a place in it for each part."""
+    u = F.broadcast(WORDS.tables(spark)["units"].select("ord", "seq"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("cast(p_partkey div 34 % 60 + 1 as int)").alias("s")).join(u, F.col("id") % 34 == F.col("ord"))
+
+
 @R.add(f"""select id, s, (case when s > 1 and b = substr(unit, s - 1, 1) and f is not null then f end) as form from (
- select id, s, unit, b, (s - 1 - bw + 1) || b || '[' || (bw + aw) || ']>' || (s - 1 - bw + 1) || b || '[' || (bw + aw + 1) || ']' as f0,
-  case when bw + aw >= 2 then (s - 1 - bw + 1) || b || '[' || (bw + aw) || ']>' || (s - 1 - bw + 1) || b || '[' || (bw + aw + 1) || ']' end as f from (
-  select id, s::int as s, seq as unit, 'C' as b, length(left(seq, (s - 1)::int)) - length(rtrim(left(seq, (s - 1)::int), 'C')) as bw,
-   length(substr(seq, s)) - length(ltrim(substr(seq, s), 'C')) as aw from {UNITS_SQL}, range(1, 61) r(s)))""")
+ select id, s, unit, b, case when bw + aw >= 2 then (s - 1 - bw + 1) || b || '[' || (bw + aw) || ']>' || (s - 1 - bw + 1) || b || '[' || (bw + aw + 1) || ']' end as f from (
+  select id, s, unit, 'C' as b, length(left(unit, s - 1)) - length(rtrim(left(unit, s - 1), 'C')) as bw,
+   length(substr(unit, s)) - length(ltrim(substr(unit, s), 'C')) as aw from {PLACE}))""")
 def repeat_form(spark, sf):
-    t = WORDS.tables(spark)["units"].crossJoin(spark.range(1, 61).select(F.col("id").cast("int").alias("s")))
-    return t.select("id", "s", N.repeat_form("seq", "s", F.col("s") - 1, F.lit("C")).alias("form"))
+    return _places(spark, sf).select("id", "s", N.repeat_form("seq", "s", F.col("s") - 1, F.lit("C")).alias("form"))
 
 
 KNOWN_SQL = ", ".join(f"'{x}'" for x in N.KNOWN)
