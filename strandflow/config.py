@@ -37,6 +37,11 @@ class ReadSettings:
     single_error: float = 0.02
     single_floor: float = 0.4
     single_alpha: float = 0.001
+    quality_alpha: float = 0.0
+    quality_af_alpha: float = 0.001
+    quality_keep: float = 0.5
+    quality_groups: int = 0
+    group_apart_bp: float = 42.0
     fragment_bp: int = 1000
     margin: int = 3
     error_rate: float = 0.15

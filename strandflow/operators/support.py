@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 from ..config import ReadSettings
 from ..dictionary import Dictionary, default
 from ..functions.align import edit_distance, lay, runs
-from .evidence import Mixture, carried, competition_status, hp_status, moved, profile
+from .evidence import Mixture, competition_status, hp_status, profiles
 from .phase import polish
 
 EVENTS = "sample string, allele string, index int, start int, end int, unit string, template string, kind string, run_start int, run_end int, base string, change int, low int, high int, with_event string, without string"
@@ -130,31 +130,6 @@ def _vote(piece: str, event: str, others: list[str]) -> int:
     return int(np.sign(min(edit_distance(piece, x) for x in others) - edit_distance(piece, event)))
 
 
-def profiles(counts: dict[tuple[int, str], Counter], sizes: dict[int, tuple[str, int]], run: tuple[int, str, int, int], strand: str, s: ReadSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of read lengths under the event and without it, on one strand.
-
-    counts: lengths read by (run, strand); sizes: base and consensus length of each run; run: the event's run, base, length and change. A length is measured by other runs of that base
-    and length, if there are ``class_runs`` of them and ``class_reads`` clean readings; lengths in between and beyond are carried on from the nearest two. If the profile of an
-    event's unmeasured length would put more than ``confusion`` on the length without it, the two can't be told apart by it: the profile without the event, moved, stands in.
-    """
-    own, base, length, change = run
-    size = s.longest_run + 1
-    by_length: dict[int, list[Counter]] = {}
-    for k, (letter, n) in sizes.items():
-        if k != own and letter == base:
-            by_length.setdefault(n, []).append(counts.get((k, strand), Counter()))
-    pooled = {n: sum(x, Counter()) for n, x in by_length.items()}
-    measured = {n: profile(pooled[n], size, s.pseudo) for n, x in by_length.items() if 2 <= n <= s.longest_run and len(x) >= s.class_runs and sum(pooled[n].values()) >= s.class_reads}
-    none = length - change
-    absent = carried(measured, none, s.class_growth)
-    if absent is None:
-        absent = profile(pooled.get(none, Counter()), size, s.pseudo)
-    event = carried(measured, length, s.class_growth)
-    if event is None or length not in measured and event[min(none, size - 1)] > s.confusion:
-        event = moved(absent, change)
-    return event, absent
-
-
 def _fit(pdf: pd.DataFrame, events: pd.DataFrame, s: ReadSettings) -> pd.DataFrame:
     """FITS of an allele's run events; pdf: its counts, one row for each class; events: with the allele's runs."""
     counts: dict[tuple[int, str], Counter] = {}

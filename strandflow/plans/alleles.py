@@ -27,8 +27,8 @@ def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings
     model = lengths.length_model(fitted.select("sample", F.col("length").cast("long").alias("length")))
     model = keep(model, "peaks")
     peaks = model.where("reason is null").select("sample", F.col("center").alias("center"), lengths.half_window(F.col("center"), lengths.LengthSettings()).alias("half"))
-    placed = nearest_peak(fitted, peaks).where("class = 'assigned'").select("sample", "peak", "ord", "seq", "strand")
-    groups = keep(phase.phase(placed, s), "groups")
+    placed = nearest_peak(fitted, peaks).where("class = 'assigned'").select("sample", "peak", "ord", "seq", "strand", "mean_q")
+    groups = keep(phase.phase(placed, s, words), "groups")
     # all reads of a peak are counted, not only those of the sample that found its groups
     nearest = keep(phase.members(placed, groups), "placed")
     sizes = nearest.where("group is not null").groupBy("sample", "peak", "group").agg(F.count("*").alias("members"))
@@ -37,7 +37,7 @@ def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings
     # the two largest groups, in order of length; a sample has a handful
     counted = groups.join(sizes, ["sample", "peak", "group"], "left").withColumn("reads", F.coalesce("members", F.lit(0))).drop("members")
     size = F.row_number().over(W.partitionBy("sample").orderBy(F.col("reads").desc(), "peak", "group"))
-    two = counted.withColumn("_r", size).where("_r <= 2")
+    two = counted.where("not excluded").withColumn("_r", size).where("_r <= 2").drop("excluded")
     order = F.row_number().over(W.partitionBy("sample").orderBy(F.length("seq"), "_r"))
     alleles = two.withColumn("allele", F.concat(F.lit("allele_"), order)).withColumn("depth", depth_status("reads", s)).drop("_r")
     first = keep(alleles, "drafts")

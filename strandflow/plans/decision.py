@@ -20,7 +20,9 @@ def selection(run: dict[str, DataFrame]) -> DataFrame:
     """(sample, selection): is it sure which alleles the sample has."""
     peaks = run["peaks"].groupBy("sample").agg(F.array_compact(F.collect_set("reason")).alias("rejected"))
     groups = run["alleles"].groupBy("sample").agg(F.collect_set("basis").alias("bases"))
-    placed = run["placed"].groupBy("sample").agg(F.count_distinct("peak", "group").alias("groups"), F.avg(F.col("group").isNull().cast("double")).alias("unassigned"))
+    # reads of no group, of an excluded one or of a third belong to no allele
+    own = run["alleles"].select("sample", "peak", "group", F.lit(True).alias("kept"))
+    placed = run["placed"].join(own, ["sample", "peak", "group"], "left").groupBy("sample").agg(F.count_distinct("peak", "group").alias("groups"), F.avg(F.col("kept").isNull().cast("double")).alias("unassigned"))
     both = placed.join(groups, "sample").join(peaks, "sample")
     return both.select("sample", selection_status(F.col("rejected"), F.col("bases"), F.col("groups"), F.col("unassigned"), UNRESOLVED).alias("selection"))
 
