@@ -13,7 +13,7 @@ from .sequence import col
 def log_factorial(n) -> Column:
     """ln n!: exact logs up to 20, beyond them Stirling's series, whose error there is under 1e-15."""
     n = col(n)
-    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(21)])
+    small = F.expr(f"array({', '.join(f'{math.lgamma(i + 1)!r}D' for i in range(21))})")
     x = (n + 1).cast("double")
     series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
     return F.when(n <= 20, F.get(small, F.greatest(n, F.lit(0)).cast("int"))).otherwise(series)

@@ -67,9 +67,10 @@ def density(spans: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame
 
 def maxima(dens: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
     """(sample, centers): maxima by density, without those near a higher one. A sample has dozens, so its list is folded in place."""
-    side = dens.select("sample", (F.col("i") + 1).alias("i"), F.col("d").alias("_l"))
-    right = dens.select("sample", (F.col("i") - 1).alias("i"), F.col("d").alias("_r"))
-    peaks = dens.join(side, ["sample", "i"], "left").join(right, ["sample", "i"], "left").fillna(0.0, ["_l", "_r"]).where((F.col("d") >= F.col("_l")) & (F.col("d") > F.col("_r")))
+    along = W.partitionBy("sample").orderBy("i")
+    # a grid point that is missing has no density
+    beside = lambda f, k: F.when(f("i").over(along) == F.col("i") + k, f("d").over(along)).otherwise(0.0)
+    peaks = dens.withColumns({"_l": beside(F.lag, -1), "_r": beside(F.lead, 1)}).where((F.col("d") >= F.col("_l")) & (F.col("d") > F.col("_r")))
     listed = peaks.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct((-F.round("d", 9)).alias("d"), "x"))).alias("l"))
     far = s.apart_units * s.unit_bp
     keep = lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q - p["x"]) < far), acc).otherwise(F.concat(acc, F.array(p["x"])))
@@ -88,45 +89,35 @@ def supported(spans: DataFrame, centers: DataFrame, s: LengthSettings = LengthSe
     near = cells.withColumn("low", F.col("center") - F.col("half")).withColumn("high", F.col("center") + F.col("half"))
     hits = within(lengths, near, ["sample"], "length", "low", "high", 4 * s.unit_bp)
     n = hits.groupBy("sample", "ord", "center", "half").agg(F.sum("n").alias("support"))
-    best = n.groupBy("sample").agg(F.max(F.struct("support", (-F.col("ord")).alias("o"), "center")).alias("b"))
-    return n.join(total, "sample").join(best.select("sample", F.col("b.center").alias("top"), F.col("b.support").alias("top_support")), "sample")
-
-
-def _side_p(df: DataFrame, s: LengthSettings, below: bool, out: str) -> DataFrame:
-    """Adds ``out``: the p-value of each candidate's core against the background on one side (null: no room there)."""
-    sign = -1 if below else 1
-    bound = F.col("_lo") if below else F.col("_hi")
-    edge = F.col("center") + sign * F.col("half")
-    df = df.withColumns({"_edge": edge.cast("double"), "_room": F.when(F.col("_t"), ((bound - edge) * sign).cast("double"))})
-    inside = F.when(F.col("_t"), F.filter("_lengths", lambda x: ((x["length"] - F.col("_edge")) * sign > 0) & ((x["length"] - F.col("_edge")) * sign <= F.col("_room"))))
-    df = df.withColumn("_near", F.sort_array(F.transform(inside, lambda x: F.struct(((x["length"] - F.col("_edge")) * sign).alias("d"), x["n"].alias("n")))))
-    fifth = F.aggregate(  # distance of the read that makes the background large enough
-        "_near",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d")),
-        lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.coalesce(a["d"], F.when(a["n"] + x["n"] >= s.flank_reads, x["d"])).alias("d")),
-    )
-    df = df.withColumn("_fifth", fifth["d"])
-    reach = F.when(F.col("_fifth").isNull(), F.col("_room")).otherwise(F.greatest(F.lit(float(s.flank_units * s.unit_bp)), F.col("_fifth")))
-    df = df.withColumn("_width", F.least(reach, F.col("_room")))
-    df = df.withColumn("_m", F.aggregate(F.filter("_near", lambda x: x["d"] <= F.col("_width")), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
-    rho = 2 * s.core_share * F.col("half") / F.col("_width")
-    df = df.withColumn("_p", F.when(F.col("_room") > 0, rho / (1 + rho)))
-    df = df.withColumn(out, F.when(F.col("_p").isNotNull(), binomial_upper_tail("_k", F.col("_k") + F.col("_m"), "_p")))
-    return df.drop("_edge", "_room", "_near", "_fifth", "_width", "_m", "_p")
-
+    best = F.max(F.struct("support", (-F.col("ord")).alias("o"), "center")).over(W.partitionBy("sample"))
+    return n.join(total, "sample").withColumn("_b", best).select(*n.columns, "total", F.col("_b.center").alias("top"), F.col("_b.support").alias("top_support"))
 
-def with_lengths(spans: DataFrame, cand: DataFrame) -> DataFrame:
-    """Candidates with their sample's counted lengths as one array: a few thousand at most, since a length is in base pairs."""
-    listed = counted(spans).groupBy("sample").agg(F.collect_list(F.struct("length", "n")).alias("_lengths"), F.min("length").cast("double").alias("_least"))
-    return cand.join(listed, "sample")
 
+def smear_p(cand: DataFrame, lengths: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
+    """Adds smear_p: for candidates where _t holds the larger p-value of their core against the background on either side, in the region _lo .. _hi; else 0.
 
-def smear_p(cand: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
-    """Adds smear_p where _t holds: the larger p of both sides, in the region _lo .. _hi."""
-    core = F.filter("_lengths", lambda x: F.abs(x["length"] - F.col("center")) <= s.core_share * F.col("half"))
-    both = cand.withColumn("_k", F.when(F.col("_t"), F.aggregate(core, F.lit(0).cast("long"), lambda a, x: a + x["n"])))
-    both = _side_p(_side_p(both, s, True, "_pl"), s, False, "_pr")
-    return both.withColumn("smear_p", F.coalesce(F.greatest("_pl", "_pr"), F.lit(0.0))).drop("_k", "_pl", "_pr")
+    lengths(sample, length, n). A side's background reaches from the candidate's window to where it holds ``flank_reads`` reads, but ``flank_units`` units at least and not
+    beyond the region; a side without room has no p-value. A sample tests a few candidates, which meet its distinct lengths.
+    """
+    # candidates that aren't tested go along as one row without lengths, so that what they come from is worked out once
+    sides = cand.withColumn("_side", F.explode(F.when(F.col("_t"), F.array(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    edge = F.col("center") + F.col("_side") * F.col("half")
+    room = ((F.when(F.col("_side") < 0, F.col("_lo")).otherwise(F.col("_hi")) - F.col("_edge")) * F.col("_side")).cast("double")
+    sides = sides.withColumn("_edge", edge.cast("double")).withColumn("_room", room)
+    own = lengths.select(F.col("sample").alias("_own"), "length", "n")
+    met = sides.join(own, (F.col("sample") == F.col("_own")) & (F.col("_side") != 0), "left").withColumn("_d", (F.col("length") - F.col("_edge")) * F.col("_side"))
+    met = met.withColumn("_inside", (F.col("_d") > 0) & (F.col("_d") <= F.col("_room"))).withColumn("_m", F.when(F.col("_inside"), F.col("n")).otherwise(0))
+    by = W.partitionBy("sample", "ord", "_side")
+    met = met.withColumn("_upto", F.sum("_m").over(by.orderBy("_d").rangeBetween(W.unboundedPreceding, 0)))
+    met = met.withColumn("_enough", F.min(F.when(F.col("_inside") & (F.col("_upto") >= s.flank_reads), F.col("_d"))).over(by))
+    reach = F.when(F.col("_enough").isNull(), F.col("_room")).otherwise(F.greatest(F.lit(float(s.flank_units * s.unit_bp)), F.col("_enough")))
+    met = met.withColumn("_width", F.least(reach, F.col("_room")))
+    core = F.abs(F.col("length") - F.col("center")) <= s.core_share * F.col("half")
+    sums = met.groupBy(*cand.columns, "_side", "_room", "_width").agg(F.sum(F.when(core, F.col("n")).otherwise(0)).alias("_k"), F.sum(F.when(F.col("_d") <= F.col("_width"), F.col("_m")).otherwise(0)).alias("_b"))
+    rho = 2 * s.core_share * F.col("half") / F.col("_width")
+    p = sums.withColumns({"_of": F.col("_k") + F.col("_b"), "_p": F.when((F.col("_side") != 0) & (F.col("_room") > 0), rho / (1 + rho))})
+    tail = F.when(F.col("_p").isNotNull(), binomial_upper_tail("_k", "_of", "_p"))
+    return p.groupBy(*cand.columns).agg(F.coalesce(F.max(tail), F.lit(0.0)).alias("smear_p"))
 
 
 def _verdict(s: LengthSettings) -> Column:
@@ -136,7 +127,7 @@ def _verdict(s: LengthSettings) -> Column:
     return F.when(~F.col("_t") | (p < s.smear_alpha / s.smear_factor), None).when(p < s.smear_alpha * s.smear_factor, "smear_ambiguous").otherwise("smear")
 
 
-def between_alleles(judged: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
+def between_alleles(judged: DataFrame, lengths: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
     """Weak candidates between two alleles, where the shorter is the top, tested for smear; the others as they are."""
     own, accepted = W.partitionBy("sample"), F.col("reason").isNull()  # dozens of candidates a sample
     judged = judged.withColumns(
@@ -147,7 +138,7 @@ def between_alleles(judged: DataFrame, s: LengthSettings = LengthSettings()) ->
     )
     low, high = F.col("_short") + half_window(F.col("_short"), s), F.col("_long") - s.smear_units * s.unit_bp
     mine = (F.col("_c") >= 2) & (F.col("top") == F.col("_short")) & (F.col("reason") == "support_below_threshold") & (F.col("center") > low) & (F.col("center") < high) & (F.col("support") < s.guard * F.col("_most"))
-    tested = smear_p(judged.withColumns({"_t": F.coalesce(mine, F.lit(False)), "_lo": low.cast("double"), "_hi": high.cast("double")}), s)
+    tested = smear_p(judged.withColumns({"_t": F.coalesce(mine, F.lit(False)), "_lo": low.cast("double"), "_hi": high.cast("double")}).drop("smear_p"), lengths, s)
     return tested.withColumn("reason", F.coalesce(_verdict(s), "reason"))
 
 
@@ -155,9 +146,10 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
     """Every candidate of every sample with its reason; accepted peaks have none. spans(sample, length)."""
     cand = supported(spans, maxima(density(spans, s), s), s)
     below = (F.col("center") <= F.col("top") - s.smear_units * s.unit_bp) & (F.col("support") < s.guard * F.col("top_support")) & (F.col("center") != F.col("top")) & (F.col("support") > s.noise_reads)
+    lengths = counted(spans)
     if smear:
-        cand = with_lengths(spans, cand)
-        cand = smear_p(cand.withColumns({"_t": below, "_lo": F.col("_least"), "_hi": (F.col("top") - s.smear_units * s.unit_bp).cast("double")}), s)
+        cand = cand.join(lengths.groupBy("sample").agg(F.min("length").cast("double").alias("_least")), "sample")
+        cand = smear_p(cand.withColumns({"_t": F.coalesce(below, F.lit(False)), "_lo": F.col("_least"), "_hi": (F.col("top") - s.smear_units * s.unit_bp).cast("double")}), lengths, s)
         label = _verdict(s)
     else:
         label = F.lit(None).cast("string")
@@ -167,7 +159,7 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
     judged = cand.withColumn("_why", reason)
     place = F.row_number().over(W.partitionBy("sample", F.col("_why").isNull()).orderBy((F.col("center") != F.col("top")).cast("int"), F.col("support").desc(), "ord"))
     judged = judged.withColumn("reason", F.when(F.col("_why").isNull() & (place > s.alleles), "max_alleles").otherwise(F.col("_why")))
-    return (between_alleles(judged, s) if smear else judged).select("sample", "center", "support", "total", "reason")
+    return (between_alleles(judged, lengths, s) if smear else judged).select("sample", "center", "support", "total", "reason")
 
 
 def junctions(spans: DataFrame, words, r: ReadSettings = ReadSettings()) -> DataFrame:
