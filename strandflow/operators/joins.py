@@ -12,13 +12,16 @@ from pyspark.sql.window import Window as W
 
 from ..functions.sequence import apply_change
 
-#: Rows up to which a lookup table may be broadcast; larger ones are joined by shuffle.
-SMALL = 50_000
+#: Rows and letters up to which a lookup table may be broadcast; larger ones are joined by shuffle.
+SMALL, SMALL_BYTES = 50_000, 16 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint, if it is small."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    """``df`` with a broadcast hint, if it is small: few rows, and few letters in its texts."""
+    texts = [F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = sum(texts, F.lit(0)).cast("long")
+    n, letters = df.limit(SMALL + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= SMALL and letters <= SMALL_BYTES else df
 
 
 def unit_lookup(pieces: DataFrame, units: DataFrame, templates: DataFrame, seq: str = "seq") -> DataFrame:

@@ -212,6 +212,22 @@ def segment_events(spark, sf):
     return segment_op.segments(_chains(spark, sf).select(F.col("doc_id").alias("id"), "seq")).select("id", "index", "label", "frameshift")
 
 
+@R.add(f"""select doc_id, k::int as index, case when k = 4 and doc_id % 4 = 0 then 'X:dupC' else u.id end as label, k = 4 and doc_id % 4 = 0 as frameshift, reverse(translate(case when k = 4 and doc_id % 4 = 0 then '{DUPC}' else u.seq end, 'ACGT', 'TGCA')) as turned
+ from documents, range(1, 8) r(k) join {UNITS_SQL} on ord = (doc_id * 3 + k * 5) % 34""")
+def segment_sql(spark, sf):
+    """Segmentation and functions of sequences called from SQL."""
+    import uuid
+
+    from ..functions.tables import register
+
+    view = f"chains_{uuid.uuid4().hex}"
+    register(spark, WORDS, "sf_")
+    _chains(spark, sf).createOrReplaceTempView(view)
+    out = spark.sql(f"select doc_id, s.index, s.label, sf_is_frameshift(s.net_bp) as frameshift, sf_revcomp(substring(seq, s.start + 1, s.end - s.start)) as turned from {view}, lateral sf_segment(seq) as s")
+    spark.catalog.dropTempView(view)
+    return out
+
+
 @R.add(f"select doc_id, levenshtein({dna_sql('doc_id')} || {dna_sql('doc_id + 1')} || {dna_sql('doc_id + 2')}, {dna_sql('doc_id + 1')} || {dna_sql('doc_id + 2')} || {dna_sql('doc_id + 3')})::int as distance from documents")
 def edit_distance_long(spark, sf):
 

@@ -96,13 +96,16 @@ class Files:
         return False
 
     def replace(self, name: str, text: str) -> None:
-        """Readers see the old text or the new one, never a part."""
+        """Readers see the old text, none for a moment, or the new one, never a part."""
         draft = f"_{name}-{uuid.uuid4().hex}"
         self._write(draft, text)
         self.fs.delete(self._path(name), False)
         if not self.fs.rename(self._path(draft), self._path(name)):
             raise RuntimeError(f"{name} could not be put in place")
 
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._path(name), False)
+
     def read(self, name: str) -> str | None:
         if not self.fs.exists(self._path(name)):
             return None
@@ -145,7 +148,11 @@ class Preregistration:
 
 
 def write_run(tables: dict[str, DataFrame], folder: str) -> None:
-    """A run's tables, each partitioned by sample, and a summary of counts written last: a run without it is not complete."""
+    """A run's tables, each partitioned by sample, and a summary of counts written last: a run without it is not complete.
+
+    The summary of an earlier run goes first, so a run that breaks off doesn't look complete.
+    """
+    Files(next(iter(tables.values())).sparkSession, folder).remove("summary.json")
     for name, df in tables.items():
         out = df.write.mode("overwrite")
         (out.partitionBy("sample") if "sample" in df.columns else out).parquet(f"{folder.rstrip('/')}/{name}")
