@@ -320,3 +320,17 @@ def sample_decisions(spark, sf):
     from ..plans.decision import call
 
     return call(_reads(spark, sf), keep=keeper(spark, "decisions"))["decisions"]
+
+
+@R.add()
+def ladder_alleles(spark, sf):
+    """Alleles of each supplier from records of reads on a ladder of contigs, with splits of a single cluster."""
+    t = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    true = F.when(F.col("l_orderkey") % 2 == 0, 40).otherwise(40 + F.col("l_suppkey") % 9)
+    # each read has a record on three contigs around its own
+    rows = t.withColumn("own", true).withColumn("off", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    records = rows.select(
+        F.col("l_suppkey").alias("sample"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("read"), (F.col("own") + F.col("off")).cast("int").alias("units"), (3000 - 60 * F.abs("off")).alias("score"),
+        (60 * F.abs("off")).alias("indel"), (30 + 60 * (F.col("own") + 9)).cast("int").alias("length"), F.when(F.col("off") == 0, 0).otherwise(256).alias("flag"),
+    )
+    return L.alleles_of_ladder(records)
