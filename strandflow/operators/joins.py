@@ -24,6 +24,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= SMALL and letters <= SMALL_BYTES else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt, by keys if there are any, to as many tasks as the session shuffles to.
+
+    For stages whose work is much more than their bytes suggest: adaptive execution would put them together in a few tasks.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def unit_lookup(pieces: DataFrame, units: DataFrame, templates: DataFrame, seq: str = "seq") -> DataFrame:
     """Adds unit_id, template and match (exact, template or none) by equality; units(id, seq), templates(name, parent, seq)."""
     u = small(units.select(F.col("id").alias("_unit"), F.col("seq").alias("_u")))

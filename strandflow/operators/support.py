@@ -26,6 +26,7 @@ from ..config import ReadSettings
 from ..dictionary import Dictionary, default
 from ..functions.align import edit_distance, lay, runs
 from .evidence import Mixture, competition_status, hp_status, profiles
+from .joins import spread
 from .phase import polish
 
 EVENTS = "sample string, allele string, index int, start int, end int, unit string, template string, kind string, run_start int, run_end int, base string, change int, low int, high int, with_event string, without string"
@@ -95,7 +96,7 @@ def said(members: DataFrame, alleles: DataFrame, events: DataFrame, s: ReadSetti
             for (sample, allele), own in pdf.groupby(["sample", "allele"], sort=False):
                 yield pd.DataFrame(_of_reads(sample, allele, own, s), columns=[c.split()[0] for c in SAID.split(", ")]).astype({c: "Int64" for c in ("index", "at", "length", "n", "ord", "vote")})
 
-    return both.mapInPandas(work, SAID)
+    return spread(both).sortWithinPartitions("sample", "allele").mapInPandas(work, SAID)
 
 
 def _of_reads(sample: str, allele: str, own: pd.DataFrame, s: ReadSettings) -> list[tuple]:
@@ -158,10 +159,11 @@ def _fit(pdf: pd.DataFrame, events: pd.DataFrame, s: ReadSettings) -> pd.DataFra
 
 def run_events(heard: DataFrame, alleles: DataFrame, events: DataFrame, s: ReadSettings = ReadSettings()) -> DataFrame:
     """Support of run events from counted lengths."""
-    counts = heard.where("kind in ('run', 'reads')").groupBy("sample", "allele", "at", "strand", "length").agg(F.sum("n").alias("n"))
-    own = events.where("kind = 'run'").join(alleles.select("sample", "allele", F.col("seq").alias("cons")), ["sample", "allele"])
     keys = ["sample", "allele"]
-    fits = counts.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(lambda a, b: _fit(a, b, s), FITS)
+    own = events.where("kind = 'run'").join(alleles.select("sample", "allele", F.col("seq").alias("cons")), keys)
+    told = heard.where("kind in ('run', 'reads')").join(own.select(*keys).distinct(), keys, "left_semi")
+    counts = told.groupBy(*keys, "at", "strand", "length").agg(F.sum("n").alias("n"))
+    fits = spread(counts, *keys).groupBy(*keys).cogroup(spread(own, *keys).groupBy(*keys)).applyInPandas(lambda a, b: _fit(a, b, s), FITS)
     alternative = 1 - F.col("share")
     status = hp_status("n", "llr", F.try_divide("alt", "n"), alternative, "strand_low", s)
     out = fits.withColumns({"other": F.col("n") - F.col("alt") - F.col("ref"), "alt_share": F.try_divide("alt", "n"), "alternative_share": alternative, "status": status})
@@ -181,7 +183,8 @@ def contest_events(heard: DataFrame, events: DataFrame, s: ReadSettings = ReadSe
         shown = polish(event, pdf.sort_values("_r")["piece"].tolist(), s)
         return pdf[keys].iloc[:1].assign(derived=shown if shown not in (event, pdf["without"].iloc[0]) else None)
 
-    derived = rest.join(told, keys).select(*keys, "_r", "piece", "with_event", "without").groupBy(*keys).applyInPandas(derive, "sample string, allele string, index int, derived string")
+    derived = rest.join(told, keys).select(*keys, "_r", "piece", "with_event", "without")
+    derived = spread(derived, *keys).groupBy(*keys).applyInPandas(derive, "sample string, allele string, index int, derived string")
     derived = keep(derived.where("derived is not null"), "derived")
 
     def again(batches):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decide as D
 from ..operators import evaluate as E
+from ..operators import joins
 from ..operators import ladder as L
 from ..operators import reads as reads_op
 from ..operators import segment as segment_op
@@ -311,7 +312,7 @@ def graph_consensus(spark, sf):
     reads = _chains(spark, sf, units=3).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     at = F.pmod(F.col("doc_id") + 37 * F.col("k"), F.length("seq")).cast("int")
     wrong = F.concat(F.substring("seq", F.lit(1), at), F.translate(F.substring("seq", at + 1, F.lit(1)), "ACGT", "CGTA"), F.substring("seq", at + 2, F.length("seq")))
-    return reads.select("doc_id", wrong.alias("read")).groupBy("doc_id").agg(consensus("partial_order")("read").alias("seq")).select("doc_id", F.md5(F.col("seq").cast("binary")).alias("digest"))
+    return joins.spread(reads.select("doc_id", wrong.alias("read")), "doc_id").groupBy("doc_id").agg(consensus("partial_order")("read").alias("seq")).select("doc_id", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
 @R.add()
