@@ -28,6 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import Scratch, fs_for, read_tokenizer, ship, slices
 from .wordbpe import codec
@@ -36,8 +37,11 @@ MAGIC = b"SSTTOK01"
 BLOCK = 64 << 10
 BITS_A_KEY = 10
 PROBES = 7
-#: Bytes of text to a shard, about, a document counting DOC_BYTES at least.
-SHARD_BYTES, DOC_BYTES = 64 << 20, 64
+#: Bytes of text to a shard, about, a document counting DOC_BYTES at least; a table too small for a shard a core is cut down to LEAST_BYTES.
+SHARD_BYTES, DOC_BYTES, LEAST_BYTES = 64 << 20, 64, 1 << 20
+#: Shards whose tokens are summed up together when starts are worked out.
+RUN = 1024
+MANIFEST = "shard string, ord int, docs long, tokens long, first long, last long"
 FOOTER = struct.Struct("<6Q8s")
 
 
@@ -200,14 +204,15 @@ def _write(batches, source, folder, end_id):
         writer.close({"docs": docs, "tokens": tokens, "dtype": words.dtype.str, "first": first.hex(), "last": last.hex()})
         stream.close()
         system.move(draft, f"{path}/{name}")  # a task that runs again puts the same file in its place
-        yield pa.RecordBatch.from_pydict({"shard": [name], "docs": [docs], "tokens": [tokens], "first": [id_of(first)], "last": [id_of(last)]}, pa.schema([("shard", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+        kinds = pa.schema([("shard", pa.string()), ("ord", pa.int32()), *((n, pa.int64()) for n in ("docs", "tokens", "first", "last"))])
+        yield pa.RecordBatch.from_pylist([{"shard": name, "ord": part, "docs": docs, "tokens": tokens, "first": id_of(first), "last": id_of(last)}], kinds)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2) -> DataFrame:
-    """Write ``docs`` (doc_id, text) in ascending doc_id order; returns one row per shard, in order.
+    """Write ``docs`` (doc_id, text) in ascending doc_id order; returns the manifest, one row per shard, kept as a table in ``folder``.
 
-    Shards are cut by bytes of text, so their size and memory don't follow the session's settings; the manifest has one row a
-    shard. Documents with a null id come first; of documents with equal ids all are kept, in the order of a hash of their
+    Shards are cut by bytes of text, so their size and memory don't follow the session's settings; every core has one as long as
+    shards keep a megabyte. Documents with a null id come first; of documents with equal ids all are kept, in the order of a hash of their
     texts, and may lie in several shards; a null text is empty; other columns are not read. A shard holds a document whole, however long.
     """
     ship(spark)
@@ -216,16 +221,27 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     system.create_dir(path, recursive=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + DOC_BYTES)).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
     order = [F.col("doc_id"), F.xxhash64("text")]
-    ordered = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES)), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    manifest = ordered.mapInArrow(lambda b: _write(b, shared, folder, end_id), "shard string, docs long, tokens long, first long, last long").collect()
-    return spark.createDataFrame(sorted(manifest), "shard string, docs long, tokens long, first long, last long")
+    ordered = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = ordered.mapInArrow(lambda b: _write(b, shared, folder, end_id), MANIFEST)
+    manifest.repartition(max(1, shards // 4096), "ord").write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("ord")
 
 
-def _read(batches, shards, folder):
+def starts(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with each shard's first place (``start``): sums within runs of RUN shards, and the sums of the runs before."""
+    of_run = F.floor(F.col("ord") / RUN)
+    each = manifest.withColumn("run", of_run)
+    before = W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = each.groupBy("run").agg(F.sum("tokens").alias("whole")).select("run", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("base"))
+    within = W.partitionBy("run").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    return each.withColumn("inner", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(runs, "run").withColumn("start", F.col("base") + F.col("inner")).drop("run", "base", "inner")
+
+
+def _read(batches, folder):
     for batch in batches:
-        for i in batch.column("id").to_pylist():
-            name, start = shards[i]
+        for name, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist()):
             reader = Reader(f"{folder}/{name}")
             rows: list[tuple] = []
             for doc_id, value in reader:
@@ -246,15 +262,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document, as the files have it: where its ids start in the whole, how many, and their checksum."""
+    """Per document, as the files have it: where its ids start in the whole, how many, and their checksum. A task reads a shard."""
     ship(spark)
-    shards, start = [], 0
-    for row in sorted(manifest.collect()):
-        shards.append((row["shard"], start))
-        start += row["tokens"]
-    if not shards:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(lambda b: _read(b, shards, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = starts(manifest).repartitionByRange(max(1, manifest.count()), "ord").select("shard", "start")
+    return dealt.mapInArrow(lambda b: _read(b, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(folder: str, manifest: list, doc_id: int | None) -> list[np.ndarray]:

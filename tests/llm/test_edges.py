@@ -104,6 +104,7 @@ def test_equal_ids_over_several_shards(spark, monkeypatch, tmp_path):
     from strandflow.llm import sstable
 
     monkeypatch.setattr(sstable, "SHARD_BYTES", 600)
+    monkeypatch.setattr(sstable, "RUN", 2)
     rows = [(7, f"text {i} " * 5, i) for i in range(40)] + [(i, f"other {i}", 0) for i in (1, 2, 3, 9, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
     folder = f"file://{tmp_path}/shards"
@@ -117,6 +118,18 @@ def test_equal_ids_over_several_shards(spark, monkeypatch, tmp_path):
     for r in got:
         assert r.start == at
         at += r.n_tokens
+    assert max(r["ord"] for r in shards) >= 2 * sstable.RUN
+
+
+def test_small_tables_get_a_shard_a_core(spark, monkeypatch, tmp_path):
+    from strandflow.llm import sstable
+
+    monkeypatch.setattr(sstable, "LEAST_BYTES", 100)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(400, "very long " * 200000)], "doc_id long, text string")
+    manifest = sstable.write_shards(spark, docs, WORD, f"file://{tmp_path}/shards")
+    assert manifest.count() >= min(4, spark.sparkContext.defaultParallelism)
+    got = {r.doc_id: r.n_tokens for r in sstable.read_shards(spark, f"file://{tmp_path}/shards", manifest).collect()}
+    assert len(got) == 401 and got[400] > 400000
 
 
 def test_toxicity_of_awkward_tables(spark):
