@@ -64,6 +64,15 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(work, "sample string, ord long, name string, seq string, qual string")
 
 
+def read_reads(spark: SparkSession, path: str) -> DataFrame:
+    """reads(sample, ord, name, seq, qual) of FASTQ, plain or gzipped, or of BAM, as the file's ending says."""
+    if path.endswith(".bam"):
+        from .bam import read_bam
+
+        return read_bam(spark, path)
+    return read_fastq(spark, path)
+
+
 def parse_fasta(lines) -> dict[str, str]:
     """Name to sequence; a name that repeats, an empty record or blanks within a sequence are errors."""
     out: dict[str, list[str]] = {}
