@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, decision, jobs, joins, quality, records, results, scoring, sequence, statistics
+from . import aggregates, decision, jobs, joins, profile, quality, records, results, scoring, sequence, statistics
 
-MODULES = (sequence, joins, aggregates, statistics, decision, quality, records, results, scoring, jobs)
+MODULES = (sequence, joins, aggregates, statistics, decision, quality, records, results, scoring, profile, jobs)
 
 
 def queries() -> dict:
