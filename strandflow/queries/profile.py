@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cohort as C
 from ..operators import profile as P
-from . import Registry, dna, table
+from . import Registry, dna, dna_sql, table
 
 R = Registry()
 
@@ -55,3 +56,29 @@ def _products(spark, sf):
     cases = lines.select("case").distinct()
     sources = cases.select("case", F.explode(F.array(low, high)).alias("hi")).withColumn("lo", F.lit(0))
     return P.placed(rows, sources)
+
+
+@R.add(f"""with r as (select o_orderkey as run, o_custkey as sample, o_orderstatus <> 'P' as validated, o_orderstatus = 'F' as callable, o_orderkey % 5 as kind, o_orderkey % 11 = 0 as broken from orders),
+t as (select c_custkey as sample, n as t, {dna_sql("c_custkey + n * 5000")} as v from customer, range(0, 2) x(n) where c_custkey % 9 > 0),
+c as (select run, sample, p, case when kind = 0 then {dna_sql("sample + (1 - p) * 5000")} when kind = 2 then {dna_sql("sample")} when kind = 3 and p = 1 then substr({dna_sql("sample + 5000")}, 1, 20) else {dna_sql("sample + p * 5000")} end as v, not (kind = 2 and p = 1) as own
+ from r, range(0, 2) x(p) where kind < 4 and (kind <> 1 or p = 0)),
+e as (select sample, list_sort(list(v)) as expected from t group by sample), f as (select run, list_sort(list(v)) as seen, bool_and(own) as alone from c group by run),
+w as (select r.*, expected, seen, alone, case when expected is null then 'no independent sequence truth' when not validated then 'run lacks validated completed artifacts' when kind = 4 then 'missing sequence observations' when broken then 'boundary anchors must occur exactly once (unique exact match)' end as reason from r left join e using (sample) left join f using (run)),
+plans as (select * from (values (0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 0)) x(alternative, t, p)),
+s as (select c.run, alternative, sum(levenshtein(t.v, c.v)) as cost, count_if(t.v = c.v) as literal, count_if(t.v = c.v and own) as mine from plans join t on t.t = plans.t join c on c.p = plans.p and c.sample = t.sample group by all),
+b as (select run, cost, count(*) as ways, min(literal) as literal, min(mine) as mine from s group by run, cost qualify row_number() over (partition by run order by cost) = 1)
+select run, reason, case when reason is null then seen = expected and alone and callable end as sequence_equal, case when reason is null then seen = expected end as literal_sequence_equal, case when reason is null then cost::bigint end as distance, case when reason is null then ways end as ways,
+ case when reason is null then literal::int end as literal_exact, case when reason is null then case when callable then mine::int else 0 end end as independent_exact from w left join b using (run)""")
+def cohort_compared(spark, sf):
+    """Every order is a run of its customer, whose two sequences most customers know."""
+    left, right = "GATTACAGATTACA", "CATCATCATCATCC"
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("sample"), (F.col("o_orderstatus") != "P").alias("validated"), (F.col("o_orderstatus") == "F").alias("callable"))
+    known = table(spark, sf, "customer").where("c_custkey % 9 > 0").select(F.col("c_custkey").alias("sample"))
+    truths = known.select("sample", F.posexplode(F.array(dna(F.col("sample")), dna(F.col("sample") + 5000))).alias("t", "seq")).withColumn("seq", F.concat(F.lit(left), "seq", F.lit(right)))
+    kind = F.col("run") % 5
+    two = F.array(dna(F.col("sample")), dna(F.col("sample") + 5000))
+    made = F.when(kind == 0, F.reverse(two)).when(kind == 1, F.slice(two, 1, 1)).when(kind == 2, F.array(two[0], two[0])).when(kind == 3, F.array(two[0], F.left(two[1], F.lit(20))))
+    end = F.when(F.col("run") % 11 == 0, "").otherwise(right)
+    calls = o.select("run", kind.alias("kind"), end.alias("end"), F.posexplode(made).alias("p", "seq")).select("run", "p", F.concat(F.lit("TT" + left), "seq", "end").alias("seq"), (F.col("kind") != 2).alias("independent"), F.concat(F.lit("h"), "p").alias("origin"))
+    out = C.compared(o, truths, known.select("sample", F.lit(left).alias("left"), F.lit(right).alias("right")), calls)
+    return out.select("run", "reason", "sequence_equal", "literal_sequence_equal", "distance", "ways", "literal_exact", "independent_exact")
