@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cohort as C
 from ..operators import profile as P
-from . import Registry, dna, dna_sql, table
+from ..operators.sweep import sweep
+from . import Registry, dna, dna_sql, folder_of_its_own, table
 
 R = Registry()
 
@@ -82,3 +83,14 @@ def cohort_compared(spark, sf):
     calls = o.select("run", kind.alias("kind"), end.alias("end"), F.posexplode(made).alias("p", "seq")).select("run", "p", F.concat(F.lit("TT" + left), "seq", "end").alias("seq"), (F.col("kind") != 2).alias("independent"), F.concat(F.lit("h"), "p").alias("origin"))
     out = C.compared(o, truths, known.select("sample", F.lit(left).alias("left"), F.lit(right).alias("right")), calls)
     return out.select("run", "reason", "sequence_equal", "literal_sequence_equal", "distance", "ways", "literal_exact", "independent_exact")
+
+
+@R.add("""select p_partkey as "case", case when p_size % 7 = 0 then 'failed' else 'completed' end as status, case when p_size % 7 > 0 then (1000 // (p_size % 7) + p_partkey)::bigint end as value, case when p_size % 7 = 0 then 'ZeroDivisionError: integer division or modulo by zero' end as error,
+ case when p_size % 2 = 0 then 1 else 2 end::int as round from part""")
+def sweep_results(spark, sf):
+    """The parts of even size first, then all of them into the same folder."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("case"), (F.col("p_size") % 7).cast("long").alias("n"), F.col("p_partkey").alias("base"), "p_size")
+    folder = folder_of_its_own(spark, "sweep")
+    for asked in (p.where("p_size % 2 = 0"), p):
+        out = sweep(asked, folder, ["n", "base"], lambda x: {"value": 1000 // x["n"] + x["base"]}, "value long", version="1")
+    return out.select("case", "status", "value", "error", "round")
