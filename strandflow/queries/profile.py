@@ -72,7 +72,8 @@ select run, reason, case when reason is null then seen = expected and alone and
  case when reason is null then literal::int end as literal_exact, case when reason is null then case when callable then mine::int else 0 end end as independent_exact from w left join b using (run)""")
 def cohort_compared(spark, sf):
     """Every order is a run of its customer, whose two sequences most customers know."""
-    left, right = "GATTACAGATTACA", "CATCATCATCATCC"
+    # longer than a sequence, and no end of either begins it or the other: whatever the keys, a sequence between them can't make another
+    left, right = "G" + "AATT" * 8, "C" + "AGTA" * 8
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("sample"), (F.col("o_orderstatus") != "P").alias("validated"), (F.col("o_orderstatus") == "F").alias("callable"))
     known = table(spark, sf, "customer").where("c_custkey % 9 > 0").select(F.col("c_custkey").alias("sample"))
     truths = known.select("sample", F.posexplode(F.array(dna(F.col("sample")), dna(F.col("sample") + 5000))).alias("t", "seq")).withColumn("seq", F.concat(F.lit(left), "seq", F.lit(right)))

@@ -76,3 +76,18 @@ def test_assignments_against_all_permutations(spark):
         want[k] = (best[0][0], len(best), min(w[1] for w in best), min(w[2] for w in best))
     got = C.best_assignments(spark.createDataFrame(truths, "k int, t int, value string"), spark.createDataFrame(calls, "k int, p int, value string, recoverable boolean"), "k").collect()
     assert {r.k: (r.distance, r.ways, r.literal_exact, r.independent_exact) for r in got} == want
+
+
+def test_anchors_stay_unique_for_every_key(spark, tmp_path):
+    """The sequence of customer 31132 begins or ends so that short anchors occur in it once more."""
+    import duckdb
+    from strandflow.queries import profile
+
+    folder, duck = str(tmp_path), duckdb.connect()
+    spark.createDataFrame([(31132,), (31133,)], "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(n, 31132, "F") for n in range(1, 12)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{folder}/orders.parquet")
+    for t in ("customer", "orders"):
+        duck.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    df, found = profile.cohort_compared(spark, folder), duck.execute(profile.R.oracles["cohort_compared"])
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall())
