@@ -24,13 +24,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= SMALL and letters <= SMALL_BYTES else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows dealt, by keys if there are any, to as many tasks as the session shuffles to.
 
     For stages whose work is much more than their bytes suggest: adaptive execution would put them together in a few tasks.
+    The number isn't that of other shuffles, since Spark leaves out a repartition like the shuffle before it, and would put that one's tasks together.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
 
 

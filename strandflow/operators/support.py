@@ -29,6 +29,8 @@ from .evidence import Mixture, competition_status, hp_status, profiles
 from .joins import spread
 from .phase import polish
 
+#: Reads of one allele, by their places, that one task lays.
+TOGETHER = 512
 EVENTS = "sample string, allele string, index int, start int, end int, unit string, template string, kind string, run_start int, run_end int, base string, change int, low int, high int, with_event string, without string"
 SAID = "sample string, allele string, kind string, index int, at int, strand string, length int, n long, ord long, piece string, vote int"
 FITS = "sample string, allele string, index int, n long, alt long, ref long, llr double, share double, strand_low boolean, strands string"
@@ -96,7 +98,9 @@ def said(members: DataFrame, alleles: DataFrame, events: DataFrame, s: ReadSetti
             for (sample, allele), own in pdf.groupby(["sample", "allele"], sort=False):
                 yield pd.DataFrame(_of_reads(sample, allele, own, s), columns=[c.split()[0] for c in SAID.split(", ")]).astype({c: "Int64" for c in ("index", "at", "length", "n", "ord", "vote")})
 
-    return spread(both).sortWithinPartitions("sample", "allele").mapInPandas(work, SAID)
+    # reads of an allele are laid together, those of a deep one by several tasks
+    some = F.floor(F.col("ord") / TOGETHER)
+    return spread(both, "sample", "allele", some).sortWithinPartitions("sample", "allele").mapInPandas(work, SAID)
 
 
 def _of_reads(sample: str, allele: str, own: pd.DataFrame, s: ReadSettings) -> list[tuple]:

@@ -209,3 +209,11 @@ def test_which_templates_change_a_run(template, unit, change):
     start = len(chain(*HEAD)) + 60
     run = support.changed_run(t, WORDS.units[unit], seq, start, start + len(mutated(unit, template)), ReadSettings())
     assert (run and run[3]) == change
+
+
+def test_reads_of_an_allele_are_laid_together(spark):
+    alleles = spark.createDataFrame([("s", str(k), "ACGTTGCA") for k in range(8)], "sample string, allele string, seq string")
+    members = spark.createDataFrame([("s", str(k), n, "ACGTTGCA", "+") for n in range(12) for k in range(8)], "sample string, allele string, ord long, seq string, strand string")
+    events = spark.createDataFrame([], support.EVENTS)
+    heard = support.said(members.repartition(6), alleles, events).where("kind = 'reads'").collect()
+    assert sorted((r.allele, r.n) for r in heard) == [(str(k), 12) for k in range(8)]
