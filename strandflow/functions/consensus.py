@@ -29,6 +29,8 @@ class Graph:
         #: Sum of the relative places at which reads passed a node, and how many did.
         self.place, self.reads = [0.0, 1.0], [1, 1]
         self.of_column: dict[int, dict[int, int]] = {}
+        #: The columns in order, while every read has a letter in each of them.
+        self.straight: list[int] | None = None
 
     def add(self, letter: int, column: int | None) -> int:
         node = len(self.letter)
@@ -59,6 +61,29 @@ class Graph:
                     ready.append(v)
         return out
 
+    def align_straight(self, read: np.ndarray) -> list[tuple[int, int]] | None:
+        """The alignment that ``align`` finds, where it surely has no gaps; else null.
+
+        Two gaps, one on either side, cost two edits, so none of the best alignments has them if one edit is enough. In a graph of one path the
+        best alignment that goes straight is the one taken, as straight steps come first.
+        """
+        if self.straight is None or len(self.straight) != len(read):
+            return None
+        cost, letters = {0: 0}, read.tolist()
+        for i, c in enumerate(self.straight):
+            for letter, v in self.of_column[c].items():
+                cost[v] = min(cost[u] for u in self.before[v]) + (letters[i] != letter)
+        v = min(self.before[1], key=cost.__getitem__)
+        edits = cost[v]
+        if edits > 1 and (len(self.letter) > len(read) + 2 or edit_distance(bytes(self.letter[2:]).decode("latin-1"), read.tobytes().decode("latin-1")) < edits):
+            return None
+        path = []
+        for i in range(len(letters) - 1, -1, -1):
+            path.append((v, i))
+            before = cost[v] - (letters[i] != self.letter[v])
+            v = next(u for u in self.before[v] if cost[u] == before)
+        return path[::-1]
+
     def align(self, read: np.ndarray, half: int) -> tuple[list[tuple[int, int]], int]:
         """Pairs (node or -1, read place or -1) of the best alignment within the band, and its edits."""
         n, width = len(read), 2 * half + 1
@@ -109,6 +134,10 @@ class Graph:
     def thread(self, read: np.ndarray, path: list[tuple[int, int]]) -> None:
         """Take the read into the graph along its alignment."""
         last = 0
+        if len(self.letter) == 2:
+            self.straight = list(range(2, len(read) + 2))
+        elif self.straight is not None and (len(path) != len(self.straight) or any(v < 0 or i < 0 for v, i in path)):
+            self.straight = None
         for v, i in path:
             if i < 0:
                 continue
@@ -147,6 +176,10 @@ def partial_order(seqs: list[str]) -> str:
         if not k:
             graph.thread(read, [(-1, i) for i in range(len(read))])
             continue
+        straight = graph.align_straight(read)
+        if straight:
+            graph.thread(read, straight)
+            continue
         half = BAND + round(BAND_SHARE * len(read))
         while True:
             path, edits = graph.align(read, half)

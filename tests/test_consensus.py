@@ -97,3 +97,28 @@ def test_partial_reads_are_turned_and_cut(spark):
     assigned = spark.createDataFrame([("s", i, "off_target" if i == 4 else "allele_1", "-" if i == 1 else "+") for i in range(5)], "sample string, ord long, assigned string, strand string")
     got = {r.ord: r.seq for r in inside(assigned, categories).collect()}
     assert got == {0: TRUTH[:700], 1: TRUTH[:700], 2: TRUTH[300:], 3: TRUTH[200:900]}
+
+
+def test_reads_of_few_errors_go_straight_and_alike(monkeypatch):
+    rng, plain = random.Random(5), Graph.align
+    groups = [[noisy(text, err, rng) for _ in range(5)] for text in ("ACGT" * 9, TRUTH[:90], "AAAACCCCAAAA") for err in (0.0, 0.02, 0.1) for _ in range(4)]
+    found = [partial_order(g) for g in groups]
+    wrong = [TRUTH[:k] + ("A" if TRUTH[k] != "A" else "C") + TRUTH[k + 1 :] for k in (7, 300, 44)]
+    monkeypatch.setattr(Graph, "align", lambda self, read, half: pytest.fail("aligned in full"))
+    assert partial_order(wrong) == TRUTH
+    monkeypatch.setattr(Graph, "align", plain)
+    monkeypatch.setattr(Graph, "align_straight", lambda self, read: None)
+    assert found == [partial_order(g) for g in groups]
+
+
+def test_groups_of_a_grouping_stay_spread(spark):
+    from pyspark.sql import functions as F
+    from strandflow.operators.joins import spread
+
+    made = spark.range(400).groupBy("id").agg(F.lit("x").alias("x"))
+    assert spread(made, "id").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_an_empty_read_is_all_gaps():
+    laid = align.lay(["", "ACG", ""], "ACG")
+    assert laid.has.tolist() == [[False] * 3, [True] * 3, [False] * 3] and laid.begin.tolist() == [[0] * 4, [0, 1, 2, 3], [0] * 4]
