@@ -35,6 +35,17 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def each_once(df: DataFrame, inputs: list[str], outputs: dict[str, Column]) -> DataFrame:
+    """``df`` with ``outputs``, worked out once for each distinct tuple of ``inputs`` and by all tasks.
+
+    For costly functions of a few columns, be it that values recur or that the rows come in few files. Null is a value of its own.
+    """
+    named = {c: f"_in_{i}" for i, c in enumerate(inputs)}
+    met = spread(df.select(*inputs).distinct(), *inputs).select(*[F.col(c).alias(n) for c, n in named.items()], *[c.alias(n) for n, c in outputs.items()])
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()]
+    return df.join(met, same, "left").drop(*named.values())
+
+
 def unit_lookup(pieces: DataFrame, units: DataFrame, templates: DataFrame, seq: str = "seq") -> DataFrame:
     """Adds unit_id, template and match (exact, template or none) by equality; units(id, seq), templates(name, parent, seq)."""
     u = small(units.select(F.col("id").alias("_unit"), F.col("seq").alias("_u")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dictionary
 from ..functions import nomenclature as N
 from ..functions import sequence as S
+from ..operators.joins import each_once
 from . import Registry, dna, dna_sql, table
 
 R = Registry()
@@ -220,6 +221,10 @@ trimmed(id, k, s0, unit, s, d, i, side) as (
 """
 
 
+#: What an edit is made of.
+EDIT = ["unit", "s", "e", "ins"]
+
+
 def _edits(spark, sf):
     """Three edits of a unit for each part."""
     u = F.broadcast(WORDS.tables(spark)["units"].select("ord", F.col("seq").alias("unit")))
@@ -236,7 +241,7 @@ def _edits(spark, sf):
  when length(d) = 1 and length(i) = 1 then s || d || '>' || i
  else case when length(d) = 1 then s || '' else s || '_' || (s + length(d) - 1) end || 'delins' || i end as name from last_""")
 def name_edit(spark, sf):
-    return _edits(spark, sf).select("id", "k", "s", N.name_edit("unit", "s", "e", "ins")["name"].alias("name"))
+    return each_once(_edits(spark, sf), EDIT, {"name": N.name_edit("unit", "s", "e", "ins")["name"]}).select("id", "k", "s", "name")
 
 
 @R.add(WALK + """, back(id, k, s0, unit, s, d, i) as (
@@ -249,13 +254,13 @@ select a.id, a.k, a.s0 as s, case when ok then low end::int as low, case when ok
   ((l.d = '') or (l.i = '')) and case when l.i <> '' then l.s - 1 else l.s + length(l.d) - 1 end > f.s as ok
  from last_ l join first_ f using (id, k, s0)) a""")
 def ambiguity_interval(spark, sf):
-    t = _edits(spark, sf).select("id", "k", "s", N.ambiguity("unit", "s", "e", "ins").alias("x"))
+    t = each_once(_edits(spark, sf), EDIT, {"x": N.ambiguity("unit", "s", "e", "ins")})
     return t.select("id", "k", "s", "x.low", "x.high")
 
 
 @R.add(WALK + """select id, k, s0 as s, s::int as start, (s + length(d) - 1)::int as "end", i as inserted from last_""")
 def normalise_edit(spark, sf):
-    t = _edits(spark, sf).select("id", "k", "s", N.normalise("unit", "s", "e", "ins").alias("x"))
+    t = each_once(_edits(spark, sf), EDIT, {"x": N.normalise("unit", "s", "e", "ins")})
     return t.select("id", "k", "s", "x.start", "x.end", "x.inserted")
 
 
@@ -273,7 +278,7 @@ def _places(spark, sf):
   select id, s, unit, 'C' as b, length(left(unit, s - 1)) - length(rtrim(left(unit, s - 1), 'C')) as bw,
    length(substr(unit, s)) - length(ltrim(substr(unit, s), 'C')) as aw from {PLACE}))""")
 def repeat_form(spark, sf):
-    return _places(spark, sf).select("id", "s", N.repeat_form("seq", "s", F.col("s") - 1, F.lit("C")).alias("form"))
+    return each_once(_places(spark, sf), ["seq", "s"], {"form": N.repeat_form("seq", "s", F.col("s") - 1, F.lit("C"))}).select("id", "s", "form")
 
 
 KNOWN_SQL = ", ".join(f"'{x}'" for x in N.KNOWN)

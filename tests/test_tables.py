@@ -37,3 +37,20 @@ def test_a_run_that_breaks_off_is_not_complete(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         write_run(bad, str(tmp_path / "run"))
     assert not (tmp_path / "run/summary.json").exists()
+
+
+def test_costly_columns_are_worked_out_once_for_each_input(spark):
+    from pyspark.sql import functions as F
+    from strandflow.operators.joins import each_once
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(a, b):
+        calls.add(1)
+        return f"{a}{b}"
+
+    rows = [(n, None if n % 3 == 0 else "xy"[n % 2], n % 2) for n in range(60)]
+    out = each_once(spark.createDataFrame(rows, "id int, a string, b int"), ["a", "b"], {"c": costly("a", "b")})
+    assert sorted(map(tuple, out.collect())) == sorted(((*r, f"{r[1]}{r[2]}") for r in rows), key=lambda r: r[0])
+    assert calls.value == len({r[1:] for r in rows})
