@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.sequence import col, quality_weight, runs
+from .joins import spread
 
 GATING = ("support_below_threshold", "max_alleles", "smear_ambiguous")
 
@@ -61,6 +62,8 @@ def run_signatures(templates: DataFrame, units: DataFrame, least: int = 3) -> Da
     """
     sizes = lambda seq: F.transform(runs(seq, 1), lambda r: F.struct(r["base"].alias("base"), (r["end"] - r["start"]).alias("n")))
     both = templates.join(units.select(F.col("id").alias("parent"), F.col("seq").alias("_p")), "parent")
+    # the signature is one of the two sequences, however many templates have them; filters on keys would be worked out before the grouping
+    both = spread(both.groupBy(F.col("_p").alias("_k"), F.col("seq").alias("_l")).agg(F.max("_p").alias("_p"), F.max("seq").alias("seq")).drop("_k", "_l"), "_p", "seq")
     z = both.withColumn("_a", sizes("_p")).withColumn("_b", sizes("seq")).where(F.size("_a") == F.size("_b"))
     pairs = F.filter(F.zip_with("_a", "_b", lambda x, y: F.struct(x["base"].alias("base"), y["base"].alias("other"), x["n"].alias("parent_length"), y["n"].alias("event_length"))), lambda p: (p["base"] != p["other"]) | (p["parent_length"] != p["event_length"]))
     one = z.withColumn("_d", pairs).where((F.size("_d") == 1) & (F.get("_d", F.lit(0))["base"] == F.get("_d", F.lit(0))["other"]))

@@ -54,3 +54,13 @@ def test_costly_columns_are_worked_out_once_for_each_input(spark):
     out = each_once(spark.createDataFrame(rows, "id int, a string, b int"), ["a", "b"], {"c": costly("a", "b")})
     assert sorted(map(tuple, out.collect())) == sorted(((*r, f"{r[1]}{r[2]}") for r in rows), key=lambda r: r[0])
     assert calls.value == len({r[1:] for r in rows})
+
+
+def test_signatures_are_worked_out_behind_the_grouping(spark):
+    from strandflow.operators.records import run_signatures
+
+    rows = spark.createDataFrame([("a", "ACCCT"), ("b", "ACCCT")], "parent string, seq string")
+    out = run_signatures(rows.replace("ACCCT", "ACCCCT"), rows.withColumnRenamed("parent", "id"))
+    assert [tuple(r) for r in out.collect()] == [("C", 3, 4)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[plan.rindex("Aggregate") :]
