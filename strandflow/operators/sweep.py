@@ -6,6 +6,7 @@ equal one isn't worked out again, whichever case asks for it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,6 +18,8 @@ from .joins import spread
 from .records import pending
 
 COMPLETED, FAILED = "completed", "failed"
+#: Seconds, and rows, after which worked out points leave their task.
+HAND_OUT, MOST = 1.0, 4096
 
 
 def keyed(cases: DataFrame, inputs: list[str], version: str, name: str = "key") -> DataFrame:
@@ -28,11 +31,12 @@ def keyed(cases: DataFrame, inputs: list[str], version: str, name: str = "key")
 def attempted(points: DataFrame, inputs: list[str], work: Callable[[dict], dict], result: str) -> DataFrame:
     """(key, status, error, result...): ``work`` of each point's inputs. An exception makes a failed row of null results that says what it was.
 
-    Rows are handed out one at a time, so points that are done leave the task while others are still worked on.
+    Rows are handed out every ``HAND_OUT`` seconds, so points that are done leave the task while others are still worked on.
     """
     names = [c.strip().split()[0].strip("`") for c in _columns(result)]
 
     def each(batches):
+        rows, since = [], time.monotonic()
         for pdf in batches:
             for key, *values in pdf[["key", *inputs]].astype(object).where(pdf[["key", *inputs]].notna(), None).itertuples(index=False, name=None):
                 try:
@@ -41,7 +45,12 @@ def attempted(points: DataFrame, inputs: list[str], work: Callable[[dict], dict]
                         raise ValueError(f"results {sorted(found)} instead of {sorted(names)}")
                 except Exception as e:  # noqa: BLE001
                     found, status, error = dict.fromkeys(names), FAILED, f"{type(e).__name__}: {e}"
-                yield pd.DataFrame([{"key": key, "status": status, "error": error, **found}]).astype(object)
+                rows.append({"key": key, "status": status, "error": error, **found})
+                if len(rows) >= MOST or time.monotonic() - since >= HAND_OUT:
+                    yield pd.DataFrame(rows, dtype=object)
+                    rows, since = [], time.monotonic()
+        if rows:
+            yield pd.DataFrame(rows, dtype=object)
 
     return points.mapInPandas(each, f"key string, status string, error string, {result}")
 

@@ -67,3 +67,21 @@ def test_keys_tell_null_from_text_and_ignore_order(spark):
     df = spark.createDataFrame([(1, None), (1, "null"), (1, "")], "n int, name string")
     assert keyed(df, ["n", "name"], "1").select("key").distinct().count() == 3
     assert keyed(df, ["n", "name"], "1").select("key").collect() == keyed(df, ["name", "n"], "1").select("key").collect()
+
+
+def test_points_leave_together_with_large_numbers_whole(spark):
+    from pyspark.sql import functions as F
+    from strandflow.operators import sweep as module
+
+    sizes = spark.sparkContext.accumulator(0)
+    points = spark.range(2000, numPartitions=1).select(F.col("id").cast("string").alias("key"), "id")
+    out = module.attempted(points, ["id"], lambda x: {"v": 2**53 + 1 + x["id"] if x["id"] % 7 else 1 // 0}, "v long")
+
+    def count(batches):
+        for batch in batches:
+            sizes.add(1)
+            yield batch
+
+    rows = out.mapInArrow(count, out.schema).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: int(r.key))] == [2**53 + 1 + n if n % 7 else None for n in range(2000)]
+    assert sizes.value < 50
