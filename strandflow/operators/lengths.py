@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..config import ReadSettings
 from ..functions.stats import binomial_upper_tail
+from .joins import spread, within
 
 
 @dataclass(frozen=True)
@@ -48,29 +49,58 @@ def half_window(length, s: LengthSettings) -> Column:
     return s.window_bp + s.window_per_unit * length / s.unit_bp
 
 
-def density(spans: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
-    """(sample, x, d): truncated Gaussian kernel sums on each sample's grid.
+#: Grid points of a block, the unit in which densities are worked out.
+BLOCK = 32
+
 
-    Lengths meet only the grid points within their kernel's reach: they are opened into those points, which is
-    a bounded number for each distinct length, and equal lengths are counted first.
+def _blocks(spans: DataFrame, s: LengthSettings) -> DataFrame:
+    """(sample, lo, block, near): each sample's grid in blocks, with the distinct lengths whose kernels reach the block or a point beside it.
+
+    A block's lengths are no more than the base pairs that it and the reach span. Only they are gathered, never grid points.
     """
-    lengths = counted(spans)
-    ends = lengths.groupBy("sample").agg((F.min("length") - s.margin_bp).alias("lo"), (F.max("length") + s.margin_bp).alias("hi"))
-    bw = s.bandwidth_bp + s.bandwidth_share * F.col("length")
-    reach = F.lit(s.kernel_reach) * bw
+    own = W.partitionBy("sample")  # goes over a sample's distinct lengths
+    # a few bytes make a whole grid: all tasks share the samples
+    lengths = spread(counted(spans), "sample").withColumns({"lo": F.min("length").over(own) - s.margin_bp, "_hi": F.max("length").over(own) + s.margin_bp})
+    lengths = lengths.withColumn("bw", s.bandwidth_bp + s.bandwidth_share * F.col("length"))
+    reach = F.lit(s.kernel_reach) * F.col("bw")
     first = F.greatest(F.ceil((F.col("length") - reach - F.col("lo")) / s.grid_bp), F.lit(0))
-    last = F.least(F.floor((F.col("length") + reach - F.col("lo")) / s.grid_bp), F.floor((F.col("hi") - F.col("lo")) / s.grid_bp))
-    opened = lengths.join(ends, "sample").withColumn("i", F.explode(F.sequence(first, last)))
-    z = (F.col("lo") + F.col("i") * s.grid_bp - F.col("length")) / bw
-    return opened.groupBy("sample", "i", "lo").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("d")).select("sample", "i", (F.col("lo") + F.col("i") * s.grid_bp).alias("x"), "d")
+    last = F.least(F.floor((F.col("length") + reach - F.col("lo")) / s.grid_bp), F.floor((F.col("_hi") - F.col("lo")) / s.grid_bp))
+    met = lengths.withColumns({"first": first, "last": last}).where("first <= last")
+    cut = met.withColumn("block", F.explode(F.sequence(F.floor((F.greatest(F.col("first"), F.lit(1)) - 1) / BLOCK), F.floor((F.col("last") + 1) / BLOCK))))
+    # in order of length, so that a point has the same sum in whichever block it is worked out
+    return cut.groupBy("sample", "lo", "block").agg(F.sort_array(F.collect_list(F.struct("length", "n", "bw", "first", "last"))).alias("near"))
+
+
+def _point(i: Column, s: LengthSettings) -> Column:
+    """The density of a block's grid point, null where no kernel reaches."""
+
+    def add(acc, q):
+        z = (F.col("lo") + i * s.grid_bp - q["length"]) / q["bw"]
+        return F.when((i >= q["first"]) & (i <= q["last"]), F.coalesce(acc, F.lit(0.0)) + q["n"] * F.exp(-0.5 * z * z)).otherwise(acc)
 
+    return F.aggregate("near", F.lit(None).cast("double"), add)
 
-def maxima(dens: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
+
+def density(spans: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
+    """(sample, i, x, d): truncated Gaussian kernel sums on each sample's grid.
+
+    Lengths meet only the grid points within their kernel's reach, by blocks of the grid; equal lengths are counted first.
+    """
+    start = F.col("block") * BLOCK
+    opened = _blocks(spans, s).withColumn("i", F.explode(F.sequence(start, start + BLOCK - 1)))
+    return opened.select("sample", "i", (F.col("lo") + F.col("i") * s.grid_bp).alias("x"), _point(F.col("i"), s).alias("d")).where("d is not null")
+
+
+def maxima(spans: DataFrame, s: LengthSettings = LengthSettings()) -> DataFrame:
     """(sample, centers): maxima by density, without those near a higher one. A sample has dozens, so its list is folded in place."""
-    along = W.partitionBy("sample").orderBy("i")
+    start = F.col("block") * BLOCK
+    # a block's points with one more at either end: what lies beside a point is at hand
+    along = _blocks(spans, s).withColumn("_d", F.transform(F.sequence(start - 1, start + BLOCK), lambda i: _point(i, s)))
+    at = lambda k: F.get("_d", k)
     # a grid point that is missing has no density
-    beside = lambda f, k: F.when(f("i").over(along) == F.col("i") + k, f("d").over(along)).otherwise(0.0)
-    peaks = dens.withColumns({"_l": beside(F.lag, -1), "_r": beside(F.lead, 1)}).where((F.col("d") >= F.col("_l")) & (F.col("d") > F.col("_r")))
+    high = lambda k: (at(k) >= F.coalesce(at(k - 1), F.lit(0.0))) & (at(k) > F.coalesce(at(k + 1), F.lit(0.0)))
+    found = F.filter(F.sequence(F.lit(1), F.lit(BLOCK)), lambda k: F.coalesce(high(k), F.lit(False)))
+    peaks = along.withColumn("_k", F.explode(found)).select("sample", (F.col("lo") + (start - 1 + F.col("_k")) * s.grid_bp).alias("x"), at(F.col("_k")).alias("d"))
     listed = peaks.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct((-F.round("d", 9)).alias("d"), "x"))).alias("l"))
     far = s.apart_units * s.unit_bp
     keep = lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q - p["x"]) < far), acc).otherwise(F.concat(acc, F.array(p["x"])))
@@ -84,8 +114,6 @@ def supported(spans: DataFrame, centers: DataFrame, s: LengthSettings = LengthSe
     c = centers.select("sample", F.posexplode("centers").alias("ord", "center"))
     cells = c.withColumn("half", half_window(F.col("center"), s))
     # candidates of a sample are few; lengths meet them by bins of 240 bp
-    from .joins import within
-
     near = cells.withColumn("low", F.col("center") - F.col("half")).withColumn("high", F.col("center") + F.col("half"))
     hits = within(lengths, near, ["sample"], "length", "low", "high", 4 * s.unit_bp)
     n = hits.groupBy("sample", "ord", "center", "half").agg(F.sum("n").alias("support"))
@@ -144,7 +172,7 @@ def between_alleles(judged: DataFrame, lengths: DataFrame, s: LengthSettings = L
 
 def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smear: bool = True) -> DataFrame:
     """Every candidate of every sample with its reason; accepted peaks have none. spans(sample, length)."""
-    cand = supported(spans, maxima(density(spans, s), s), s)
+    cand = supported(spans, maxima(spans, s), s)
     below = (F.col("center") <= F.col("top") - s.smear_units * s.unit_bp) & (F.col("support") < s.guard * F.col("top_support")) & (F.col("center") != F.col("top")) & (F.col("support") > s.noise_reads)
     lengths = counted(spans)
     if smear:

@@ -237,7 +237,7 @@ p as (select sample, (i - 1)::int as ord, kept[i] as center, (select count(*) fr
 @R.add(PEAKS + " select sample, ord, center, support from p")
 def kde_peaks(spark, sf):
     spans = _spans(spark, sf)
-    return L.supported(spans, L.maxima(L.density(spans))).select("sample", "ord", "center", "support")
+    return L.supported(spans, L.maxima(spans)).select("sample", "ord", "center", "support")
 
 
 @R.add(PEAKS + f""", n as (select sample, count(*) as total from {SPANS} group by sample), t as (select sample, center as top from p qualify row_number() over (partition by sample order by support desc, ord) = 1),
