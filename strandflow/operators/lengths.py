@@ -125,27 +125,27 @@ def smear_p(cand: DataFrame, lengths: DataFrame, s: LengthSettings = LengthSetti
     """Adds smear_p: for candidates where _t holds the larger p-value of their core against the background on either side, in the region _lo .. _hi; else 0.
 
     lengths(sample, length, n). A side's background reaches from the candidate's window to where it holds ``flank_reads`` reads, but ``flank_units`` units at least and not
-    beyond the region; a side without room has no p-value. A sample tests a few candidates, which meet its distinct lengths.
+    beyond the region; a side without room has no p-value. A tested candidate carries its sample's distinct lengths along as one array.
     """
-    # candidates that aren't tested go along as one row without lengths, so that what they come from is worked out once
-    sides = cand.withColumn("_side", F.explode(F.when(F.col("_t"), F.array(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    edge = F.col("center") + F.col("_side") * F.col("half")
-    room = ((F.when(F.col("_side") < 0, F.col("_lo")).otherwise(F.col("_hi")) - F.col("_edge")) * F.col("_side")).cast("double")
-    sides = sides.withColumn("_edge", edge.cast("double")).withColumn("_room", room)
-    own = lengths.select(F.col("sample").alias("_own"), "length", "n")
-    met = sides.join(own, (F.col("sample") == F.col("_own")) & (F.col("_side") != 0), "left").withColumn("_d", (F.col("length") - F.col("_edge")) * F.col("_side"))
-    met = met.withColumn("_inside", (F.col("_d") > 0) & (F.col("_d") <= F.col("_room"))).withColumn("_m", F.when(F.col("_inside"), F.col("n")).otherwise(0))
-    by = W.partitionBy("sample", "ord", "_side")
-    met = met.withColumn("_upto", F.sum("_m").over(by.orderBy("_d").rangeBetween(W.unboundedPreceding, 0)))
-    met = met.withColumn("_enough", F.min(F.when(F.col("_inside") & (F.col("_upto") >= s.flank_reads), F.col("_d"))).over(by))
-    reach = F.when(F.col("_enough").isNull(), F.col("_room")).otherwise(F.greatest(F.lit(float(s.flank_units * s.unit_bp)), F.col("_enough")))
-    met = met.withColumn("_width", F.least(reach, F.col("_room")))
-    core = F.abs(F.col("length") - F.col("center")) <= s.core_share * F.col("half")
-    sums = met.groupBy(*cand.columns, "_side", "_room", "_width").agg(F.sum(F.when(core, F.col("n")).otherwise(0)).alias("_k"), F.sum(F.when(F.col("_d") <= F.col("_width"), F.col("_m")).otherwise(0)).alias("_b"))
-    rho = 2 * s.core_share * F.col("half") / F.col("_width")
-    p = sums.withColumns({"_of": F.col("_k") + F.col("_b"), "_p": F.when((F.col("_side") != 0) & (F.col("_room") > 0), rho / (1 + rho))})
-    tail = F.when(F.col("_p").isNotNull(), binomial_upper_tail("_k", "_of", "_p"))
-    return p.groupBy(*cand.columns).agg(F.coalesce(F.max(tail), F.lit(0.0)).alias("smear_p"))
+    own = lengths.groupBy("sample").agg(F.collect_list(F.struct("length", "n")).alias("_own"))
+    total = lambda list_, of: F.aggregate(list_, F.lit(0).cast("long"), lambda acc, q: acc + of(q))
+    core = lambda q: F.when(F.abs(q["length"] - F.col("center")) <= s.core_share * F.col("half"), q["n"]).otherwise(0)
+    met = cand.join(own, "sample", "left").withColumn("_k", F.when(F.col("_t"), total("_own", core)))
+    for name, side, end in (("_left", -1, "_lo"), ("_right", 1, "_hi")):
+        edge = (F.col("center") + side * F.col("half")).cast("double")
+        room = ((F.col(end) - edge) * side).cast("double")
+        away = F.transform("_own", lambda q: F.struct(((q["length"] - edge) * side).alias("d"), q["n"].alias("n")))  # noqa: B023
+        met = met.withColumn("_room", room).withColumn("_in", F.when(F.col("_t") & (F.col("_room") > 0), F.sort_array(F.filter(away, lambda q: (q["d"] > 0) & (q["d"] <= F.col("_room"))))))
+        upto = lambda acc, q: F.struct((acc["n"] + q["n"]).alias("n"), F.when(acc["d"].isNull() & (acc["n"] + q["n"] >= s.flank_reads), q["d"]).otherwise(acc["d"]).alias("d"))
+        enough = F.aggregate("_in", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d")), upto)["d"]
+        met = met.withColumn("_enough", enough)
+        reach = F.when(F.col("_enough").isNull(), F.col("_room")).otherwise(F.greatest(F.lit(float(s.flank_units * s.unit_bp)), F.col("_enough")))
+        met = met.withColumn("_width", F.least(reach, F.col("_room")))
+        met = met.withColumn("_of", F.col("_k") + total("_in", lambda q: F.when(q["d"] <= F.col("_width"), q["n"]).otherwise(0)))
+        rho = 2 * s.core_share * F.col("half") / F.col("_width")
+        met = met.withColumn("_p", F.when(F.col("_in").isNotNull(), rho / (1 + rho)))
+        met = met.withColumn(name, F.when(F.col("_p").isNotNull(), binomial_upper_tail("_k", "_of", "_p"))).drop("_room", "_in", "_enough", "_width", "_of", "_p")
+    return met.select(*cand.columns, F.coalesce(F.greatest("_left", "_right"), F.lit(0.0)).alias("smear_p"))
 
 
 def _verdict(s: LengthSettings) -> Column:

@@ -57,3 +57,7 @@ def test_maxima_sort_no_grid_points(spark):
                 kept.append(x)
         assert got[k] == kept
     assert "Window" not in plan(df).split("Generate")[0]
+
+
+def test_smear_sorts_no_pairs_of_candidates_and_lengths(spark):
+    assert "RangeFrame" not in plan(L.length_model(_spans(spark)))
