@@ -79,8 +79,21 @@ def first_copy(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> int
     return next((end - left[0][0] for start, end in right if start >= left[0][1]), None)
 
 
+#: What a read's measures are made from.
+GIVEN = ["kind", "strand", "src_start", "src_end", "seq", "source", "lo", "hi", "spanning"]
+
+
 def _measure(pdf: pd.DataFrame, s: ProfileSettings) -> pd.DataFrame:
-    """One batch: reads of one stretch of one source are laid together."""
+    """One batch: equal reads of one place are measured once."""
+    group = pdf.groupby(GIVEN, sort=False, dropna=False).ngroup().to_numpy()
+    _, first = np.unique(group, return_index=True)
+    found = _measured(pdf.iloc[first], s).iloc[group].reset_index(drop=True)
+    keys = pdf[["case", "read_id", "kind", "hap", "strand", "overlapping", "spanning"]].reset_index(drop=True)
+    return pd.concat([keys, found], axis=1)
+
+
+def _measured(pdf: pd.DataFrame, s: ProfileSettings) -> pd.DataFrame:
+    """The measures (READ) of each row: reads of one stretch of one source are laid together."""
     pdf = pdf.reset_index(drop=True)
     out = {c.split()[0]: [None] * len(pdf) for c in READ.split(", ")}
     turned = [q if strand == "+" else revcomp(q) for q, strand in zip(pdf["seq"], pdf["strand"])]
@@ -111,7 +124,7 @@ def _measure(pdf: pd.DataFrame, s: ProfileSettings) -> pd.DataFrame:
             out["several_anchors"][i] = first is not None
             out["span"][i] = out["span"][i] if first is None else first
     kinds = {n: "boolean" if n == "several_anchors" else "Int64" for n in out}
-    return pdf[["case", "read_id", "kind", "hap", "strand", "overlapping", "spanning"]].assign(**{n: pd.array(v, kinds[n]) for n, v in out.items()})
+    return pd.DataFrame({n: pd.array(v, kinds[n]) for n, v in out.items()})
 
 
 def read_profile(truth: DataFrame, reads: DataFrame, sources: DataFrame, s: ProfileSettings = ProfileSettings()) -> DataFrame:
@@ -129,7 +142,8 @@ def read_profile(truth: DataFrame, reads: DataFrame, sources: DataFrame, s: Prof
     spanning = whole & (F.col("src_start") <= F.col("lo")) & (F.col("src_end") >= F.col("hi"))
     both = both.where(missing.cast("string").isNull()).select("case", "read_id", "kind", "hap", "strand", F.coalesce(F.col("src_start").cast("long"), F.lit(0)).alias("src_start"), F.coalesce(F.col("src_end").cast("long"), F.lit(0)).alias("src_end"), "seq", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(0)).alias("hi"), F.coalesce(overlapping, F.lit(False)).alias("overlapping"), F.coalesce(spanning, F.lit(False)).alias("spanning"))
     keys = ", ".join(f"`{n}` {both.schema[n].dataType.simpleString()}" for n in ("case", "read_id", "kind", "hap", "strand", "overlapping", "spanning"))
-    near = spread(both).sortWithinPartitions("case", "hap", "src_start", "src_end")
+    # equal reads come one after the other, so that a batch has most of theirs
+    near = spread(both).sortWithinPartitions("case", "hap", "src_start", "src_end", "strand", "seq")
     return near.mapInPandas(lambda batches: (_measure(pdf, s) for pdf in batches if len(pdf)), f"{keys}, {READ}")
 
 

@@ -61,3 +61,18 @@ def test_maxima_sort_no_grid_points(spark):
 
 def test_smear_sorts_no_pairs_of_candidates_and_lengths(spark):
     assert "RangeFrame" not in plan(L.length_model(_spans(spark)))
+
+
+def test_equal_reads_are_measured_once(monkeypatch):
+    import pandas as pd
+    from strandflow.operators import profile as P
+
+    source = "ACGTTGCAAC" * 12
+    reads = [source[:120], source[:50] + source[51:120], source[:120], source[:50] + source[51:120], source[:60] + "T" + source[60:120]]
+    rows = pd.DataFrame({"case": "c", "read_id": [f"r{i}" for i in range(5)], "kind": "full", "hap": 0, "strand": "+", "src_start": 0, "src_end": 120, "seq": reads, "source": source, "lo": 20, "hi": 100, "overlapping": True, "spanning": True})
+    alone = [P._measure(rows.iloc[[i]], P.ProfileSettings()).iloc[0].to_dict() for i in range(5)]
+    looked, hits = [], P.infix_hits
+    monkeypatch.setattr(P, "infix_hits", lambda anchor, texts, k: looked.append(len(texts)) or hits(anchor, texts, k))
+    got = P._measure(rows, P.ProfileSettings())
+    assert [r.to_dict() for _, r in got.astype(object).iterrows()] == [pd.Series(x).astype(object).to_dict() for x in alone]
+    assert max(looked) == 3
