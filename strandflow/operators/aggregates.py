@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .joins import by_rows
+
 
 def modal(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The most frequent value of each key; of equals the one seen first (smallest ``order``)."""
@@ -175,10 +177,10 @@ def valley_split(series: DataFrame, keys: list[str], *, apart: int = 3) -> DataF
 
 
 def touching(sites: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of the island of touching intervals (start, end) each site belongs to, from 0."""
+    """Number of the island of touching intervals (start, end) each site belongs to, from 0. A key's sites are in one task."""
     w = W.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    return sites.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0))).withColumn("event", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    return by_rows(sites, *keys).withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0))).withColumn("event", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
 def count_within(values: DataFrame, keys: list[str], value: str, reach: int) -> DataFrame:

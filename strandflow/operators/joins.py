@@ -14,6 +14,8 @@ from ..functions.sequence import apply_change
 
 #: Rows and letters up to which a lookup table may be broadcast; larger ones are joined by shuffle.
 SMALL, SMALL_BYTES = 50_000, 16 << 20
+#: Rows that a task sorts or gathers, where tasks follow the rows.
+TASK_ROWS = 1 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -35,6 +37,13 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def by_rows(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """As ``spread``, but with a task for every TASK_ROWS rows at least, so that a task's memory doesn't follow the table. Rows are counted first; a key's rows stay together."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(n, *keys)
+
+
 def each_once(df: DataFrame, inputs: list[str], outputs: dict[str, Column]) -> DataFrame:
     """``df`` with ``outputs``, worked out once for each distinct tuple of ``inputs`` and by all tasks.
 

@@ -76,3 +76,26 @@ def test_equal_reads_are_measured_once(monkeypatch):
     got = P._measure(rows, P.ProfileSettings())
     assert [r.to_dict() for _, r in got.astype(object).iterrows()] == [pd.Series(x).astype(object).to_dict() for x in alone]
     assert max(looked) == 3
+
+
+def _islands(sites):
+    out = []
+    for key, start, end in sorted(sites):
+        if out and out[-1][0] == key and start <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], end)
+        else:
+            out.append([key, start, end])
+    return sorted(map(tuple, out))
+
+
+def test_tasks_of_islands_follow_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from strandflow.operators import aggregates, joins
+
+    sites = [(i % 37, i * 7919 % 5003, i * 7919 % 5003 + i % 11) for i in range(2000)]
+    df = spark.createDataFrame(sites, "gene long, start long, end long")
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    numbered = aggregates.touching(df, ["gene"])
+    assert numbered.rdd.getNumPartitions() == 20
+    got = numbered.groupBy("gene", "event").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("event")
+    assert sorted(map(tuple, got.collect())) == _islands(sites)
