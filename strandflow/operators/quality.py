@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from .aggregates import touching
 from .decide import reasons, true
 
 
@@ -59,10 +59,7 @@ def selection_audit(counts: DataFrame, selected: DataFrame, least: int) -> DataF
 def merged_exons(exons: DataFrame, region: DataFrame) -> DataFrame:
     """Exons of each gene and its repeat region as disjoint intervals: (gene, start, end), touching ones joined."""
     both = exons.select("gene", "start", "end").unionByName(region.select("gene", "start", "end"))
-    w = W.partitionBy("gene").orderBy("start", "end")
-    new = F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    island = both.withColumn("_n", new).withColumn("_i", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy("gene", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+    return touching(both, ["gene"]).groupBy("gene", "event").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("event")
 
 
 def source_frame(truth: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -99,3 +99,14 @@ def test_tasks_of_islands_follow_the_rows(spark, monkeypatch):
     assert numbered.rdd.getNumPartitions() == 20
     got = numbered.groupBy("gene", "event").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("event")
     assert sorted(map(tuple, got.collect())) == _islands(sites)
+
+
+def test_tasks_of_exons_follow_the_rows(spark, monkeypatch):
+    from strandflow.operators import joins, quality
+
+    sites = [(i % 37, i * 7919 % 5003, i * 7919 % 5003 + i % 11) for i in range(2000)]
+    df = spark.createDataFrame(sites, "gene long, start long, end long")
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    merged = quality.merged_exons(df.where("start > 50"), df.where("start <= 50"))
+    assert merged.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, merged.select("gene", "start", "end").collect())) == _islands(sites)
