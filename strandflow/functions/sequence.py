@@ -189,15 +189,23 @@ def split_top(text) -> Column:
     )
     marked = F.aggregate(F.split(col(text), ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step)["text"]
     # a semicolon without a blank after it is no separator
-    return F.transform(F.split(marked, "\x01 "), lambda x: F.translate(x, "\x01", ";"))
+    folded = F.transform(F.split(marked, "\x01 "), lambda x: F.translate(x, "\x01", ";"))
+    # where parentheses are closed and hold no others, a semicolon is outside if the next of them doesn't close; only other texts are folded letter by letter
+    flat = col(text).rlike(r"^[^()\x01]*+(?:\([^()\x01]*+\)[^()\x01]*+)*+$")
+    return F.when(flat, F.split(col(text), r"; (?![^()]*\))")).otherwise(folded)
 
 
 def reason_keys(text) -> Column:
     """A reason's key, or for an inconclusive variant one key for each blocker in its parentheses."""
-    key = reason_key(text)
     pattern = r"^(.*? is inconclusive) \((.*)\)$"
-    head, inner = F.regexp_extract(key, pattern, 1), F.regexp_extract(key, pattern, 2)
-    return F.when(key.rlike(pattern), F.transform(split_top(inner), lambda b: F.concat(head, F.lit(": "), b))).otherwise(F.array(key))
+
+    def keys(key):
+        found = F.struct(F.regexp_extract(key, pattern, 1).alias("head"), F.regexp_extract(key, pattern, 2).alias("inner"))
+        opened = F.transform(F.array(found), lambda m: F.transform(split_top(m["inner"]), lambda b: F.concat(m["head"], F.lit(": "), b)))
+        return F.when(key.rlike(pattern), F.flatten(opened)).otherwise(F.array(key))
+
+    # a variable of a transform is worked out once, however often it is named
+    return F.flatten(F.transform(F.array(reason_key(text)), keys))
 
 
 def derive_seed(*parts) -> Column:

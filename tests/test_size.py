@@ -110,3 +110,32 @@ def test_tasks_of_exons_follow_the_rows(spark, monkeypatch):
     merged = quality.merged_exons(df.where("start > 50"), df.where("start <= 50"))
     assert merged.rdd.getNumPartitions() == 20
     assert sorted(map(tuple, merged.select("gene", "start", "end").collect())) == _islands(sites)
+
+
+def _split(text):
+    """Letter by letter, by the definition."""
+    depth, out = 0, ""
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        out += "\x01" if c == ";" and depth == 0 else c
+    return [x.replace("\x01", ";") for x in out.split("\x01 ")]
+
+
+def test_reasons_are_read_once_and_split_without_folding(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from strandflow.functions import sequence as S
+
+    draw = random.Random(3)
+    texts = ["", "a", "a; b", "a (b; c); d", "a;; b;", "; ", "(a; b", "a); b", "((a; b); c); d", "a;b; (c;d)\n; e", "x\x01 y; z"] + ["".join(draw.choice("a;; ()(") for _ in range(draw.randint(1, 14))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts + [None]], "t string").select("t", S.split_top("t").alias("s")).collect()
+    for r in rows:
+        assert r["s"] == (None if r["t"] is None else _split(r["t"]))
+    reasons = ["Allele_1: Dup at 5.5 is inconclusive (few reads (3 seen); None given; (x (y; z)); low)", "plain; reason 7.", None, "A is inconclusive ()"]
+    df = spark.createDataFrame([(x,) for x in reasons], "r string").select(S.reason_keys("r").alias("k"))
+    head = "dup at # is inconclusive: "
+    assert [r["k"] for r in df.collect()] == [[head + x for x in ("few reads (# seen)", "# given", "(x (y; z))", "low")], ["plain; reason #"], [None], ["a is inconclusive: "]]
+    # the patterns of a key are looked for once
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("is inconclusive") <= 3
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("allele[ _]") == 1
