@@ -69,7 +69,11 @@ def categorize(reads: DataFrame, words: Dictionary | None = None, s: ReadSetting
 
     def work(batches):
         for pdf in batches:
-            rows = _categorize(pdf["seq"].tolist(), pdf["qual"].tolist(), words, s)
+            # equal reads of a batch are searched once
+            at: dict[tuple[str, str], int] = {}
+            which = [at.setdefault(x, len(at)) for x in zip(pdf["seq"], pdf["qual"])]
+            once = _categorize([q for q, _ in at], [q for _, q in at], words, s)
+            rows = [once[i] for i in which]
             out = pd.DataFrame(rows, columns=["category", "seq", "mean_q", "strand", "edits", "basis", "length"])
             out.insert(0, "name", pdf["name"].to_numpy())
             out.insert(0, "ord", pdf["ord"].to_numpy())

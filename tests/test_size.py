@@ -139,3 +139,32 @@ def test_reasons_are_read_once_and_split_without_folding(spark):
     # the patterns of a key are looked for once
     assert df._jdf.queryExecution().optimizedPlan().toString().count("is inconclusive") <= 3
     assert df._jdf.queryExecution().optimizedPlan().toString().count("allele[ _]") == 1
+
+
+def test_equal_reads_are_searched_once(spark, monkeypatch):
+    import pandas as pd
+    from strandflow.config import ReadSettings
+    from strandflow.dictionary import default
+    from strandflow.operators import reads as R
+
+    words = default()
+    seq = words.left[-40:] + "".join(words.units[u] for u in "12345X6789") + words.right[:40]
+    other = R.revcomp(seq)
+    given = [(seq, "5" * len(seq)), (other, "5" * len(seq)), (seq, "5" * len(seq)), (seq, "9" * len(seq)), (seq[:300], "5" * 300), (other, "5" * len(seq))]
+    pdf = pd.DataFrame([("s", i, f"r{i}", q, p) for i, (q, p) in enumerate(given)], columns=["sample", "ord", "name", "seq", "qual"])
+    want = [x for q, p in given for x in R._categorize([q], [p], words, ReadSettings())]
+    asked, real = [], R._categorize
+    monkeypatch.setattr(R, "_categorize", lambda seqs, quals, *rest: asked.append(len(seqs)) or real(seqs, quals, *rest))
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, work, schema):
+            return pd.concat(work([pdf]))
+
+    got = R.categorize(Rows())
+    columns = ["category", "seq", "mean_q", "strand", "edits", "basis", "length"]
+    assert got["ord"].tolist() == list(range(6))
+    assert [tuple(None if pd.isna(x) else x for x in r) for r in got[columns].itertuples(index=False)] == want
+    assert asked == [4]
