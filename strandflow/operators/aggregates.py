@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .joins import by_rows
+from .joins import by_rows, small
 
 
 def modal(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -255,6 +255,53 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, percent: int) ->
     return n.withColumn("_u", upto).withColumn("_p", place).where(F.col("_u") > F.col("_p")).groupBy(*keys).agg(F.min(value).alias(f"p{percent}_rank"))
 
 
+#: How far, as a share of the rows, the bounds of a percentile lie from it; approximate ones are right to a tenth of that.
+BRACKET = 0.001
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact type-7 percentiles of each key, a column for each of ``shares``; null values don't count, and a key without others has nulls.
+
+    Approximate percentiles bound a stretch around each; the values below and within it are counted, and only the stretch that holds the percentile is sorted.
+    The bounds decide how much is sorted, never the result: should it lie outside of them, the stretch below or above is sorted in their place.
+    """
+    names = list(shares)
+    at = [x for n in names for x in (max(shares[n] - BRACKET, 0.0), min(shares[n] + BRACKET, 1.0))]
+    bounds = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, F.array(*map(F.lit, at)), F.lit(int(10 / BRACKET))).alias("_at"))
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    with_bounds = rows.select(*keys, F.col(value).alias("_v")).where("_v is not null").join(small(bounds.select(*own, "_n", "_at")), same)
+    low, high = (lambda k: F.col("_at")[2 * k]), (lambda k: F.col("_at")[2 * k + 1])
+    counts = [c for k, n in enumerate(names) for c in (F.count_if(F.col("_v") < low(k)).alias(f"_below{k}"), F.count_if(F.col("_v") <= high(k)).alias(f"_upto{k}"))]
+    known = with_bounds.groupBy(*keys, "_n", "_at").agg(*counts)
+
+    def place(k: int, name: str) -> Column:
+        spot = shares[name] * (F.col("_n") - 1)
+        below, upto, first, last = F.col(f"_below{k}"), F.col(f"_upto{k}"), F.floor(spot), F.ceil(spot)
+        # null: no bound on that side
+        least = F.when(first >= upto, F.struct(high(k).alias("v"), upto.alias("n"), F.lit(True).alias("beyond"))).when(first >= below, F.struct(low(k).alias("v"), below.alias("n"), F.lit(False).alias("beyond")))
+        most = F.when(last < below, F.struct(low(k).alias("v"), F.lit(True).alias("beyond"))).when(last < upto, F.struct(high(k).alias("v"), F.lit(False).alias("beyond")))
+        return F.struct(F.lit(name).alias("name"), spot.alias("spot"), first.alias("first"), last.alias("last"), least.alias("least"), most.alias("most"))
+
+    placed = small(known.select(*own, F.array(*[place(k, n) for k, n in enumerate(names)]).alias("_all")))
+    v = F.col("_v")
+
+    def held(x):
+        above = x["least"].isNull() | F.when(x["least"]["beyond"], v > x["least"]["v"]).otherwise(v >= x["least"]["v"])
+        under = x["most"].isNull() | F.when(x["most"]["beyond"], v < x["most"]["v"]).otherwise(v <= x["most"]["v"])
+        return above & under
+
+    found = rows.select(*keys, F.col(value).alias("_v")).where("_v is not null").join(placed, same).select(*keys, "_v", F.explode(F.filter("_all", held)).alias("x"))
+    n = found.groupBy(*keys, "x", "_v").agg(F.count("*").alias("_c"))
+    upto = F.coalesce(F.col("x.least.n"), F.lit(0)) + F.sum("_c").over(W.partitionBy(*keys, "x.name").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ends = n.withColumn("_u", upto).groupBy(*keys, F.col("x.name").alias("_name"), F.col("x.spot").alias("_spot"), F.col("x.first").alias("_first"), F.col("x.last").alias("_last")).agg(
+        F.min(F.when(F.col("_u") > F.col("x.first"), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_u") > F.col("x.last"), F.col("_v"))).alias("_b")
+    )
+    one = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("double")).otherwise((F.col("_last") - F.col("_spot")) * F.col("_a") + (F.col("_spot") - F.col("_first")) * F.col("_b"))
+    wide = ends.groupBy(*own).agg(*[F.max(F.when(F.col("_name") == s, one)).alias(s) for s in names])
+    return rows.select(*keys).distinct().join(wide, same, "left").select(*keys, *names)
+
+
 def rank_sum(rows, keys, member, value):
     """U of the members against the rest and its z, tie and continuity corrected (low z: members are smaller)."""
     r = mid_ranks(rows, keys, value).withColumn("_t", F.count("*").over(W.partitionBy(*keys, value)))

@@ -101,9 +101,10 @@ def variant_site(spark, sf):
 def percentiles(spark, sf):
     """Type-7 percentiles and the nearest-rank one."""
     from ..operators.aggregates import nearest_rank
+    from ..operators.aggregates import percentiles as exact
 
     t = table(spark, sf, "lineitem").withColumn("g", F.col("l_returnflag"))
-    g = t.groupBy("g").agg(F.round(F.percentile("l_extendedprice", 0.025), 4).alias("low"), F.round(F.percentile("l_extendedprice", 0.975), 4).alias("high"))
+    g = exact(t, ["g"], "l_extendedprice", {"low": 0.025, "high": 0.975}).select("g", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
     return g.join(nearest_rank(t, ["g"], "l_quantity", 95), "g")
 
 

@@ -168,3 +168,30 @@ def test_equal_reads_are_searched_once(spark, monkeypatch):
     assert got["ord"].tolist() == list(range(6))
     assert [tuple(None if pd.isna(x) else x for x in r) for r in got[columns].itertuples(index=False)] == want
     assert asked == [4]
+
+
+def test_percentiles_sort_only_what_is_near(spark, monkeypatch):
+    import numpy as np
+    from strandflow.operators import aggregates as A
+
+    draw = np.random.default_rng(5)
+    groups = {"a": draw.normal(size=5001).round(2).tolist(), "b": [7.0] * 40, "c": [3.5], "d": draw.lognormal(3, 4, 3000).tolist() + [None] * 5, "e": [None], None: [1.0, 2.0, 4.0]}
+    df = spark.createDataFrame([(k, v) for k, x in groups.items() for v in x], "g string, v double").repartition(3)
+    shares = {"least": 0.0, "low": 0.025, "mid": 0.5, "high": 0.975, "most": 1.0}
+
+    def check():
+        got = {r["g"]: r for r in A.percentiles(df, ["g"], "v", shares).collect()}
+        assert got.keys() == groups.keys()
+        for k, x in groups.items():
+            x = [v for v in x if v is not None]
+            for name, share in shares.items():
+                assert (got[k][name] is None) if not x else abs(got[k][name] - np.percentile(x, 100 * share)) <= 1e-9 * max(1, abs(got[k][name]))
+
+    check()
+    plan_of = A.percentiles(df, ["g"], "v", shares)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan_of
+    # bounds that are off in either direction only make it sort more
+    real = A.F.percentile_approx
+    for off in (-2.0, 2.0):
+        monkeypatch.setattr(A.F, "percentile_approx", lambda c, p, n, off=off: A.F.transform(real(c, p, n), lambda x: x + off))
+        check()
