@@ -192,18 +192,20 @@ def length_model(spans: DataFrame, s: LengthSettings = LengthSettings(), *, smea
 
 def junctions(spans: DataFrame, words, r: ReadSettings = ReadSettings()) -> DataFrame:
     """Adds first_bp and second_bp where a span holds its layout's end and then its start again: two products joined in one read."""
-    from ..functions.align import infix_hits
+    from ..functions.align import infix_hits, once
 
     first, last = (words.units[u] for u in words.ends)
     unit = words.unit_bp
 
     def work(batches):
         for pdf in batches:
-            inner = [q[unit:-unit] for q in pdf["seq"]]
+            # equal spans of a batch are searched once
+            given, which = once(pdf["seq"])
+            inner = [q[unit:-unit] for q in given]
             ends = infix_hits(last, inner, r.anchor_edits)
             starts = infix_hits(first, [q[e[1] :] if e else "" for q, e in zip(inner, ends)], r.anchor_edits)
-            pdf["first_bp"] = [unit + e[1] if e and b else None for e, b in zip(ends, starts)]
-            pdf["second_bp"] = [len(q) - e[1] - b[0] + unit if e and b else None for q, e, b in zip(inner, ends, starts)]
+            found = [(unit + e[1], len(q) - e[1] - b[0] + unit) if e and b else (None, None) for q, e, b in zip(inner, ends, starts)]
+            pdf["first_bp"], pdf["second_bp"] = [found[i][0] for i in which], [found[i][1] for i in which]
             pdf["first_bp"], pdf["second_bp"] = pdf["first_bp"].astype("Int64"), pdf["second_bp"].astype("Int64")
             yield pdf
 

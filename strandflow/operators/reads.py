@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ReadSettings
 from ..dictionary import Dictionary, default
-from ..functions.align import infix_distance, infix_hits, revcomp
+from ..functions.align import infix_distance, infix_hits, once, revcomp
 
 CATEGORIES = "sample string, ord long, name string, category string, seq string, mean_q double, strand string, edits int, basis string, length int"
 
@@ -70,10 +70,9 @@ def categorize(reads: DataFrame, words: Dictionary | None = None, s: ReadSetting
     def work(batches):
         for pdf in batches:
             # equal reads of a batch are searched once
-            at: dict[tuple[str, str], int] = {}
-            which = [at.setdefault(x, len(at)) for x in zip(pdf["seq"], pdf["qual"])]
-            once = _categorize([q for q, _ in at], [q for _, q in at], words, s)
-            rows = [once[i] for i in which]
+            given, which = once(zip(pdf["seq"], pdf["qual"]))
+            found = _categorize([q for q, _ in given], [q for _, q in given], words, s)
+            rows = [found[i] for i in which]
             out = pd.DataFrame(rows, columns=["category", "seq", "mean_q", "strand", "edits", "basis", "length"])
             out.insert(0, "name", pdf["name"].to_numpy())
             out.insert(0, "ord", pdf["ord"].to_numpy())
@@ -97,25 +96,29 @@ def assign(reads: DataFrame, refs: DataFrame, s: ReadSettings = ReadSettings(),
     listed = refs.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("allele", "seq"))).alias("refs"))
     work = reads.where(F.length("seq") >= s.fragment_bp).join(listed, "sample").select("sample", "ord", "seq", "refs")
 
+    def nearest(seq, refs):
+        found = []
+        for ref in refs:
+            for strand in "+" if forward_only else "+-":
+                text = seq if strand == "+" else revcomp(seq)
+                found.append((infix_distance(text, ref["seq"]), len(found), ref["allele"], strand))
+        best = min(found)
+        rest = [x[0] for x in found if x[2] != best[2]]
+        if best[0] > s.error_rate * len(seq):
+            name = "off_target"
+        elif rest and min(rest) - best[0] < s.margin:
+            name = "undecided"
+        else:
+            name = best[2]
+        return name, best[3], best[0]
+
     def run(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                found = []
-                for ref in r.refs:
-                    for strand in "+" if forward_only else "+-":
-                        text = r.seq if strand == "+" else revcomp(r.seq)
-                        found.append((infix_distance(text, ref["seq"]), len(found), ref["allele"], strand))
-                best = min(found)
-                rest = [x[0] for x in found if x[2] != best[2]]
-                if best[0] > s.error_rate * len(r.seq):
-                    name = "off_target"
-                elif rest and min(rest) - best[0] < s.margin:
-                    name = "undecided"
-                else:
-                    name = best[2]
-                rows.append((r.sample, r.ord, name, best[3], best[0]))
-            yield pd.DataFrame(rows, columns=["sample", "ord", "assigned", "strand", "distance"])
+            # equal reads of a sample in a batch are searched once
+            refs = dict(zip(pdf["sample"], pdf["refs"]))
+            given, which = once(zip(pdf["sample"], pdf["seq"]))
+            found = [nearest(seq, refs[sample]) for sample, seq in given]
+            yield pd.DataFrame([(r.sample, r.ord, *found[i]) for r, i in zip(pdf.itertuples(), which)], columns=["sample", "ord", "assigned", "strand", "distance"])
 
     return work.mapInPandas(run, "sample string, ord long, assigned string, strand string, distance int")
 
@@ -132,9 +135,10 @@ def inside(assigned: DataFrame, categories: DataFrame, words: Dictionary | None
 
     def cut(batches):
         for pdf in batches:
-            seqs = [revcomp(q) if t == "-" else q for q, t in zip(pdf["seq"], pdf["_turn"])]
+            given, which = once(zip(pdf["seq"], pdf["_turn"]))
+            seqs = [revcomp(q) if t == "-" else q for q, t in given]
             starts, ends = infix_hits(first, seqs, s.anchor_edits), infix_hits(last, seqs, s.anchor_edits)
             own = [q[a[0] if a else 0 : b[1] if b and (not a or b[1] > a[0]) else len(q)] for q, a, b in zip(seqs, starts, ends)]
-            yield pdf[["sample", "allele", "ord"]].assign(seq=own)
+            yield pdf[["sample", "allele", "ord"]].assign(seq=[own[i] for i in which])
 
     return both.mapInPandas(cut, "sample string, allele string, ord long, seq string").where(F.length("seq") >= words.unit_bp)

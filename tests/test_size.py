@@ -170,6 +170,96 @@ def test_equal_reads_are_searched_once(spark, monkeypatch):
     assert asked == [4]
 
 
+class _Rows:
+    """Stands for a frame, whose one batch goes through a Python stage."""
+
+    columns = ["sample"]
+
+    def __init__(self, pdf):
+        self.pdf = pdf
+
+    def __getattr__(self, name):
+        return lambda *args, **more: self
+
+    def mapInPandas(self, work, schema):
+        import pandas as pd
+
+        return _Rows(pd.concat(work([self.pdf])))
+
+
+def test_equal_reads_are_compared_once_after_the_scan(spark, monkeypatch):
+    import pandas as pd
+    from strandflow.dictionary import default
+    from strandflow.functions import align
+    from strandflow.operators import phase as P
+    from strandflow.operators import reads as R
+
+    words = default()
+    one, two = ("".join(words.units[u] for u in order) for order in ("12345XX6789", "12345XXXX6789"))
+    joined = one + two
+    searched, hits = [], align.infix_hits
+    monkeypatch.setattr(align, "infix_hits", lambda query, texts, k: searched.append(len(texts)) or hits(query, texts, k))
+    monkeypatch.setattr(R, "infix_hits", align.infix_hits)
+
+    def rows(found, columns):
+        return [tuple(None if pd.isna(x) else x for x in r) for r in found.pdf[columns].itertuples(index=False)]
+
+    # joined spans
+    seqs = [joined, one, joined, two, one, joined]
+    pdf = pd.DataFrame({"sample": "s", "ord": range(6), "seq": seqs})
+    got = rows(L.junctions(_Rows(pdf.copy()), words), ["ord", "first_bp", "second_bp"])
+    alone = [rows(L.junctions(_Rows(pdf.iloc[[i]].copy()), words), ["ord", "first_bp", "second_bp"])[0] for i in range(6)]
+    assert got == alone and got[0][1:] == (len(one), len(two)) and got[1][1:] == (None, None)
+    assert searched[:2] == [3, 3]
+
+    # partial reads against alleles, with two samples whose alleles differ
+    asked, distance = [], R.infix_distance
+    monkeypatch.setattr(R, "infix_distance", lambda a, b: asked.append(1) or distance(a, b))
+    refs = {"s": [{"allele": "a", "seq": one}, {"allele": "b", "seq": two}], "t": [{"allele": "c", "seq": two}]}
+    given = [("s", two[200:500]), ("t", two[200:500]), ("s", R.revcomp(one[:400])), ("s", two[200:500]), ("s", "ACGT" * 50), ("t", two[200:500])]
+    pdf = pd.DataFrame({"sample": [x for x, _ in given], "ord": range(6), "seq": [q for _, q in given], "refs": [refs[x] for x, _ in given]})
+    names = ["sample", "ord", "assigned", "strand", "distance"]
+    alone = [rows(_assigned(R, pdf.iloc[[i]]), names)[0] for i in range(6)]
+    asked.clear()
+    assert rows(_assigned(R, pdf), names) == alone
+    assert len(asked) == 3 * 4 + 2
+
+    # partial reads inside an allele
+    pdf = pd.DataFrame({"sample": "s", "allele": "a", "ord": range(5), "seq": [one[:300], R.revcomp(one[:300]), one[:300], one[70:200], one[:300]], "_turn": ["+", "-", "+", "+", "-"]})
+    work = _work(R.inside, _Rows(pdf), _Rows(pdf), words)
+    alone = [work([pdf.iloc[[i]]])[0]["seq"].iloc[0] for i in range(5)]
+    searched.clear()
+    assert work([pdf])[0]["seq"].tolist() == alone
+    assert searched == [4, 4]
+
+    # reads against the groups of their peak
+    asked, edits = [], P.edit_distance
+    monkeypatch.setattr(P, "edit_distance", lambda a, b: asked.append(1) or edits(a, b))
+    groups = [{"group": 0, "cons": one}, {"group": 1, "cons": one[:100] + "T" + one[101:]}]
+    seqs = [one, groups[1]["cons"], one, one[:100] + one[101:], one]
+    pdf = pd.DataFrame({"sample": "s", "peak": 660, "ord": range(5), "seq": seqs, "groups": [groups] * 5})
+    work = _work(P.members, _Rows(pdf), _Rows(pdf))
+    found = work([pdf])[0]["group"]
+    assert [None if pd.isna(x) else x for x in found] == [0, 1, 0, None, 0]
+    assert len(asked) == 3 * 2
+
+
+def _assigned(R, pdf):
+    return _Rows(_work(R.assign, _Rows(pdf), _Rows(pdf))([pdf])[0])
+
+
+def _work(operator, *frames):
+    """An operator's Python stage as a function of batches."""
+    stages = []
+    real = _Rows.mapInPandas
+    _Rows.mapInPandas = lambda self, work, schema: stages.append(work) or self
+    try:
+        operator(*frames)
+    finally:
+        _Rows.mapInPandas = real
+    return lambda batches: list(stages[0](batches))
+
+
 def test_percentiles_sort_only_what_is_near(spark, monkeypatch):
     import numpy as np
     from strandflow.operators import aggregates as A
