@@ -1,6 +1,7 @@
 """What a task holds, and what is worked out once, in queries over large tables."""
 
 import math
+import re
 from collections import Counter
 
 from strandflow.operators import lengths as L
@@ -59,6 +60,17 @@ def test_maxima_sort_no_grid_points(spark):
     assert "Window" not in plan(df).split("Generate")[0]
 
 
+def _grid_steps(df):
+    """Steps of a plan that group or order rows by grid point."""
+    return [x for x in plan(df).split("\n") if re.search(r"\b(Aggregate|Window|Sort) ", x) and re.search(r"\bi#\d+", x)]
+
+
+def test_kde_peaks_orders_no_grid_points(spark, sf):
+    from strandflow.queries import catalog
+
+    assert _grid_steps(catalog.queries()["kde_peaks"](spark, sf)) == []
+
+
 def test_smear_sorts_no_pairs_of_candidates_and_lengths(spark):
     assert "RangeFrame" not in plan(L.length_model(_spans(spark)))
 
