@@ -71,6 +71,12 @@ def test_kde_peaks_orders_no_grid_points(spark, sf):
     assert _grid_steps(catalog.queries()["kde_peaks"](spark, sf)) == []
 
 
+def test_length_candidates_order_no_grid_points(spark, sf):
+    from strandflow.queries import catalog
+
+    assert _grid_steps(catalog.queries()["length_candidates"](spark, sf)) == []
+
+
 def test_smear_sorts_no_pairs_of_candidates_and_lengths(spark):
     assert "RangeFrame" not in plan(L.length_model(_spans(spark)))
 
