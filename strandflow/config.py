@@ -26,6 +26,7 @@ class ReadSettings:
     link_phi: float = 0.5
     link_sites: int = 2
     link_reads: int = 10
+    #: About how many different reads of a peak a task lays together; all are counted.
     site_reads: int = 300
     site_run: int = 3
     run_background: float = 4.0

@@ -28,7 +28,7 @@ def reconstruct(raw: DataFrame, words: Dictionary | None = None, s: ReadSettings
     model = keep(model, "peaks")
     peaks = model.where("reason is null").select("sample", F.col("center").alias("center"), lengths.half_window(F.col("center"), lengths.LengthSettings()).alias("half"))
     placed = nearest_peak(fitted, peaks).where("class = 'assigned'").select("sample", "peak", "ord", "seq", "strand", "mean_q")
-    groups = keep(phase.phase(placed, s, words), "groups")
+    groups = keep(phase.phase(placed, s, words, keep=keep), "groups")
     # all reads of a peak are counted, not only those of the sample that found its groups
     nearest = keep(phase.members(placed, groups), "placed")
     sizes = nearest.where("group is not null").groupBy("sample", "peak", "group").agg(F.count("*").alias("members"))

@@ -275,7 +275,7 @@ def phase_split(spark, sf):
     from ..operators import phase
 
     spans = reads_op.categorize(_reads(spark, sf)).where("category = 'spanning'").select("sample", F.col("length").cast("long").alias("peak"), "ord", "seq", "strand")
-    return phase.phase(spans)
+    return phase.phase(spans, keep=keeper(spark, "phase"))
 
 
 @R.add()
