@@ -1,8 +1,8 @@
 """Read support of each event of each allele, from the reads assigned to the allele.
 
-Reads are laid on their allele's consensus in an Arrow stage that groups nothing: a read goes with its allele and the allele's events. What a
-read says about runs leaves the stage as counts, so that the fits below cost the number of (run, strand, length) classes of an allele, however many
-reads it has. What it says about other events leaves as the piece of it around the event, with its vote. Only two steps look at an event's or an allele's rows together,
+Reads are laid on their allele's consensus in an Arrow stage in piles of at most about TOGETHER reads; a pile goes with its allele and the allele's events. What its
+reads say about runs are counts, so that the fits below cost the number of (run, strand, length) classes of an allele, however many
+reads it has. Alleles of one pile are fitted where it is; of others the counts leave the stage and are added up. What reads say about other events leaves as the piece of each around the event, with its vote. Only two steps look at an event's or an allele's rows together,
 and both are bounded: the fit of an allele's classes, and the consensus of at most ``polish_reads`` pieces.
 
 An event is a unit with a template or of another length than its parent. One whose template adds or takes one base of a run of ``event_run`` bases or more is a
@@ -24,16 +24,19 @@ from pyspark.sql.window import Window as W
 
 from ..config import ReadSettings
 from ..dictionary import Dictionary, default
-from ..functions.align import edit_distance, lay, runs
+from ..functions.align import edit_distance, lay, once, runs
 from .evidence import Mixture, competition_status, hp_status, profiles
 from .joins import spread
 from .phase import polish
 
-#: Reads of one allele, by their places, that one task lays.
+#: About how many reads of one allele are laid together.
 TOGETHER = 512
+#: Letters of the alleles and reads that a task remembers.
+HELD = 16 << 20
 EVENTS = "sample string, allele string, index int, start int, end int, unit string, template string, kind string, run_start int, run_end int, base string, change int, low int, high int, with_event string, without string"
 SAID = "sample string, allele string, kind string, index int, at int, strand string, length int, n long, ord long, piece string, vote int"
 FITS = "sample string, allele string, index int, n long, alt long, ref long, llr double, share double, strand_low boolean, strands string"
+FIT = tuple(c.split()[0] for c in FITS.split(", ")[3:])
 SUPPORT = ["sample", "allele", "index", "start", "end", "unit", "template", "kind", "n", "alt", "ref", "other", "alt_share", "alternative_share", "llr", "strands", "status"]
 
 
@@ -83,50 +86,82 @@ def located(alleles: DataFrame, units: DataFrame, words: Dictionary | None = Non
 
 
 def said(members: DataFrame, alleles: DataFrame, events: DataFrame, s: ReadSettings = ReadSettings()) -> DataFrame:
-    """What reads say (SAID): counts of clean lengths of every run of an allele, and a piece with its vote for each contest.
+    """What reads say (SAID): fits of run events, or counts of clean lengths of every run of the events' bases for alleles of several piles, and a piece with its vote for each contest.
 
     members(sample, allele, ord, seq, strand): spanning reads, oriented to the consensus. Letters other than the consensus' outside its runs are
     counted too, so that what is left of a second allele shows (``residual``).
     """
-    # an allele's events are a handful, so they travel with each of its reads
-    listed = events.where("kind <> 'none'").groupBy("sample", "allele").agg(F.sort_array(F.collect_list(F.struct("index", "kind", "low", "high", "with_event", "without"))).alias("events"))
-    told = alleles.select("sample", "allele", F.col("seq").alias("cons")).join(listed, ["sample", "allele"], "left")
-    both = members.select("sample", "allele", "ord", "seq", "strand").join(told, ["sample", "allele"])
+    keys = ["sample", "allele"]
+    # an allele's events are a handful, so they travel with its piles
+    listed = events.where("kind <> 'none'").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("index", "kind", "low", "high", "with_event", "without", "run_start", "run_end", "base", "change"))).alias("events"))
+    told = alleles.select(*keys, F.col("seq").alias("cons")).join(listed, keys, "left")
+    parts = members.groupBy(*keys).agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("ord"), F.col("parts"))).otherwise(0)
+    dealt = members.select(*keys, "ord", "seq", "strand").join(parts, keys).groupBy(*keys, "parts", part.alias("part"))
+    both = dealt.agg(F.sort_array(F.collect_list(F.struct("ord", "seq", "strand"))).alias("reads")).join(told, keys)
 
     def work(batches):
+        # alleles that are alike in their events and in what was read of them are worked out once, as long as they are held
+        made: dict[tuple, list[tuple]] = {}
+        held = 0
         for pdf in batches:
-            for (sample, allele), own in pdf.groupby(["sample", "allele"], sort=False):
-                yield pd.DataFrame(_of_reads(sample, allele, own, s), columns=[c.split()[0] for c in SAID.split(", ")]).astype({c: "Int64" for c in ("index", "at", "length", "n", "ord", "vote")})
-
-    # reads of an allele are laid together, those of a deep one by several tasks
-    some = F.floor(F.col("ord") / TOGETHER)
-    return spread(both, "sample", "allele", some).sortWithinPartitions("sample", "allele").mapInPandas(work, SAID)
-
-
-def _of_reads(sample: str, allele: str, own: pd.DataFrame, s: ReadSettings) -> list[tuple]:
-    cons, seqs, strands = own["cons"].iloc[0], own["seq"].tolist(), own["strand"].tolist()
-    events = own["events"].iloc[0]
-    events = [] if events is None else events
+            out: list[tuple] = []
+            for r in pdf.itertuples():
+                events = [] if r.events is None else [tuple(e[c] for c in EVENT) for e in r.events]
+                read = [(x["seq"], x["strand"]) for x in r.reads]
+                like = r.cons, r.parts == 1, tuple(events), tuple(read)
+                if like not in made:
+                    held += len(r.cons) + sum(len(q) for q, _ in read)
+                    if held > HELD:
+                        made, held = {}, 0
+                    made[like] = _of_reads(r.cons, [dict(zip(EVENT, e)) for e in events], read, r.parts == 1, s)
+                # what a single read says goes with its place
+                out += [(r.sample, r.allele, *x[:-3], None if x[-3] is None else r.reads[x[-3]]["ord"], *x[-2:]) for x in made[like]]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SAID.split(", ")]).astype({c: "Int64" for c in ("index", "at", "length", "n", "ord", "vote")})
+
+    # piles of a deep allele go to several tasks
+    return spread(both, *keys, "part").mapInPandas(work, SAID)
+
+
+EVENT = ("index", "kind", "low", "high", "with_event", "without", "run_start", "run_end", "base", "change")
+
+
+def _of_reads(cons: str, events: list[dict], read: list[tuple[str, str]], alone: bool, s: ReadSettings) -> list[tuple]:
+    """SAID of a pile, without its allele, and with places in the pile for ``ord``; read: (sequence, strand) of each. ``alone``: these are all reads of the allele."""
+    given, which = once(read)
+    number = np.bincount(which, minlength=len(given))
+    seqs, strands = [q for q, _ in given], [t for _, t in given]
     laid, rows = lay(seqs, cons), []
     within = np.zeros(len(cons), bool)
     for a, b, _ in runs(cons, s.site_run):
         within[a:b] = True
     codes = laid.codes
     other = np.argwhere((codes != np.frombuffer(cons.encode("latin-1", "replace"), np.uint8)) & ~within)
-    seen = Counter(zip(other[:, 1].tolist(), codes[other[:, 0], other[:, 1]].tolist()))
-    rows += [(sample, allele, "letter", None, j, None, None, n, None, chr(c), None) for (j, c), n in seen.items()]
-    rows += [(sample, allele, "reads", None, None, t, None, c, None, None, None) for t, c in Counter(strands).items()]
-    if any(e["kind"] == "run" for e in events):
-        for a, b, _ in runs(cons, 2):
-            seen = Counter(zip(strands, np.minimum(laid.clean(a, b), s.longest_run).tolist()))
-            rows += [(sample, allele, "run", None, a, t, n, c, None, None, None) for (t, n), c in seen.items() if n >= 0]
+    seen: Counter = Counter()
+    for r, j in other.tolist():
+        seen[j, int(codes[r, j])] += int(number[r])
+    rows += [("letter", None, j, None, None, n, None, chr(c), None) for (j, c), n in seen.items()]
+    by_strand = Counter(t for _, t in read)
+    rows += [("reads", None, None, t, None, c, None, None, None) for t, c in by_strand.items()]
+    ours = [e for e in events if e["kind"] == "run"]
+    bases = {e["base"] for e in ours}
+    counts: dict[tuple[int, str], Counter] = {}
+    for a, b, base in runs(cons, 2) if ours else []:
+        if base not in bases:
+            continue
+        for t, n, c in zip(strands, np.minimum(laid.clean(a, b), s.longest_run).tolist(), number.tolist()):
+            if n >= 0:
+                counts.setdefault((a, t), Counter())[n] += c
+    if alone:
+        rows += [("fit", x[0], None, None, None, None, None, json.dumps(dict(zip(FIT, x[1:]))), None) for x in _fitted(cons, counts, sum(by_strand.values()), ours, s)]
+    else:
+        rows += [("run", None, a, t, n, c, None, None, None) for (a, t), lengths in counts.items() for n, c in lengths.items()]
     for e in events:
         if e["kind"] != "contest":
             continue
-        for r, (q, t) in enumerate(zip(seqs, strands)):
-            piece = q[laid.begin[r, e["low"]] : laid.begin[r, e["high"]]]
-            vote = _vote(piece, e["with_event"], [e["without"]])
-            rows.append((sample, allele, "piece", e["index"], None, t, None, None, own["ord"].iloc[r], piece, vote))
+        pieces = [q[laid.begin[r, e["low"]] : laid.begin[r, e["high"]]] for r, q in enumerate(seqs)]
+        votes = [_vote(p, e["with_event"], [e["without"]]) for p in pieces]
+        rows += [("piece", e["index"], None, t, None, None, place, pieces[i], votes[i]) for place, (i, (_, t)) in enumerate(zip(which, read))]
     return rows
 
 
@@ -136,38 +171,46 @@ def _vote(piece: str, event: str, others: list[str]) -> int:
 
 
 def _fit(pdf: pd.DataFrame, events: pd.DataFrame, s: ReadSettings) -> pd.DataFrame:
-    """FITS of an allele's run events; pdf: its counts, one row for each class; events: with the allele's runs."""
+    """FITS of an allele's run events; pdf: its counts, one row for each class; events: with the allele's consensus."""
     counts: dict[tuple[int, str], Counter] = {}
     for a, t, n, c in zip(pdf["at"], pdf["strand"], pdf["length"], pdf["n"]):
         if not pd.isna(a):
             counts.setdefault((int(a), t), Counter())[int(n)] += int(c)
     reads = int(pdf.loc[pdf["at"].isna(), "n"].sum())
-    rows = []
-    for e in events.itertuples():
-        sizes = {a: (base, b - a) for a, b, base in runs(e.cons, 2)}
-        a, length, change = int(e.run_start), int(e.run_end - e.run_start), int(e.change)
+    first = events.iloc[0]
+    rows = [(first["sample"], first["allele"], *x) for x in _fitted(first["cons"], counts, reads, events.to_dict("records"), s)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in FITS.split(", ")])
+
+
+def _fitted(cons: str, counts: dict[tuple[int, str], Counter], reads: int, events: list[dict], s: ReadSettings) -> list[tuple]:
+    """FITS of an allele's run events, without the allele; counts: lengths read by (run, strand)."""
+    rows, sizes = [], {a: (base, b - a) for a, b, base in runs(cons, 2)}
+    for e in events:
+        a, length, change = int(e["run_start"]), int(e["run_end"] - e["run_start"]), int(e["change"])
         classes, by_strand = [], {}
         for t in sorted({t for k, t in counts if k == a}):
-            event, absent = profiles(counts, sizes, (a, e.base, length, change), t, s)
-            seen = counts[a, t]
-            classes += [(event[n], absent[n], c) for n, c in seen.items()]
-            far = sum(c for n, c in seen.items() if (n >= length if change > 0 else n <= length))
-            by_strand[t] = (sum(seen.values()), far, float(sum(c * np.log(event[n] / absent[n]) for n, c in seen.items())))
+            event, absent = profiles(counts, sizes, (a, e["base"], length, change), t, s)
+            # in the order of lengths, so that sums don't hang on that of the reads
+            seen = sorted(counts[a, t].items())
+            classes += [(event[n], absent[n], c) for n, c in seen]
+            far = sum(c for n, c in seen if (n >= length if change > 0 else n <= length))
+            by_strand[t] = (sum(c for _, c in seen), far, float(sum(c * np.log(event[n] / absent[n]) for n, c in seen)))
         alt, total = sum(x[1] for x in by_strand.values()), sum(x[0] for x in by_strand.values())
         share = Mixture(*map(list, zip(*classes))).share() if classes else 0.0
         low = any(n >= s.strand_reads and llr < 0 for n, _, llr in by_strand.values())
         told = json.dumps({t: round(far / n, 3) for t, (n, far, _) in by_strand.items()})
-        rows.append((e.sample, e.allele, e.index, reads, alt, total - alt, sum(x[2] for x in by_strand.values()), share, low, told))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in FITS.split(", ")])
+        rows.append((int(e["index"]), reads, alt, total - alt, float(sum(x[2] for x in by_strand.values())), share, low, told))
+    return rows
 
 
 def run_events(heard: DataFrame, alleles: DataFrame, events: DataFrame, s: ReadSettings = ReadSettings()) -> DataFrame:
-    """Support of run events from counted lengths."""
+    """Support of run events: fits as the stage made them, or from counted lengths."""
     keys = ["sample", "allele"]
-    own = events.where("kind = 'run'").join(alleles.select("sample", "allele", F.col("seq").alias("cons")), keys)
+    done = heard.where("kind = 'fit'").select(*keys, "index", F.from_json("piece", ", ".join(FITS.split(", ")[3:])).alias("x")).select(*keys, F.col("index").cast("int").alias("index"), "x.*")
+    own = events.where("kind = 'run'").join(done.select(*keys).distinct(), keys, "left_anti").join(alleles.select(*keys, F.col("seq").alias("cons")), keys)
     told = heard.where("kind in ('run', 'reads')").join(own.select(*keys).distinct(), keys, "left_semi")
     counts = told.groupBy(*keys, "at", "strand", "length").agg(F.sum("n").alias("n"))
-    fits = spread(counts, *keys).groupBy(*keys).cogroup(spread(own, *keys).groupBy(*keys)).applyInPandas(lambda a, b: _fit(a, b, s), FITS)
+    fits = done.unionByName(spread(counts, *keys).groupBy(*keys).cogroup(spread(own, *keys).groupBy(*keys)).applyInPandas(lambda a, b: _fit(a, b, s), FITS))
     alternative = 1 - F.col("share")
     status = hp_status("n", "llr", F.try_divide("alt", "n"), alternative, "strand_low", s)
     out = fits.withColumns({"other": F.col("n") - F.col("alt") - F.col("ref"), "alt_share": F.try_divide("alt", "n"), "alternative_share": alternative, "status": status})
