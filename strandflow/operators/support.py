@@ -26,7 +26,7 @@ from ..config import ReadSettings
 from ..dictionary import Dictionary, default
 from ..functions.align import edit_distance, lay, once, runs
 from .evidence import Mixture, competition_status, hp_status, profiles
-from .joins import spread
+from .joins import small, spread
 from .phase import polish
 
 #: About how many reads of one allele are laid together.
@@ -95,9 +95,10 @@ def said(members: DataFrame, alleles: DataFrame, events: DataFrame, s: ReadSetti
     # an allele's events are a handful, so they travel with its piles
     listed = events.where("kind <> 'none'").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("index", "kind", "low", "high", "with_event", "without", "run_start", "run_end", "base", "change"))).alias("events"))
     told = alleles.select(*keys, F.col("seq").alias("cons")).join(listed, keys, "left")
-    parts = members.groupBy(*keys).agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("ord"), F.col("parts"))).otherwise(0)
-    dealt = members.select(*keys, "ord", "seq", "strand").join(parts, keys).groupBy(*keys, "parts", part.alias("part"))
+    # deep alleles are few as a rule, and then the reads needn't be sorted to meet them
+    deep = small(members.groupBy(*keys).agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).where("parts > 1"))
+    number = members.select(*keys, "ord", "seq", "strand").join(deep, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = number.groupBy(*keys, "parts", F.pmod(F.xxhash64("ord"), F.col("parts")).alias("part"))
     both = dealt.agg(F.sort_array(F.collect_list(F.struct("ord", "seq", "strand"))).alias("reads")).join(told, keys)
 
     def work(batches):
